@@ -111,8 +111,7 @@ def score_text(model: Model, text: str | None) -> tuple[str, float]:
     for part in pieces(text or ""):
         if (h := ngram_hashes(part)) is not None:
             any_letter = True
-            hit, n = np.unique(h, return_counts=True)
-            total = total + n @ model.logp[hit]
+            total = total + model.logp[h].sum(axis=0, dtype=float)
     if not any_letter or not model.langs:
         return "und", 0.0
     p = np.exp(total - total.max())
