@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from allotau.llm.ann_search import op7_ann_search
+from allotau.llm.exact_topk import OP3_SQL, op3_exact_topk
 from allotau.llm.language_id import op8_language_id
 from allotau.llm.mixing import op10_mixing
+from allotau.llm.near_dedup import op9_near_dedup
+from allotau.llm.packing import op1_best_fit_packing
+from allotau.llm.secrets import op6_secret_scan
 from allotau.llm.sharding import op4_sharding
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_exact_topk": op3_exact_topk,
     "op4_sharding": op4_sharding,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_ann_search": op7_ann_search,
     "op8_language_id": op8_language_id,
+    "op9_near_dedup": op9_near_dedup,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_exact_topk": OP3_SQL}
