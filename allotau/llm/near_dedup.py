@@ -11,11 +11,14 @@ their connected components.
    components and levels, and points above the weight don't count. A component keeps its
    first point. The work follows log(weight), and points beyond what the text's total
    weight needs are never made.
-3. Band buckets: each text meets only the bucket's pivot (its smallest id), so a bucket of n
-   texts makes n pairs. They are verified on the texts.
-4. What this leaves apart in a bucket is compared exactly: 1 - similarity is a metric, so
-   texts x, y of pivot p can be linked only if |d(x,p) - d(y,p)| <= 0.2; texts outside the
-   bucket's largest component meet the others within that distance.
+3. Band buckets: each text meets only the bucket's pivot (the one that meets most texts in all its
+   buckets), so a bucket of n texts makes n pairs. They are verified on the texts.
+4. What this leaves apart in a bucket is compared exactly, but for pairs that two bounds
+   rule out. 1 - similarity is a metric, so texts x, y of pivot p can be linked only if
+   |d(x,p) - d(y,p)| <= 0.2. And x and y share no more than what neither lacks of p, and what
+   both hold beyond p; of that, copies which no other text of that pivot holds don't
+   count. Texts outside a pivot's largest component meet the others of their buckets that
+   these bounds leave.
 5. Components by repeated smallest labels with pointer jumping, each round a table.
 
 Defined results: null and empty texts are classes of their own; a text without words
@@ -217,8 +220,26 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(shared / (a[1].sum() + b[1].sum() - shared))
 
 
+def excess(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of what a holds beyond b."""
+    if not len(b[0]):
+        return a
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    n = a[1] - np.where(b[0][at] == a[0], np.minimum(a[1], b[1][at]), 0)
+    return a[0][n > 0], n[n > 0]
+
+
+def gone(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A bit for each distinct shingle of b, set if a holds fewer copies of it; as 64-bit words."""
+    if not len(b[0]) or not len(a[0]):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    bits = np.packbits(np.where(a[0][at] == b[0], a[1][at], 0) < b[1])
+    return np.pad(bits, (0, -len(bits) % 8)).view(np.int64)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (x, p), texts (id, text) -> x, p, d (1 - similarity)."""
+    """pairs (x, p), texts (id, text) -> x, p, d (1 - similarity), w, w_p (shingles of x and p), more, n_more (hashes and counts of what x holds beyond p), gone (which of p's x lacks)."""
     x = texts.select(F.col("id").alias("x"), F.col("text").alias("text_x"))
     p = texts.select(F.col("id").alias("p"), F.col("text").alias("text_p"))
     both = pairs.join(p, "p").join(x, "x")
@@ -236,10 +257,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 cuts = np.searchsorted(doc, np.arange(b - a + 1))
                 for i in range(b - a):
                     bags[a + i] = (h[cuts[i] : cuts[i + 1]], n[cuts[i] : cuts[i + 1]])
-            d = [1 - overlap(bags[number[u]], bags[number[v]]) for u, v in zip(pdf["text_x"], pdf["text_p"], strict=True)]
-            yield pd.DataFrame({"x": pdf["x"], "p": pdf["p"], "d": np.array(d, float)})
+            of_pair = [(bags[number[u]], bags[number[v]]) for u, v in zip(pdf["text_x"], pdf["text_p"], strict=True)]
+            beyond = [excess(u, v) for u, v in of_pair]
+            out = pd.DataFrame({"x": pdf["x"].to_numpy(), "p": pdf["p"].to_numpy(), "d": np.array([1 - overlap(u, v) for u, v in of_pair], float), "w": np.array([u[1].sum() for u, _ in of_pair], np.int64)})
+            out["w_p"] = np.array([v[1].sum() for _, v in of_pair], np.int64)
+            out["gone"] = [gone(u, v) for u, v in of_pair]
+            out["more"], out["n_more"] = [h.view(np.int64) for h, _ in beyond], [n for _, n in beyond]
+            yield out[["x", "p", "d", "w", "w_p", "more", "n_more", "gone"]]
 
-    return both.select("x", "p", "text_x", "text_p").mapInPandas(run, "x long, p long, d double")
+    return both.select("x", "p", "text_x", "text_p").mapInPandas(run, "x long, p long, d double, w long, w_p long, more array<long>, n_more array<long>, gone array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -263,8 +289,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     real = rows_in.where("id is not null and sum is not null")
     reps = B.written(signed(real, bands, rows).groupBy("sum").agg(F.min_by("bands", "id").alias("bands"), F.min("id").alias("id")), "reps")
     met = B.written(reps.select("id", F.explode("bands").alias("bucket")).distinct(), "bands")
-    pivots = met.groupBy("bucket").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "p")
-    met = B.written(met.join(pivots, "bucket"), "buckets")  # only buckets that two texts or more are in
+    met = B.written(met.join(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket"), "buckets")  # only buckets that two texts or more are in
+    hubs = met.groupBy("id").agg(F.sum("n").alias("weight"))  # the text that meets most others, which is close to what they are copies of
+    met = met.join(hubs, "id")
+    met = B.written(met.join(met.groupBy("bucket").agg(F.max_by("id", F.struct("weight", "id")).alias("p")), "bucket").select("bucket", "id", "p"), "pivots")
 
     texts = real.select("id", "sum", "text").join(reps.select("id", "sum").join(met.select("id").distinct(), "id"), ["id", "sum"]).select("id", "text")
     texts = B.written(texts, "texts")
@@ -272,14 +300,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     links = stars.where(F.col("d") <= far).select(F.col("x").alias("a"), F.col("p").alias("b"))
     comps = components(links)
 
-    # buckets that hold more than one component: (bucket, id, distance to the pivot, component)
+    # pivots whose buckets hold more than one component, with those who met them: (p, id, component, common buckets)
     placed = met.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    by_comp = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_comp.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("comps > 1")
-    members = placed.join(mixed.select("bucket", "main"), "bucket").join(stars.withColumnRenamed("x", "id"), ["id", "p"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    members = B.written(members.select("bucket", "id", "p", "d", "comp", "main", F.floor(F.col("d") / far).cast("int").alias("cell")), "mixed")
-    few = members.where("comp <> main").select("bucket", F.col("id").alias("x"), F.col("d").alias("dx"), F.col("comp").alias("cx"), F.col("main").alias("mx"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    pairs = few.join(members, ["bucket", "cell"]).where((F.col("cx") != F.col("comp")) & (F.col("x") != F.col("id")) & (F.abs(F.col("dx") - F.col("d")) <= far))
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
+    members = placed.join(mixed, "bucket").where("id <> p").groupBy("p", "id", "comp").agg(F.collect_set("bucket").alias("buckets"))  # at most `bands` each
+    members = B.written(members, "mixed")
+    by_comp = members.groupBy("p", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("p").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    # u: copies that of all texts compared with the same pivot x alone holds
+    open_stars = stars.withColumnRenamed("x", "id").join(members.select("p", "id"), ["p", "id"], "left_semi")
+    beyond = open_stars.select("p", "id", F.explode(F.arrays_zip("more", "n_more")).alias("m")).groupBy("p", "m.more").agg(F.count(F.lit(1)).alias("holders"), F.first("id").alias("id"), F.first("m.n_more").alias("n"))
+    own = beyond.where("holders = 1").groupBy("p", "id").agg(F.sum("n").alias("u"))
+    known = open_stars.select("p", "id", "d", "w", "w_p", "gone", F.aggregate("n_more", F.lit(0).cast("long"), lambda s, x: s + x).alias("r"))
+    known = known.join(own, ["p", "id"], "left").withColumn("u", F.coalesce("u", F.lit(0))).where(F.col("u") <= far * F.col("w"))
+    members = B.written(members.join(by_comp, "p").join(known, ["p", "id"]).withColumn("cell", F.floor(F.col("d") / far).cast("int")), "open")
+    few = members.where("comp <> main").select("p", F.col("id").alias("x"), *[F.col(c).alias(c + "_x") for c in ("d", "w", "u", "r", "comp", "gone", "buckets")], F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    near = F.abs(F.col("d_x") - F.col("d")) <= far
+    lost = F.aggregate(F.zip_with("gone_x", "gone", lambda i, j: F.bit_count(i.bitwiseOR(j))), F.lit(0), lambda s, n: s + n)
+    shared = F.col("w_p") - lost + F.least(F.col("r_x") - F.col("u_x"), F.col("r") - F.col("u"))
+    enough = shared >= (similarity - 1e-9) * (F.col("w_x") + F.col("w") - shared)
+    pairs = few.join(members, ["p", "cell"]).where((F.col("comp_x") != F.col("comp")) & near & F.arrays_overlap("buckets_x", "buckets") & enough)
     pairs = pairs.select(F.least("x", "id").alias("p"), F.greatest("x", "id").alias("x")).distinct()
     pairs = B.written(pairs.join(stars.select("x", "p"), ["x", "p"], "left_anti"), "rest")
     rest = verified(pairs, texts).where(F.col("d") <= far).select(F.col("x").alias("a"), F.col("p").alias("b"))
