@@ -10,11 +10,13 @@ from allotau.llm.near_dedup import op9_near_dedup
 from allotau.llm.packing import op1_best_fit_packing
 from allotau.llm.secrets import op6_secret_scan
 from allotau.llm.sharding import op4_sharding
+from allotau.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_exact_topk": op3_exact_topk,
     "op4_sharding": op4_sharding,
+    "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op7_ann_search": op7_ann_search,
     "op8_language_id": op8_language_id,
