@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from allotau.llm.ann_search import op7_ann_search
 from allotau.llm.exact_topk import OP3_SQL, op3_exact_topk
+from allotau.llm.html_extract import op2_html_extraction
 from allotau.llm.language_id import op8_language_id
 from allotau.llm.mixing import op10_mixing
 from allotau.llm.near_dedup import op9_near_dedup
@@ -14,6 +15,7 @@ from allotau.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_html_extraction": op2_html_extraction,
     "op3_exact_topk": op3_exact_topk,
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,

@@ -309,20 +309,18 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, learnable: Co
     return fit(B.written(sample, "labelled"))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a text column, and score beside its other columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    others = [f for f in docs.schema.fields if f.name != "text"]
+def score_of(text: Column, model: Model, spark: SparkSession) -> Column:
+    """Probability that the text is toxic."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = Matcher(shared.value.terms)
-        for pdf in batches:
-            n = np.array([count_hits(matcher, t)[0] for t in pdf["text"]]).reshape(-1, len(FEATURES))
-            out = pdf.drop(columns="text")
-            out["score"] = chance(shared.value.weights, n)
-            yield out
+        for texts in batches:
+            n = np.array([count_hits(matcher, t)[0] for t in texts]).reshape(-1, len(FEATURES))
+            yield pd.Series(chance(shared.value.weights, n))
 
-    return docs.mapInPandas(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["score double"]))
+    return score(text)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,5 +328,5 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
     held = B.held_out(F.col("doc_id"), 5, 0)
     model = learn(spark, docs, B.table(spark, sf_dir, "labels"), ~held)
-    got = scored(docs.withColumn("held_out", held), model)
+    got = docs.select("doc_id", held.alias("held_out"), score_of(F.col("text"), model, spark).alias("score"))
     return got.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
