@@ -1,14 +1,81 @@
-"""The corpus pipeline: stages of documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages of documents, each written as Parquet and read again by the next.
+
+Every stage but the last returns the columns of documents, whatever others there are.
+Rows without an id or a text pass all filters; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from allotau.llm import _base as B
+from allotau.llm import mixing, near_dedup, packing, secrets, toxicity
+
+
+def free(name: str, docs: DataFrame) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5 stay."""
+    learnable = ~B.held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.learn(spark, docs, B.table(spark, sf_dir, "labels"), learnable)
+    return docs.where(toxicity.score_of(F.col("text"), model, spark) < 0.5)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of copies and near copies, the document of the smallest id stays, once."""
+    classes = near_dedup.near_duplicates(docs.select("doc_id", "text"))
+    keep = classes.where("doc_id = class_id and sum is not null").select(F.col("doc_id").alias("_i"), F.col("sum").alias("_s")).distinct()
+    key = free("_sum", docs)
+    marked = docs.withColumn(key, F.when(F.col("doc_id").isNotNull() & (F.col("text") != ""), F.md5(F.col("text").cast("binary"))))
+    once = marked.where(F.col(key).isNotNull()).join(keep, (F.col("doc_id") == keep["_i"]) & (F.col(key) == keep["_s"]), "left_semi").dropDuplicates(["doc_id", key])
+    return once.unionByName(marked.where(F.col(key).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are masked, and n_chars follows."""
+    least = secrets.thresholds(docs.select("text"))
+    base, spans = free("_base", docs), free("_spans", docs)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = docs.withColumn(base, secrets.base_spans(text))
+    found = found.withColumn(spans, secrets.all_spans(text, F.col(base), least))
+    masked = found.withColumn("text", secrets.redacted(F.col("text"), F.col(spans)))
+    masked = masked.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return masked.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times (0, 1 or 2) as the mix takes its words, to the nearest; one without words once."""
+    key, copies = free("_hash", docs), free("_copies", docs)
+    same = ["doc_id", "source", "text_hash", "size"]
+    taken = mixing.mix(docs.select("doc_id", "text", "source")).groupBy(*same).agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n"))
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size") / F.col("n"))).otherwise(1).cast("int")
+    taken = taken.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), times.alias(copies)).where(F.col(copies) > 0)
+    marked = docs.withColumn(key, F.xxhash64("text", F.lit(mixing.SEED)))
+    got = marked.join(taken, F.col("doc_id").eqNullSafe(taken["_i"]) & F.col("source").eqNullSafe(taken["_s"]) & (F.col(key) == taken["_h"]))
+    return got.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies)).drop(copies)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, bin_id, capacity, bin_fill, offset: the documents packed into sequences."""
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxic_out),
+    ("near_dedup", one_of_each),
+    ("secrets", secrets_masked),
+    ("mixing", mixed),
+    ("packing", packed),
+]
 
 #: SQL can express none of the model-based stages; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
@@ -17,10 +84,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = B.table(spark, sf_dir, "documents")
     base = f"{B.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        got = stage(spark, docs, sf_dir)
-        if i + 1 == len(STAGES):
-            return got
-        got.write.parquet(f"{base}/{i}")
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
         docs = spark.read.parquet(f"{base}/{i}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
