@@ -7,8 +7,8 @@ base64). Three tests follow: chi-squared uniformity of the alphabet, runs of cha
 classes, and lag-1 serial correlation of the character codes. A token stays a candidate
 if randomness isn't rejected by chi-squared or serial correlation. Its evidence against
 the null "written by people" is the normal score of chi-squared below what a text of that
-length gives (a noncentral chi-squared, so the length counts) joined with that of the
-runs. False discoveries are controlled for each length class apart, by the
+length gives (a noncentral chi-squared, so the length counts), or that of the runs
+beyond a text's, whichever is less. False discoveries are controlled for each length class apart, by the
 Benjamini-Hochberg rule over the scores of the whole corpus, kept as counts in bins of
 fixed number.
 
@@ -94,7 +94,7 @@ def total(values: Column) -> Column:
 def tested(token: Column) -> Column:
     """Struct of encoding and z, the evidence that the token is random rather than text; z is null if randomness is rejected."""
     enc = encoding_of(token)
-    body = F.when(enc == "hex", F.lower(token)).otherwise(F.translate(F.rtrim(F.lit("="), token), "-_", "+/"))
+    body = F.when(enc == "hex", F.lower(token)).otherwise(F.translate(F.rtrim(token, F.lit("=")), "-_", "+/"))
     chars = F.filter(F.split(body, ""), lambda c: c != "")
     k, drift = by_encoding(enc, lambda e: float(ENCODINGS[e][0])), by_encoding(enc, lambda e: ENCODINGS[e][1])
     symbols = by_encoding(enc, lambda e: SYMBOLS[e])
@@ -117,7 +117,7 @@ def tested(token: Column) -> Column:
         z_runs = (changes - TEXT_CHANGES * (n - 1)) / F.sqrt(TEXT_CHANGES * (1 - TEXT_CHANGES) * (n - 1))
         pull = n * st["drift"]
         z_text = (df + pull - chi) / F.sqrt(2 * (df + 2 * pull))
-        z = (z_text + z_runs) / math.sqrt(2)
+        z = F.least(z_text, z_runs)  # both must speak: the larger of two p-values is one for "either null holds"
         return F.when((high <= REJECT) & (F.abs(serial) <= REJECT), z)
 
     state = F.array(F.struct(chars.alias("chars"), k.alias("k"), drift.alias("drift"), symbols.alias("symbols")))
