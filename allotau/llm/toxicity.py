@@ -49,8 +49,9 @@ CONTEXTS, CLEAN_SHARE = 4, 0.08
 FUZZY_LENGTH = 5
 JOINERS = "*@$!"
 FEATURES = ("exact", "misspelled", "quoted exact", "quoted misspelled")
-PRIOR = np.array([-4.0, 4.5, 3.5, 0.5, 0.2])
-PRIOR_WIDTH = 2.0
+#: Intercept and weights of the prior, and its widths: that of the intercept is small, so that many texts without hits don't outweigh a single hit.
+PRIOR = np.array([-4.0, 7.0, 5.5, 1.0, 0.5])
+PRIOR_WIDTH = np.array([0.3, 2.0, 2.0, 2.0, 2.0])
 CHARS = 1 << 20
 
 
@@ -203,18 +204,23 @@ def count_hits(matcher: Matcher, text: str | None) -> tuple[np.ndarray, list[tup
     return n, terms
 
 
+def inputs(counts: np.ndarray) -> np.ndarray:
+    """1, and for each kind of hit 0 if there is none, else 1 and a little more for many."""
+    return np.hstack([np.ones((len(counts), 1)), np.where(counts > 0, 1 + 0.3 * np.log(np.maximum(counts, 1)), 0.0)])
+
+
 def chance(weights: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    x = np.hstack([np.ones((len(counts), 1)), np.log1p(counts)])
+    x = inputs(counts)
     return 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
 
 
 def fit_weights(counts: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression with a normal prior about PRIOR, by Newton's steps."""
-    w, x = PRIOR.copy(), np.hstack([np.ones((len(counts), 1)), np.log1p(counts)])
+    w, x = PRIOR.copy(), inputs(counts)
     for _ in range(30):
         p = chance(w, counts)
         slope = x.T @ (p - y) + (w - PRIOR) / PRIOR_WIDTH**2
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)) / PRIOR_WIDTH**2
+        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(PRIOR_WIDTH**-2.0)
         step = np.linalg.solve(curve, slope)
         w = w - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
     w[1:] = np.maximum(w[1:], 0.0)
