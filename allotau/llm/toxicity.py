@@ -47,6 +47,8 @@ STEM, WORD = 4, 3
 #: A term needs so many contexts in toxic texts, and this share of them at most in clean ones.
 CONTEXTS, CLEAN_SHARE = 4, 0.08
 FUZZY_LENGTH = 5
+#: Share of the toxic texts that a learnt term is in, at least.
+SUPPORT = 0.01
 JOINERS = "*@$!"
 FEATURES = ("exact", "misspelled", "quoted exact", "quoted misspelled")
 #: Intercept and weights of the prior, and its widths: that of the intercept is small, so that many texts without hits don't outweigh a single hit.
@@ -290,14 +292,15 @@ def fit(sample: DataFrame) -> Model:
     by_hit = np.zeros((2, 2 * len(ordered)))
     for y, hits in zip(toxic, got["hits"], strict=True):
         by_hit[int(y), np.array(hits, dtype=int)] += 1
-    # a term, or its misspellings, that clean texts hold about as often as toxic ones says nothing
+    # a term, or its misspellings, that clean texts hold about as often as toxic ones says nothing; nor does a learnt term of very few toxic texts
     rates = by_hit / np.maximum(1, [[(~toxic).sum()], [toxic.sum()]])
+    least = max(3.0, SUPPORT * toxic.sum())
     keep = []
     for i, t in enumerate(ordered):
-        exact, fuzzy = 2 * i, 2 * i + 1
-        if by_hit[0, exact] >= 3 and rates[1, exact] < 4 * rates[0, exact]:
+        (clean_exact, clean_fuzzy), (exact, fuzzy) = by_hit[:, 2 * i : 2 * i + 2]
+        if clean_exact >= 3 and rates[1, 2 * i] < 4 * rates[0, 2 * i] or t.text not in INSULTS and exact < least:
             continue
-        loose = by_hit[0, fuzzy] >= 2 and by_hit[1, fuzzy] < by_hit[0, fuzzy] + 3
+        loose = clean_fuzzy >= 1 and fuzzy < 3 * clean_fuzzy or t.text not in INSULTS and exact < 10
         keep.append(Term(t.text, t.stem, 0 if loose else t.edits))
     got = seen(keep) if keep != ordered else got
     n = np.array(got["n"].tolist()).reshape(-1, len(FEATURES))
