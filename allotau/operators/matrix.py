@@ -67,6 +67,12 @@ def first_series(rows: DataFrame, most: int) -> DataFrame:
     return rows.join(kept, ["dataset", "series_pos"], "left_semi")
 
 
+def first_rows(wide: DataFrame, key: str, n: int = 10) -> DataFrame:
+    """The first n rows of every dataset by an explicit key, with their position; Spark keeps n rows a dataset before it shuffles."""
+    own = Window.partitionBy("dataset").orderBy(key)
+    return wide.withColumn("row_pos", F.row_number().over(own).cast("long") - 1).where(F.col("row_pos") < n)
+
+
 def shape(long: DataFrame) -> DataFrame:
     """dataset, n_rows, n_columns."""
     cells = long.groupBy("dataset", "row_id").agg(F.count(F.lit(1)).alias("n"))

@@ -70,6 +70,12 @@ def minmax_0_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("dataset", "row_id", *[r6(c).alias(c) for c in PART])
 
 
+def data_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 10 rows of every brand, rescaled (the limit is the feature)."""
+    good, _ = transform.transform_wide(part(spark, sf_dir), PART, "rescale_to_0_1")
+    return matrix.first_rows(good, "row_id", PREVIEW).select("dataset", "row_pos", "row_id", *[r6(c).alias(c) for c in PART])
+
+
 def minmax_neg1_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, _ = transform.transform_wide(evt(spark, sf_dir), EVENTS, "rescale_to_-1_1")
     return good.select("dataset", "row_id", *[r6(c).alias(c) for c in EVENTS])
@@ -126,6 +132,11 @@ def scatter_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.scatter(matrix.to_long(part(spark, sf_dir), PART)).select("dataset", "series_pos", "series", "row_id", r6("value").alias("value"))
 
 
+def quasi_scatter_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = points.quasi_scatter(jobs.points_of_wide(evt(spark, sf_dir), EVENTS))
+    return got.select("dataset", "series_pos", "series", r6("tau").alias("tau"), r6("value").alias("value"))
+
+
 def emb_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.points_of_long(emb(spark, sf_dir))
 
@@ -215,8 +226,8 @@ def dataset_status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    numeric_projection, transform_none, minmax_0_1, minmax_neg1_1, minmax_constant_column, minmax_long, log1p_transform, log1p_dataset_status,
-    row_total, quasi_dynamic_order, quasi_preview, transpose_long, slice_n_p, dataset_shape, scatter_points, loglog_points, loglog_skipped_series,
+    numeric_projection, transform_none, data_preview, minmax_0_1, minmax_neg1_1, minmax_constant_column, minmax_long, log1p_transform, log1p_dataset_status,
+    row_total, quasi_dynamic_order, quasi_preview, transpose_long, slice_n_p, dataset_shape, scatter_points, quasi_scatter_points, loglog_points, loglog_skipped_series,
     fit_point_stats, fit_params, fit_large_path, fit_params_log1p, fit_skip_report, fit_unfiltered, power_eval, chebyshev_nodes, curve_sample,
     fit_overlay, curve_unfiltered, dataset_status_report,
 )}
@@ -277,6 +288,8 @@ ORACLE_SQL = {
     "numeric_projection": "SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part",
     "transform_none": "SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, p_name, p_brand, p_type, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part",
     "minmax_0_1": f"WITH {_PART} SELECT dataset, row_id, {', '.join(_scaled(c, 0, 1) for c in PART)} FROM part_m",
+    "data_preview": f"WITH {_PART}, scaled AS (SELECT dataset, row_id, {', '.join(_scaled(c, 0, 1) for c in PART)} FROM part_m) SELECT * FROM (SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY row_id) - 1 AS row_pos, row_id, {', '.join(PART)} FROM scaled) WHERE row_pos < {PREVIEW}",
+    "quasi_scatter_points": f"WITH {_EVT}, {_EVT_TAU}, pts AS ({_unpivot('evt_t', EVENTS)}) SELECT dataset, CAST(series_pos AS INTEGER) AS series_pos, series, round(tau, 6) + 0.0 AS tau, round(value, 6) + 0.0 AS value FROM pts",
     "minmax_neg1_1": f"WITH {_EVT} SELECT dataset, row_id, {', '.join(_scaled(c, -1, 1) for c in EVENTS)} FROM evt_m",
     "minmax_constant_column": f"WITH {_PART} SELECT dataset, row_id, {', '.join(_scaled(c, -1, 1) for c in PART)}, CAST(-1 AS DOUBLE) AS same FROM part_m",
     "minmax_long": f"WITH {_EMB} SELECT dataset, row_id, series_pos, {_scaled('value', 0, 1, ', series_pos')} FROM emb_m",
