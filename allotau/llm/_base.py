@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it; a test session without one gets a new local folder."""
     conf = spark.sparkContext.getConf()
-    where = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    where = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
         if not conf.get("spark.master", "local").startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
@@ -40,19 +39,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parallel(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def words_of(text: Column) -> Column:
     """Number of `[^\\x20\\x09-\\x0D]+` runs; null counts none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def as_long(df: DataFrame, name: str) -> Column:
-    return F.col(f"`{name}`").cast(T.LongType())
-
-
 def sampled(df: DataFrame, key: Column, most: int, seed: int = 7) -> DataFrame:
     """About `most` rows of df at the most (all, if it has no more), chosen by a hash of `key`."""
     n = df.count()

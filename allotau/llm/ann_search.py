@@ -24,7 +24,6 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,7 +168,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, fit_rows: int =
     """vectors, queries (vec_id, v) -> query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     n = vectors.count()
-    sample = B.sampled(vectors, F.col("vec_id"), fit_rows).orderBy("vec_id").toPandas()["v"]
+    sample = B.sampled(vectors, F.col("vec_id"), fit_rows).orderBy("vec_id").limit(fit_rows).toPandas()["v"]
     dim = max(map(len, sample), default=1) or 1
     router = fit(V.matrix(sample, dim), min(MAX_PARTS, max(MIN_PARTS, 1 << max(0, int(math.log2(max(1, n / PART_ROWS)))))), k)
     stored = B.written(parts_of(V.one_a_row(vectors, "v"), router, 1, "parts").select("vec_id", "v", F.col("parts")[0].alias("part")), "ann")

@@ -15,14 +15,13 @@ exact or misspelled, quoted or not, feed a logistic regression with a prior, fit
 labelled sample.
 
 Defined results: a null or empty text has no hits and the score of such a text; repeated
-rows each give a row; a doc_id labelled twice counts as toxic if any label says so; extra
+rows each give a row, and teach once; a doc_id labelled twice counts as toxic if any label says so; extra
 columns are ignored; without toxic labels the prior holds; an empty table gives an empty
 result.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -310,7 +309,8 @@ def fit(sample: DataFrame) -> Model:
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
     """docs (doc_id, text), labels (doc_id, toxic) -> text, toxic of about `most` labelled documents, at the most."""
     one = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.join(F.broadcast(B.sampled(one, F.col("doc_id"), most)), "doc_id").select("text", "toxic")  # `most` rows are broadcast
+    found = docs.join(F.broadcast(B.sampled(one, F.col("doc_id"), most)), "doc_id")  # `most` rows are broadcast
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")  # an id that comes often counts once
 
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, learnable: Column) -> Model:
