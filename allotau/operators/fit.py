@@ -144,13 +144,13 @@ def fit_report(points: DataFrame, min_points: int = 3, large: int = LARGE) -> Da
     stats = written(point_stats(points), "stats")
     valid = points.where(is_valid(F.col("tau"), F.col("value"))).select(*KEYS, "tau", "value")
     enough = stats.where(F.col("used_points") >= min_points)
-    big = enough.where(F.col("used_points") > large).select(*KEYS)
-    few = stats.where(F.col("used_points") < min_points).select(*KEYS)
-    if big.limit(1).count():
+    used = stats.agg(F.max("used_points").alias("most"), F.min("used_points").alias("least")).first()
+    if used["most"] is not None and used["most"] > max(large, min_points - 1):
         small = enough.where(F.col("used_points") <= large).select(*KEYS)
+        big = enough.where(F.col("used_points") > large).select(*KEYS)
         fits = fit_small(valid.join(small, KEYS, "left_semi")).unionByName(fit_large(valid.join(big, KEYS, "left_semi")))
-    elif few.limit(1).count():
-        fits = fit_small(valid.join(few, KEYS, "left_anti"))
+    elif used["least"] is not None and used["least"] < min_points:
+        fits = fit_small(valid.join(stats.where(F.col("used_points") < min_points).select(*KEYS), KEYS, "left_anti"))
     else:
         fits = fit_small(valid)
     report = stats.join(fits, KEYS, "left").withColumn("status", F.coalesce("status", F.lit("too_few_points")))

@@ -71,7 +71,7 @@ def main(argv: list[str] | None = None) -> None:
     if o.job == "quasi":
         result = quasi.ordered(quasi.long_totals(good)).join(good, ["dataset", "row_id"])
     else:
-        result = fit.fit_report(points_of_long(good), o.min_points)
+        result = written(fit.fit_report(points_of_long(good), o.min_points), "report")
         bare = bare.unionByName(fit.unfitted_datasets(result))
         if o.job == "curve":
             result = curves_long(good, result)

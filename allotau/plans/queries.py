@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from allotau.functions import scalar as S
 from allotau.operators import curve, fit, matrix, points, quasi, transform
 from allotau.plans import jobs
+from allotau.sources.tables import written
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 PART = ["p_size", "p_retailprice"]
@@ -198,7 +199,7 @@ def chebyshev_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def curve_of_line(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     wide = line(spark, sf_dir)
-    report, _ = jobs.fit_wide(wide, LINE)
+    report = written(jobs.fit_wide(wide, LINE)[0], "report")  # read by the curves and by the overlay
     return jobs.points_of_wide(wide, LINE), jobs.curves_wide(wide, LINE, report), fit.params(report)
 
 
