@@ -312,7 +312,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     own = beyond.where("holders = 1").groupBy("p", "id").agg(F.sum("n").alias("u"))
     known = open_stars.select("p", "id", "d", "w", "w_p", "gone", F.aggregate("n_more", F.lit(0).cast("long"), lambda s, x: s + x).alias("r"))
     known = known.join(own, ["p", "id"], "left").withColumn("u", F.coalesce("u", F.lit(0))).where(F.col("u") <= far * F.col("w"))
-    members = B.written(members.join(by_comp, "p").join(known, ["p", "id"]).withColumn("cell", F.floor(F.col("d") / far).cast("int")), "open")
+    # last the join on the pivot alone, whose hot keys Spark can then split
+    members = B.written(members.join(known, ["p", "id"]).join(by_comp, "p").withColumn("cell", F.floor(F.col("d") / far).cast("int")), "open")
     few = members.where("comp <> main").select("p", F.col("id").alias("x"), *[F.col(c).alias(c + "_x") for c in ("d", "w", "u", "r", "comp", "gone", "buckets")], F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
     near = F.abs(F.col("d_x") - F.col("d")) <= far
     lost = F.aggregate(F.zip_with("gone_x", "gone", lambda i, j: F.bit_count(i.bitwiseOR(j))), F.lit(0), lambda s, n: s + n)
