@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_batches(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
+    """Runs (from, to) of texts of about `most` characters at the most, or of one longer text."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        n = len(t or "") + 1
+        if size and size + n > most:
+            yield a, i
+            a, size = i, 0
+        size += n
+    if a < len(texts):
+        yield a, len(texts)
+
+
 def words_of(text: Column) -> Column:
     """Number of `[^\\x20\\x09-\\x0D]+` runs; null counts none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -37,6 +37,8 @@ from allotau.llm import _base as B
 FIT_PAGES, SKELETONS = 600, 500
 #: Longest page that a fitting sample takes.
 FIT_CHARS = 200_000
+#: Characters of the pages that are read at once, unless one page has more.
+BATCH_CHARS = 1 << 22
 TREES, DEPTH, RATE, BINS = 40, 4, 0.25, 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -415,10 +417,9 @@ def extract(pages: DataFrame, model: Boosted) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), 256):
-                part = pdf.iloc[i : i + 256]
-                out = part.drop(columns="html")
-                out["text"] = texts_of(part["html"].tolist(), shared.value)
+            for a, b in B.in_batches(pdf["html"].tolist(), BATCH_CHARS):
+                out = pdf.iloc[a:b].drop(columns="html")
+                out["text"] = texts_of(pdf["html"].iloc[a:b].tolist(), shared.value)
                 yield out
 
     return pages.mapInPandas(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["text string"]))

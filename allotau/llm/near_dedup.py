@@ -180,33 +180,21 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
     return out.view(np.int64)
 
 
-def texts_in_batches(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about BATCH_BYTES characters."""
-    a = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > BATCH_BYTES:
-            yield a, i
-            a, size = i, 0
-        size += len(t) + 1
-    if a < len(texts):
-        yield a, len(texts)
-
-
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """docs (id, sum, text) -> id, sum, bands."""
+    """docs (doc_id, sum, text) -> doc_id, sum, bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for a, b in texts_in_batches(texts):
+            for a, b in B.in_batches(texts, BATCH_BYTES):
                 doc, h, n = shingle_counts(texts[a:b])
                 got = band_hashes(bag_signatures(b - a, doc, h, n, bands * rows), bands, rows)
                 some = np.bincount(doc, minlength=b - a) > 0
-                out = pdf.iloc[a:b][["id", "sum"]].copy()
+                out = pdf.iloc[a:b][["doc_id", "sum"]].copy()
                 out["bands"] = [x if s else x[:0] for x, s in zip(got, some, strict=True)]
                 yield out
 
-    return docs.mapInPandas(run, "id long, sum string, bands array<long>")
+    return docs.mapInPandas(run, "doc_id long, sum string, bands array<long>")
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -252,7 +240,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     number[t] = len(texts)
                     texts.append(t)
             bags: list = [None] * len(texts)
-            for a, b in texts_in_batches(texts):
+            for a, b in B.in_batches(texts, BATCH_BYTES):
                 doc, h, n = shingle_counts(texts[a:b])
                 cuts = np.searchsorted(doc, np.arange(b - a + 1))
                 for i in range(b - a):
@@ -282,22 +270,31 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def of_one_id(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """docs (doc_id, sum), reps (id, sum) -> links (a, b) of the different texts that one doc_id comes with, to the first of them."""
+    several = docs.select("doc_id", F.xxhash64("sum").alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("doc_id")
+    texts = docs.select("doc_id", "sum").join(B.written(several, "several"), "doc_id").distinct().join(reps.select("id", "sum"), "sum")
+    first = texts.groupBy("doc_id").agg(F.min("id").alias("b"))
+    return texts.join(first, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs (doc_id, text) -> doc_id, sum (checksum of the text, null if none), class_id (smallest doc_id of the class)."""
     far = 1 - similarity + 1e-12
-    rows_in = docs.select(F.col("doc_id").alias("id"), F.when(F.col("text") != "", F.md5(F.col("text").cast("binary"))).alias("sum"), "text")
-    real = rows_in.where("id is not null and sum is not null")
-    reps = B.written(signed(real, bands, rows).groupBy("sum").agg(F.min_by("bands", "id").alias("bands"), F.min("id").alias("id")), "reps")
+    rows_in = docs.select("doc_id", F.when(F.col("text") != "", F.md5(F.col("text").cast("binary"))).alias("sum"), "text")
+    real = rows_in.where("doc_id is not null and sum is not null")
+    reps = signed(real, bands, rows).groupBy("sum").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("doc_id"))
+    reps = B.written(reps.withColumn("id", F.monotonically_increasing_id()), "reps")  # a number for each different text, as the table holds it
     met = B.written(reps.select("id", F.explode("bands").alias("bucket")).distinct(), "bands")
     met = B.written(met.join(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket"), "buckets")  # only buckets that two texts or more are in
     hubs = met.groupBy("id").agg(F.sum("n").alias("weight"))  # the text that meets most others, which is close to what they are copies of
     met = met.join(hubs, "id")
     met = B.written(met.join(met.groupBy("bucket").agg(F.max_by("id", F.struct("weight", "id")).alias("p")), "bucket").select("bucket", "id", "p"), "pivots")
 
-    texts = real.select("id", "sum", "text").join(reps.select("id", "sum").join(met.select("id").distinct(), "id"), ["id", "sum"]).select("id", "text")
-    texts = B.written(texts, "texts")
+    texts = real.join(reps.select("id", "doc_id", "sum").join(met.select("id").distinct(), "id"), ["doc_id", "sum"]).select("id", "text")
+    texts = B.written(texts.dropDuplicates(["id"]), "texts")  # a row that is repeated counts once
     stars = B.written(verified(met.where("id <> p").select(F.col("id").alias("x"), "p").distinct(), texts), "stars")
-    links = stars.where(F.col("d") <= far).select(F.col("x").alias("a"), F.col("p").alias("b"))
+    links = stars.where(F.col("d") <= far).select(F.col("x").alias("a"), F.col("p").alias("b")).union(B.written(of_one_id(real, reps), "one_id"))
     comps = components(links)
 
     # pivots whose buckets hold more than one component, with those who met them: (p, id, component, common buckets)
@@ -325,8 +322,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     rest = verified(pairs, texts).where(F.col("d") <= far).select(F.col("x").alias("a"), F.col("p").alias("b"))
     comps = components(links.union(rest))
 
-    classes = reps.select("sum", "id").join(comps, "id", "left").select("sum", F.coalesce("comp", "id").alias("comp"))
-    return rows_in.select("id", "sum").join(classes, "sum", "left").select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.col("sum")).alias("sum"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("class_id"))
+    named = reps.select("id", "doc_id").join(comps, "id")
+    named = named.join(named.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "comp").select("id", "class_id")
+    classes = reps.select("sum", "id", "doc_id").join(named, "id", "left").select("sum", F.coalesce("class_id", "doc_id").alias("class_id"))
+    some = F.col("doc_id").isNotNull()
+    return rows_in.select("doc_id", "sum").join(classes, "sum", "left").select("doc_id", F.when(some, F.col("sum")).alias("sum"), F.when(some, F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

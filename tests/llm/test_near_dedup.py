@@ -108,3 +108,18 @@ def test_edges(spark):
     got = classes(spark, docs)
     assert sorted(got, key=str) == sorted([(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 6), (6, 6), (7, 6), (8, 8), (None, None), (9, 9), (10, 9), (11, 9)], key=str)
     assert classes(spark, []) == []
+
+
+def test_texts_of_one_id_are_linked(spark):
+    texts = [" ".join(f"{p}{i}" for i in range(40)) for p in "abcdef"]
+    docs = [(1, texts[0]), (5, texts[0]), (5, texts[1]), (7, texts[1]), (7, texts[1]), (3, texts[2] + " end"), (9, texts[2]), (9, texts[3]), (2, texts[4]), (2, None)]
+    got = classes(spark, docs)
+    assert len(got) == len(docs)
+    assert dict(got) == brute(docs) == {1: 1, 5: 1, 7: 1, 3: 3, 9: 3, 2: 2}
+
+
+def test_one_id_with_many_rows(spark):
+    near = [" ".join(f"w{i}" for i in range(60 + k)) for k in range(4)]
+    docs = [(5, near[0])] * 300 + [(6, near[1]), (4, near[2])] + [(8, near[3])] * 100
+    got = classes(spark, docs)
+    assert len(got) == len(docs) and set(got) == {(5, 4), (6, 4), (4, 4), (8, 4)}
