@@ -32,9 +32,8 @@ MOST = 2
 SEED = 20240601
 #: 1 / golden ratio.
 STEP = 0.6180339887498949
-#: Slots of a schedule, about; blocks are as large as that makes them, of MIN_BLOCK words at least.
-SLOTS = 1 << 18
-MIN_BLOCK = 256
+#: Words of a block, whatever the size of the corpus.
+BLOCK = 512
 #: Documents of one sub-stream of a source, about; sub-streams of a source, at least.
 RUN_ROWS, MIN_RUNS = 20_000, 256
 #: Slots ranked in one window.
@@ -109,27 +108,26 @@ def schedule(aims: DataFrame, words: int, block: int) -> DataFrame:
     return running(slots, ["skey"], "chunk", F.lit(1), ["slot"], "rank").select("slot", "skey", "rank")
 
 
-def streams(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Documents laid out in their sources' streams; sources with targets; block size."""
+def streams(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents laid out in their sources' streams; sources with targets."""
     runs = max(MIN_RUNS, math.ceil(docs.count() / RUN_ROWS))
     rows = docs.select("doc_id", "source", source_key(F.col("source")).alias("skey"), B.words_of(F.col("text")).alias("size"), F.xxhash64("text", F.lit(SEED)).alias("text_hash"))
     rows = rows.withColumn("order", F.xxhash64("doc_id", "skey", "text_hash", F.lit(SEED)))
     rows = B.written(rows.withColumn("run", F.pmod(F.shiftright("order", 8), F.lit(runs)).cast("int")), "mix")
     sizes = B.written(rows.groupBy("skey").agg(F.sum("size").alias("source_size")), "sizes")
-    words = sizes.agg(F.sum("source_size")).first()[0] or 0
     aims = B.written(source_targets(sizes), "aims")
     laid = running(rows, ["skey"], "run", F.col("size"), ["order", "doc_id", "text_hash"], "offset")
     # equal rows share an order but not a place, unless they hold no words
     twin = F.row_number().over(Window.partitionBy("skey", "run").orderBy("order", "doc_id", "text_hash"))
-    return laid.withColumn("twin", twin), aims, max(MIN_BLOCK, math.ceil(words * SHARE / SLOTS))
+    return laid.withColumn("twin", twin), aims
 
 
-def mixture(docs: DataFrame) -> DataFrame:
+def mixture(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix itself, one row a piece: slot (place in the schedule), and the words of the document that it takes there.
 
     Documents that the mix takes nothing of have one row with slot null and n_words 0.
     """
-    laid, aims, block = streams(docs)
+    laid, aims = streams(docs)
     words = aims.agg(F.sum("source_size")).first()[0] or 0
     slots = schedule(aims, words, block)
     laid = laid.join(aims.withColumn("quota", F.round("target").cast("long")), "skey")

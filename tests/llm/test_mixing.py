@@ -6,6 +6,7 @@ import pytest
 from allotau.llm import mixing as M
 
 SCHEMA = "doc_id long, text string, source string, taken long"
+BLOCK = 256
 
 
 def data():
@@ -45,9 +46,9 @@ def test_mix(spark):
 
 def test_pieces_are_whole_and_follow_the_schedule(spark):
     df = spark.createDataFrame(data(), SCHEMA)
-    pieces = M.mixture(df).where("n_words > 0").collect()
+    pieces = M.mixture(df, BLOCK).where("n_words > 0").collect()
     words = sum(len((t or "").split()) for _, t, *_ in data())
-    slots = math.ceil(words * 1.5 / M.MIN_BLOCK)
+    slots = math.ceil(words * 1.5 / BLOCK)
     by = defaultdict(list)
     for p in pieces:
         by[p["skey"], p["run"], p["twin"], p["time"]].append((p["from_word"], p["n_words"]))
@@ -59,7 +60,7 @@ def test_pieces_are_whole_and_follow_the_schedule(spark):
     in_slot = defaultdict(int)
     for p in pieces:
         in_slot[p["slot"]] += p["n_words"]
-    assert max(in_slot.values()) <= M.MIN_BLOCK
+    assert max(in_slot.values()) <= BLOCK
     # at every prefix of the schedule each source has had about its share
     target = {p["skey"]: p["target"] for p in pieces}
     for upto in range(1, slots):
@@ -68,7 +69,7 @@ def test_pieces_are_whole_and_follow_the_schedule(spark):
             if p["slot"] < upto:
                 had[p["skey"]] += p["n_words"]
         for s, t in target.items():
-            assert abs(had[s] - t * upto / slots) <= 4 * M.MIN_BLOCK
+            assert abs(had[s] - t * upto / slots) <= 4 * BLOCK
 
 
 def test_empty(spark):
