@@ -21,10 +21,15 @@ their connected components.
    these bounds leave.
 5. Components by repeated smallest labels with pointer jumping, each round a table.
 
+Classes are of texts: only verified similarity links them. Of each, the text of the smallest
+doc_id (of those, of the smallest checksum) is kept and names the class. The class of a
+document is derived from them afterwards: an id that comes with several texts belongs to the
+classes of all, and documents that share a class of texts, directly or by others, are one.
+
 Defined results: null and empty texts are classes of their own; a text without words
-equals only the same text; an id that comes with several texts links them; rows without an
-id stay alone, with no class; repeated rows each give a row; extra columns are ignored; an
-empty table gives an empty result.
+equals only the same text; an id that comes with several texts links documents, not texts;
+rows without an id stay alone, with no class; repeated rows each give a row; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -270,16 +275,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def of_one_id(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """docs (doc_id, sum), reps (id, sum) -> links (a, b) of the different texts that one doc_id comes with, to the first of them."""
-    several = docs.select("doc_id", F.xxhash64("sum").alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("doc_id")
-    texts = docs.select("doc_id", "sum").join(B.written(several, "several"), "doc_id").distinct().join(reps.select("id", "sum"), "sum")
-    first = texts.groupBy("doc_id").agg(F.min("id").alias("b"))
-    return texts.join(first, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+def of_one_id(docs: DataFrame, several: DataFrame, classes: DataFrame) -> DataFrame:
+    """docs (doc_id, sum), several (doc_id), classes (sum, comp) -> links (a, b) of the different classes that one doc_id comes with, to the first of them."""
+    comps = docs.select("doc_id", "sum").join(several, "doc_id").distinct().join(classes.select("sum", "comp"), "sum")
+    first = comps.groupBy("doc_id").agg(F.min("comp").alias("b"))
+    return comps.join(first, "doc_id").where("comp <> b").select(F.col("comp").alias("a"), "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, sum (checksum of the text, null if none), class_id (smallest doc_id of the class)."""
+    """docs (doc_id, text) -> doc_id, sum (checksum of the text, null if none), class_id (smallest doc_id of the documents' class), text_class (checksum of the text that stands for the texts' class), kept (the row has that text and the smallest doc_id it comes with)."""
     far = 1 - similarity + 1e-12
     rows_in = docs.select("doc_id", F.when(F.col("text") != "", F.md5(F.col("text").cast("binary"))).alias("sum"), "text")
     real = rows_in.where("doc_id is not null and sum is not null")
@@ -294,7 +298,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     texts = real.join(reps.select("id", "doc_id", "sum").join(met.select("id").distinct(), "id"), ["doc_id", "sum"]).select("id", "text")
     texts = B.written(texts.dropDuplicates(["id"]), "texts")  # a row that is repeated counts once
     stars = B.written(verified(met.where("id <> p").select(F.col("id").alias("x"), "p").distinct(), texts), "stars")
-    links = stars.where(F.col("d") <= far).select(F.col("x").alias("a"), F.col("p").alias("b")).union(B.written(of_one_id(real, reps), "one_id"))
+    links = stars.where(F.col("d") <= far).select(F.col("x").alias("a"), F.col("p").alias("b"))
     comps = components(links)
 
     # pivots whose buckets hold more than one component, with those who met them: (p, id, component, common buckets)
@@ -322,14 +326,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     rest = verified(pairs, texts).where(F.col("d") <= far).select(F.col("x").alias("a"), F.col("p").alias("b"))
     comps = components(links.union(rest))
 
-    named = reps.select("id", "doc_id").join(comps, "id")
-    named = named.join(named.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "comp").select("id", "class_id")
-    classes = reps.select("sum", "id", "doc_id").join(named, "id", "left").select("sum", F.coalesce("class_id", "doc_id").alias("class_id"))
+    named = reps.select("id", "doc_id", "sum").join(comps, "id")
+    named = named.join(named.groupBy("comp").agg(F.min(F.struct("doc_id", "sum")).alias("first")), "comp").select("id", "comp", "first")
+    classes = reps.select("sum", "id", "doc_id").join(named, "id", "left")
+    classes = classes.select("sum", F.coalesce("comp", "id").alias("comp"), F.coalesce("first", F.struct("doc_id", "sum")).alias("first"))
+    several = B.written(real.select("doc_id", F.xxhash64("sum").alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("doc_id"), "several")
+    own = F.col("first.doc_id")
+    if several.limit(1).count():
+        classes = B.written(classes, "classes")
+        joint = components(B.written(of_one_id(real, several, classes), "one_id")).select(F.col("id").alias("comp"), F.col("comp").alias("joint"))
+        joint = classes.join(joint, "comp")
+        joint = joint.join(joint.groupBy("joint").agg(F.min("first.doc_id").alias("least")), "joint").select("sum", "least")
+        classes, own = classes.join(joint, "sum", "left"), F.coalesce("least", own)
+    classes = classes.select("sum", own.alias("class_id"), "first")
     some = F.col("doc_id").isNotNull()
-    return rows_in.select("doc_id", "sum").join(classes, "sum", "left").select("doc_id", F.when(some, F.col("sum")).alias("sum"), F.when(some, F.coalesce("class_id", "doc_id")).alias("class_id"))
+    got = rows_in.select("doc_id", "sum").join(classes, "sum", "left")
+    kept = F.coalesce((F.col("doc_id") == F.col("first.doc_id")) & (F.col("sum") == F.col("first.sum")), F.lit(True))
+    return got.select("doc_id", *[F.when(some, c).alias(name) for name, c in (("sum", F.col("sum")), ("class_id", F.coalesce("class_id", "doc_id")), ("text_class", F.col("first.sum")), ("kept", kept))])
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class), kept (it is that document) of every document."""
-    got = near_duplicates(B.table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    """doc_id, class_id (the smallest doc_id of the documents' class), text_class (checksum of the text that stands for the texts' class), kept (the row is that text's, of its smallest doc_id) of every document."""
+    return near_duplicates(B.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "text_class", "kept")

@@ -31,9 +31,9 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of copies and near copies, the document of the smallest id stays, once."""
+    """Of each class of equal and nearly equal texts, the text of the smallest id stays, once, whatever other texts its ids come with."""
     classes = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    keep = classes.where("doc_id = class_id and sum is not null").select(F.col("doc_id").alias("_i"), F.col("sum").alias("_s")).distinct()
+    keep = classes.where("kept and sum is not null").select(F.col("doc_id").alias("_i"), F.col("sum").alias("_s")).distinct()
     key = free("_sum", docs)
     marked = docs.withColumn(key, F.when(F.col("doc_id").isNotNull() & (F.col("text") != ""), F.md5(F.col("text").cast("binary"))))
     once = marked.where(F.col(key).isNotNull()).join(keep, (F.col("doc_id") == keep["_i"]) & (F.col(key) == keep["_s"]), "left_semi").dropDuplicates(["doc_id", key])

@@ -123,3 +123,12 @@ def test_one_id_with_many_rows(spark):
     docs = [(5, near[0])] * 300 + [(6, near[1]), (4, near[2])] + [(8, near[3])] * 100
     got = classes(spark, docs)
     assert len(got) == len(docs) and set(got) == {(5, 4), (6, 4), (4, 4), (8, 4)}
+
+
+def test_texts_of_one_id_stay_classes_of_their_own(spark):
+    texts = [" ".join(f"{p}{i}" for i in range(40)) for p in "abc"]
+    docs = [(1, texts[0]), (5, texts[0]), (5, texts[1]), (7, texts[1] + " end"), (5, texts[2]), (5, texts[2] + " end")]
+    got = N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in got} == {1} and len({r["text_class"] for r in got}) == 3
+    kept = [(r["doc_id"], r["text_class"]) for r in got if r["kept"]]
+    assert sorted(i for i, _ in kept) == [1, 5, 5] and len(set(kept)) == 3

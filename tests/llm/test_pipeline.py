@@ -90,3 +90,10 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_one_of_each_keeps_a_row_of_every_text_class(spark, tmp_path):
+    a, b = (" ".join(f"{p}{i}" for i in range(40)) for p in "ab")
+    docs = [(1, a), (5, a), (5, b), (7, b), (7, b + " end"), (8, None)]
+    got = P.one_of_each(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, a), (5, b), (8, None)]
