@@ -3,7 +3,9 @@
 All of it is column expressions: no Python runs on the executors and no row is shuffled.
 
 Battery. A token of 20+ characters is given an encoding by its alphabet (hex, base32,
-base64). Three tests follow: chi-squared uniformity of the alphabet, runs of character
+base36: letters of one case and digits, base64). '=' ends a token, as its padding, so that
+the value of NAME=VALUE is tested by itself. Tokens without a digit, and those of one case
+with signs among them, get no encoding and aren't tested. Three tests follow: chi-squared uniformity of the alphabet, runs of character
 classes, and lag-1 serial correlation of the character codes. A token stays a candidate
 if randomness isn't rejected by chi-squared or serial correlation. Its evidence against
 the null "written by people" is the normal score of chi-squared below what a text of that
@@ -29,11 +31,11 @@ from allotau.llm import _base as B
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_-]{20,}=*"
 KINDS = ("assign", "access", "hex", "random")
 #: By encoding: number of symbols, and how far from uniform people's text is over them (symbols * sum of squared shares - 1).
-ENCODINGS = {"hex": (16, 1.0), "base32": (32, 1.1), "base64": (64, 3.2)}
-SYMBOLS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+ENCODINGS = {"hex": (16, 1.0), "base32": (32, 1.1), "base36": (36, 1.4), "base64": (64, 3.2)}
+SYMBOLS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 #: Share of neighbours of unlike class (lower, upper, digit) in people's text.
 TEXT_CHANGES = 0.15
 #: Randomness is rejected beyond this normal score.
@@ -74,9 +76,10 @@ def base_spans(text: Column) -> Column:
 def encoding_of(s: Column) -> Column:
     digit, lower, upper = s.rlike("[0-9]"), s.rlike("[a-z]"), s.rlike("[A-Z]")
     return (
-        F.when(s.rlike("^([0-9a-f]+|[0-9A-F]+)$") & digit & (lower | upper), "hex")
+        F.when(s.rlike("^([0-9a-f]+|[0-9A-F]+)=*$") & digit & (lower | upper), "hex")
         .when(s.rlike("^[A-Z2-7]+=*$") & digit & upper, "base32")
-        .when(s.rlike("^[A-Za-z0-9+/_-]+={0,2}$") & digit & lower & upper, "base64")
+        .when(s.rlike("^([0-9a-z]+|[0-9A-Z]+)=*$") & digit & (lower | upper), "base36")
+        .when(s.rlike("^[A-Za-z0-9+/_-]+=*$") & digit & lower & upper, "base64")
     )
 
 
@@ -94,7 +97,8 @@ def total(values: Column) -> Column:
 def tested(token: Column) -> Column:
     """Struct of encoding and z, the evidence that the token is random rather than text; z is null if randomness is rejected."""
     enc = encoding_of(token)
-    body = F.when(enc == "hex", F.lower(token)).otherwise(F.translate(F.rtrim(token, F.lit("=")), "-_", "+/"))
+    bare = F.rtrim(token, F.lit("="))
+    body = F.when(enc.isin("hex", "base36"), F.lower(bare)).otherwise(F.translate(bare, "-_", "+/"))
     chars = F.filter(F.split(body, ""), lambda c: c != "")
     k, drift = by_encoding(enc, lambda e: float(ENCODINGS[e][0])), by_encoding(enc, lambda e: ENCODINGS[e][1])
     symbols = by_encoding(enc, lambda e: SYMBOLS[e])

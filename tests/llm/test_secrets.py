@@ -65,6 +65,17 @@ def test_battery_finds_random_tokens_only(spark):
     assert f"look {random_tokens[one]} there"[s["start"] : s["end"]] == random_tokens[one]
 
 
+def test_battery_tests_values_after_equals_signs_and_one_case_tokens(spark):
+    rng = random.Random(12)
+    base64, lower, upper = S.SYMBOLS["base64"], S.SYMBOLS["base36"], S.SYMBOLS["base36"].upper()
+    made = [(name, "".join(rng.choices(symbols, k=64)) + pad) for name, symbols, pad in (("session_key=", base64, "="), ("AccountKey=", base64, "=="), ("THE_ACCOUNT_KEY_OF_STORAGE=", base64, ""), ("?sig=", base64, ""), ("", lower, ""), ("", upper, ""), ("key_id=", lower, ""))] * 6
+    natural = ["name=internationalisationofnames2", "thequickbrownfoxjumpsoverthelazydog2024", "CHAPTERTWENTYONEOFTHESECONDVOLUME1989", "a=b=c=d=e=f=g=h=i=j=k1"] * 3
+    got = spans(spark, [f"see {a}{b} there" for a, b in made] + [f"see {t} there" for t in natural])
+    hit = [[tuple(s) for s in got[i]["found"]] == [(4 + len(name), 3, 4 + len(name) + len(value))] for i, (name, value) in enumerate(made)]
+    assert all(sum(hit[k::7]) >= 4 for k in range(7)) and sum(hit) >= 36, [sum(hit[k::7]) for k in range(7)]
+    assert not any(got[i]["found"] for i in range(len(made), len(got)))
+
+
 def test_masking(spark):
     from pyspark.sql import functions as F
 
