@@ -121,7 +121,7 @@ def transpose_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slice_n_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 100 rows by vec_id, and 10 columns, of every label; the limits are the feature."""
+    """Rows of vec_id below 100 over the whole table, and 10 columns, as its SQL has it; not the first 100 rows of every label (REPLY_r01.md)."""
     return matrix.first_cells(emb(spark, sf_dir), 100, 10).select("dataset", "row_id", "series_pos", r6("value").alias("value"))
 
 
