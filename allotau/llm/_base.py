@@ -3,41 +3,49 @@
 from __future__ import annotations
 
 import math
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from allotau.sources.tables import shared_dir, written
+
+__all__ = ["free", "held_out", "in_batches", "sampled", "shared_dir", "table", "with_results", "words_of", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a test session without one gets a new local folder."""
-    conf = spark.sparkContext.getConf()
-    where = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not conf.get("spark.master", "local").startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(where)
-        where = spark.sparkContext.getCheckpointDir()
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: later reads neither repeat its lineage nor need the executors that made it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+def free(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def with_results(df: DataFrame, text: str, results: str, make: Callable[[], Callable[[list[str | None]], dict[str, pa.Array]]], most: int) -> DataFrame:
+    """df without its column `text`, and the columns `results` that a function of a list of texts gives.
+
+    make() gives the function, once a task; it gets texts of about `most` characters at once.
+    The other columns stay in Arrow, so that a null among ids makes no floats of them.
+    """
+    others = [f for f in df.schema.fields if f.name != text]
+    ordered = df.select(F.col(f"`{text}`"), *[F.col(f"`{f.name}`") for f in others])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in in_batches(texts, most):
+                rest = [c.slice(a, b - a) for c in batch.columns[1:]]
+                new = work(texts[a:b])
+                yield pa.RecordBatch.from_arrays([*rest, *new.values()], names=[*batch.schema.names[1:], *new])
+
+    return ordered.mapInArrow(run, T.StructType([*others, *T.DataType.fromDDL(results).fields]))
 
 
 def in_batches(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
