@@ -1,7 +1,9 @@
 """The corpus pipeline: stages of documents, each written as Parquet and read again by the next.
 
-Every stage but the last returns the columns of documents, whatever others there are.
-Rows without an id or a text pass all filters; an empty table gives an empty result.
+Every stage but the last returns the columns of documents, whatever others there are and
+whatever they are called. Rows without an id or a text pass all filters; a null source is a
+source; of repeated rows one stays at near_dedup; of texts that tie, the one of the smallest
+id; long texts are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,14 +17,6 @@ from allotau.llm import _base as B
 from allotau.llm import mixing, near_dedup, packing, secrets, toxicity
 
 
-def free(name: str, docs: DataFrame) -> str:
-    """A column name that docs doesn't have."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5 stay."""
     learnable = ~B.held_out(F.col("doc_id"), 5, 0)
@@ -32,18 +26,18 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of equal and nearly equal texts, the text of the smallest id stays, once, whatever other texts its ids come with."""
+    key, kept_id, kept_sum = B.free("_sum", docs), B.free("_kept_id", docs), B.free("_kept_sum", docs)
     classes = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    keep = classes.where("kept and sum is not null").select(F.col("doc_id").alias("_i"), F.col("sum").alias("_s")).distinct()
-    key = free("_sum", docs)
+    keep = classes.where("kept and sum is not null").select(F.col("doc_id").alias(kept_id), F.col("sum").alias(kept_sum)).distinct()
     marked = docs.withColumn(key, F.when(F.col("doc_id").isNotNull() & (F.col("text") != ""), F.md5(F.col("text").cast("binary"))))
-    once = marked.where(F.col(key).isNotNull()).join(keep, (F.col("doc_id") == keep["_i"]) & (F.col(key) == keep["_s"]), "left_semi").dropDuplicates(["doc_id", key])
+    once = marked.where(F.col(key).isNotNull()).join(keep, (F.col("doc_id") == F.col(kept_id)) & (F.col(key) == F.col(kept_sum)), "left_semi").dropDuplicates(["doc_id", key])
     return once.unionByName(marked.where(F.col(key).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are masked, and n_chars follows."""
     least = secrets.thresholds(docs.select("text"))
-    base, spans = free("_base", docs), free("_spans", docs)
+    base, spans = B.free("_base", docs), B.free("_spans", docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.withColumn(base, secrets.base_spans(text))
     found = found.withColumn(spans, secrets.all_spans(text, F.col(base), least))
@@ -54,14 +48,14 @@ def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times (0, 1 or 2) as the mix takes its words, to the nearest; one without words once."""
-    key, copies = free("_hash", docs), free("_copies", docs)
-    same = ["doc_id", "source", "text_hash", "size"]
-    taken = mixing.mix(docs.select("doc_id", "text", "source")).groupBy(*same).agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n"))
+    key, mix_id, mix_source, mix_hash, copies = (B.free(name, docs) for name in ("_hash", "_mix_id", "_mix_source", "_mix_hash", "_copies"))
+    rows = mixing.mix(docs.select("doc_id", "text", "source")).groupBy("doc_id", "source", "text_hash", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n"))
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size") / F.col("n"))).otherwise(1).cast("int")
-    taken = taken.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), times.alias(copies)).where(F.col(copies) > 0)
+    rows = rows.select(F.col("doc_id").alias(mix_id), F.col("source").alias(mix_source), F.col("text_hash").alias(mix_hash), times.alias(copies)).where(F.col(copies) > 0)
     marked = docs.withColumn(key, F.xxhash64("text", F.lit(mixing.SEED)))
-    got = marked.join(taken, F.col("doc_id").eqNullSafe(taken["_i"]) & F.col("source").eqNullSafe(taken["_s"]) & (F.col(key) == taken["_h"]))
-    return got.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies)).drop(copies)
+    got = marked.join(rows, F.col("doc_id").eqNullSafe(F.col(mix_id)) & F.col("source").eqNullSafe(F.col(mix_source)) & (F.col(key) == F.col(mix_hash)))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return got.select(*own, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(key)).select(*own)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
