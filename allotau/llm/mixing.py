@@ -151,7 +151,7 @@ def streams(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def pieces(laid: DataFrame, slots: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
     """laid (ROW, source_size, offset), slots (slot, skey, rank) -> ROW, slot, time, from_word, n_words: what each slot's block holds of each document."""
-    ends = slots.groupBy("skey").agg(F.max("rank").alias("last"))  # no later block is asked for
+    ends = B.written(slots.groupBy("skey").agg(F.max("rank").alias("last")), "ends")  # no later block is asked for; of known size, so that a few sources need no shuffle by source
     times = laid.where("size > 0").join(ends, "skey").withColumn("time", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     times = times.withColumn("low", F.col("time") * F.col("source_size") + F.col("offset")).withColumn("high", F.col("low") + F.col("size"))
     first, last = F.floor(F.col("low") / block), F.least(F.floor((F.col("high") - 1) / block), F.col("last"))
