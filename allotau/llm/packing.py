@@ -9,19 +9,22 @@ bin is then downsized to the shortest length that holds its contents, and the pa
 least total cost wins.
 
 Packing runs where the rows are: each input partition packs its own documents, in blocks
-of BLOCK pieces, so nothing is shuffled and memory is bounded; of texts only the word
-counts reach Python. Bins are whole within a block, whose loss is part of one bin of each
-length. Rows are sorted within a block, so a partition recomputed after a loss packs the
-same way.
+of BLOCK pieces, so memory is bounded; of texts only the word counts reach Python. Bins
+that stay less than FULL full, of which each block leaves a few, are undone, and their
+pieces pooled: they alone are shuffled, into as few partitions as blocks hold them, and
+packed again. Rows are sorted within a block, so a partition recomputed after a loss packs
+the same way.
 
 Defined results: a null text, or one without words, has one row with length 0, bin_id and
 capacity null; rows with null or repeated ids, and repeated rows, are packed as rows of
-their own; equal pieces tie by (doc_id, piece); extra columns are ignored; an empty table
-gives an empty result.
+their own; ids of any size come out as they are; equal pieces tie by (doc_id, piece); a
+very long text becomes many pieces; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,9 +36,12 @@ from allotau.llm import _base as B
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 BLOCK = 100_000
-#: Bins of one partition have ids below this number apart.
-BIN_IDS = 1 << 33
-SCHEMA = "doc_id long, piece int, start long, length long, bin_id long, capacity int, bin_fill int, offset int"
+#: Bins that are less full than this are packed again with those of other partitions.
+FULL = 0.98
+#: Bins of one partition have ids below this number apart; the second round's partitions are numbered from POOL.
+BIN_IDS, POOL = 1 << 33, 1 << 24
+SCHEMA = "doc_id long, no_id boolean, piece int, start long, length long, bin_id long, capacity int, bin_fill int, offset int"
+COLUMNS = ["doc_id", "piece", "start", "length", "bin_id", "capacity", "bin_fill", "offset"]
 
 
 def default_cost(capacity: int) -> float:
@@ -100,16 +106,16 @@ def pack_block(lengths: np.ndarray, capacities: tuple[int, ...], cost: Callable[
 def cut(pdf: pd.DataFrame, longest: int) -> pd.DataFrame:
     """A row for each piece of at most `longest` words; one of length 0 for a document without words."""
     n = np.maximum(1, -(-pdf["length"].to_numpy() // longest))
-    out = pdf.loc[pdf.index.repeat(n), ["doc_id", "length", "part"]].reset_index(drop=True)
-    out["piece"] = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
-    out["start"] = out["piece"] * longest
-    out["length"] = np.minimum(out["length"] - out["start"], longest)
+    out = pdf.loc[pdf.index.repeat(n)].reset_index(drop=True)
+    more = (np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)) * (np.repeat(n, n) > 1)
+    out["piece"] += more
+    out["start"] += more * longest
+    out["length"] = np.minimum(out["length"] - more * longest, longest)
     return out
 
 
-def pack_lengths(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, cost: Callable[[int], float] = default_cost, block: int = BLOCK) -> DataFrame:
-    """lengths (doc_id, length) -> doc_id, piece, start, length, bin_id, capacity, bin_fill, offset; all in words."""
-    capacities = tuple(sorted(capacities))
+def packed_in_place(pieces: DataFrame, capacities: tuple[int, ...], cost: Callable[[int], float], block: int, first_part: int) -> DataFrame:
+    """pieces (doc_id, no_id, piece, start, length) -> SCHEMA: each partition packed by itself."""
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
@@ -127,16 +133,30 @@ def pack_lengths(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, c
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = 0
         for got in blocks(batches):
-            got = got.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
+            got = got.sort_values(["length", "no_id", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
             full = int((got["length"] > 0).sum())
             where, offsets, size, fill = pack_block(got["length"].to_numpy()[:full], capacities, cost) if full else [np.zeros(0, np.int64)] * 4
-            for name, x in (("bin_id", where + first + got["part"].to_numpy()[:full] * BIN_IDS), ("capacity", size), ("bin_fill", fill), ("offset", offsets)):
+            for name, x in (("bin_id", where + first + (got["part"].to_numpy()[:full] + first_part) * BIN_IDS), ("capacity", size), ("bin_fill", fill), ("offset", offsets)):
                 got[name] = pd.Series(pd.array(x, dtype="Int64"), index=got.index[:full]).reindex(got.index)
             first += int(where.max()) + 1 if full else 0
-            yield got[["doc_id", "piece", "start", "length", "bin_id", "capacity", "bin_fill", "offset"]]
+            yield got[["doc_id", "no_id", "piece", "start", "length", "bin_id", "capacity", "bin_fill", "offset"]]
+
+    return pieces.withColumn("part", F.spark_partition_id().cast("long")).mapInPandas(run, SCHEMA)
 
-    part = F.spark_partition_id().cast("long").alias("part")
-    return lengths.select(F.col("doc_id").cast("long"), F.col("length").cast("long"), part).mapInPandas(run, SCHEMA)
+
+def pack_lengths(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, cost: Callable[[int], float] = default_cost, block: int = BLOCK) -> DataFrame:
+    """lengths (doc_id, length) -> doc_id, piece, start, length, bin_id, capacity, bin_fill, offset; all in words."""
+    capacities = tuple(sorted(capacities))
+    zero = F.lit(0).cast("long")
+    # a null among longs would make floats of them in pandas, so a flag stands for it
+    whole = lengths.select(F.coalesce(F.col("doc_id").cast("long"), zero).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.lit(0).alias("piece"), zero.alias("start"), F.col("length").cast("long"))
+    packed = B.written(packed_in_place(whole, capacities, cost, block, 0), "packed")
+    loose = F.coalesce(F.col("bin_fill") < FULL * F.col("capacity"), F.lit(False))
+    pool = packed.where(loose).select("doc_id", "no_id", "piece", "start", "length")
+    parts = math.ceil(max(1, pool.count()) / block)
+    again = packed_in_place(pool.repartition(parts, "doc_id", "piece"), capacities, cost, block, POOL)
+    got = packed.where(~loose).unionByName(again)
+    return got.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), *COLUMNS[1:])
 
 
 def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, cost: Callable[[int], float] = default_cost) -> DataFrame:

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+from conftest import SF
 
 from allotau.llm import packing as P
 
@@ -84,3 +85,27 @@ def test_texts_of_bins(spark):
 
 def test_empty(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_ids_of_any_size_beside_a_null(spark):
+    ids = [None, (1 << 60) + 1, (1 << 60) + 2, -5, 0]
+    df = spark.createDataFrame([(i, "a b " * (k + 1)) for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: r["length"] for r in P.pack(df).collect()} == {i: 2 * (k + 1) for k, i in enumerate(ids)}
+
+
+def test_loose_bins_are_pooled(spark):
+    """300 texts over 30 partitions: bins of their own would be mostly air."""
+    df = spark.createDataFrame([(i, "w " * 300) for i in range(300)], "doc_id long, text string").repartition(30)
+    bins = {(r["bin_id"], r["capacity"]) for r in P.pack(df).collect()}
+    assert sum(c for _, c in bins) <= 1.15 * 300 * 300
+
+
+def test_query(spark):
+    got = P.op1_best_fit_packing(spark, SF).collect()
+    words, bins = defaultdict(int), defaultdict(int)
+    for r in got:
+        words[r["doc_id"]] += r["length"]
+        bins[r["bin_id"], r["capacity"], r["bin_fill"]] += r["length"]
+    want = {r["doc_id"]: len(r["text"].split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert words == want
+    assert all(n == fill <= capacity for (_, capacity, fill), n in bins.items() if capacity)
