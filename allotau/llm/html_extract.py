@@ -12,10 +12,15 @@ The trees are fitted on two bounded sets: pages of the table that mark their art
 (article or main), with what lies outside, or inside of it in furniture, as negatives;
 and pages laid out at random by `skeleton`, which has layouts that a table may lack.
 
+Pages are read in one pass whose time is in proportion to their length, whatever is broken
+in them: open tags are counted and their places kept, so no tag looks through the open ones.
+
 Defined results: a null or empty html, or one without text, gives an empty text; broken
-markup is read as browsers do in the main cases (unclosed and stray tags); repeated rows
-each give a row; extra columns are ignored; an empty table gives an empty result. A null
-page_id or url stays null.
+markup is read as browsers do in the main cases (unclosed and stray tags, a head without an
+end); a quote counts after '=' only; if no '>' outside of quotes follows a tag, it and all later
+ones end at their first '>'; what follows the last '>' is text; very long pages are read whole; repeated rows each give a row; extra
+columns are ignored; an empty table gives an empty result. A null page_id or url stays
+null, and ids of any size come out as they are.
 """
 
 from __future__ import annotations
@@ -23,11 +28,12 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
-from collections.abc import Iterator
+from array import array
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +41,10 @@ from allotau.llm import _base as B
 
 #: Pages of the table, and laid-out pages, that the trees are fitted on, at most.
 FIT_PAGES, SKELETONS = 600, 500
-#: Longest page that a fitting sample takes.
-FIT_CHARS = 200_000
-#: Characters of the pages that are read at once, unless one page has more.
-BATCH_CHARS = 1 << 22
+#: Longest page that a fitting sample takes: the driver holds FIT_PAGES times that at most.
+FIT_CHARS = 32_768
+#: Characters of the pages that are read at once, unless one page has more; nodes that the trees see at once.
+BATCH_CHARS, BATCH_NODES = 1 << 21, 1 << 16
 TREES, DEPTH, RATE, BINS = 40, 4, 0.25, 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,6 +54,7 @@ SILENT = frozenset("script style noscript template head title iframe object svg
 RAW = frozenset(("script", "style", "title", "textarea", "noscript", "iframe"))
 #: A start tag of the key closes an open element of these, as far as the nearest of the stops.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
 STOPS = frozenset("ul ol dl table select body html article section div td th".split())
 TAGS = ("p", "h1", "h2", "h3", "li", "ul", "ol", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "pre", "figure", "figcaption", "body", "#run")
 TAG_NUMBER = {t: i for i, t in enumerate(TAGS)}
@@ -56,7 +63,10 @@ FURNITURE = frozenset("ad ads advert advertisement adbox banner breadcrumb bread
 CONTENT = frozenset("article articlebody body content entry main post story text".split())
 NEGATIVE_TAGS = frozenset("nav footer aside form header menu dialog button select textarea fieldset".split())
 
-TOKEN = re.compile(r"""<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>)""", re.S)
+#: A tag whose values may be in quotes, and one up to its first '>'; neither looks back.
+QUOTED = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?|["'])*+)>""")
+PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 
@@ -75,92 +85,150 @@ class Page:
     """Nodes in document order; node i has its subtree in i to end[i]."""
 
     tag: list[str] = field(default_factory=list)
-    parent: list[int] = field(default_factory=list)
-    end: list[int] = field(default_factory=list)
-    furniture: list[int] = field(default_factory=list)
-    content: list[int] = field(default_factory=list)
     text: list[str] = field(default_factory=list)
-    linked: list[int] = field(default_factory=list)
-    inner: list[int] = field(default_factory=list)  # inline tags of a run
+    parent: array = field(default_factory=lambda: array("q"))
+    end: array = field(default_factory=lambda: array("q"))
+    furniture: array = field(default_factory=lambda: array("b"))
+    content: array = field(default_factory=lambda: array("b"))
+    linked: array = field(default_factory=lambda: array("q"))
+    inner: array = field(default_factory=lambda: array("q"))  # inline tags of a run
 
     def add(self, tag: str, parent: int, marks: tuple[int, int], text: str = "", linked: int = 0, inner: int = 0) -> int:
         self.tag.append(tag)
+        self.text.append(text)
         self.parent.append(parent)
         self.end.append(len(self.tag))
         self.furniture.append(marks[0])
         self.content.append(marks[1])
-        self.text.append(text)
         self.linked.append(linked)
         self.inner.append(inner)
         return len(self.tag) - 1
 
 
+class Open:
+    """The open elements: blocks, the inline elements open in each, and where each tag's blocks stand."""
+
+    def __init__(self) -> None:
+        self.blocks: list[tuple[str, int]] = [("body", 0)]
+        self.inline: list[list[str]] = [[]]
+        self.counts: list[dict[str, int]] = [{}]
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.stops = [0]
+        self.links = self.silent = 0
+
+    def start(self, tag: str, node: int) -> None:
+        place = len(self.blocks)
+        self.at[tag].append(place)
+        if tag in STOPS:
+            self.stops.append(place)
+        self.silent += tag in SILENT
+        self.blocks.append((tag, node))
+        self.inline.append([])
+        self.counts.append({})
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost open block of this tag; -1 if none."""
+        places = self.at.get(tag)
+        return places[-1] if places else -1
+
+    def start_inline(self, tag: str) -> None:
+        self.inline[-1].append(tag)
+        self.counts[-1][tag] = self.counts[-1].get(tag, 0) + 1
+        self.links += tag == "a"
+
+    def end_inline(self, tag: str) -> None:
+        """Ends the innermost such element of the innermost block, and those within it."""
+        counts = self.counts[-1]
+        while counts.get(tag):
+            t = self.inline[-1].pop()
+            counts[t] -= 1
+            self.links -= t == "a"
+            if t == tag:
+                return
+
+    def end(self) -> tuple[str, int]:
+        """Ends the innermost block."""
+        tag, node = self.blocks.pop()
+        self.at[tag].pop()
+        if tag in STOPS:
+            self.stops.pop()
+        self.silent -= tag in SILENT
+        self.links -= self.counts.pop().get("a", 0)
+        self.inline.pop()
+        return tag, node
+
+
 def parse(html: str | None) -> Page:
-    page = Page()
+    page, open_ = Page(), Open()
     page.add("body", -1, (0, 0))
-    stack: list[tuple[str, int]] = [("body", 0)]  # open elements, with their nodes (an inline element has its parent's)
     parts: list[str] = []
-    links = linked = inner = 0
-    silent = 0
+    linked = inner = 0
     html = html or ""
-    at, n = 0, len(html)
+    at, n, last = 0, len(html), html.rfind(">") if html else -1
+    tag_at = QUOTED
 
     def flush() -> None:
         nonlocal parts, linked, inner
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                page.add("#run", stack[-1][1], (0, 0), text, min(linked, len(text)), inner)
+                page.add("#run", open_.blocks[-1][1], (0, 0), text, min(linked, len(text)), inner)
         parts, linked, inner = [], 0, 0
 
-    def close(depth: int) -> None:
-        nonlocal links, silent
-        block = any(t not in INLINE for t, _ in stack[depth:])
-        if block:
-            flush()
-        for t, node in stack[depth:]:
-            links -= t == "a"
-            silent -= t in SILENT
-            if t not in INLINE:
-                page.end[node] = len(page.tag)
-        del stack[depth:]
-
-    while at < n:
-        m = TOKEN.search(html, at)
-        start = m.start() if m else n
-        if start > at and not silent:
-            text = html[at:start]
-            if "&" in text:
-                text = html_lib.unescape(text)
-            parts.append(text)
-            if links:
-                linked += len(text.strip())
-        if not m:
+    def close(place: int) -> None:
+        flush()
+        while len(open_.blocks) > place:
+            page.end[open_.end()[1]] = len(page.tag)
+
+    def say(text: str) -> None:
+        nonlocal linked
+        if text and not open_.silent:
+            parts.append(html_lib.unescape(text) if "&" in text else text)
+            if open_.links:
+                linked += len(parts[-1].strip())
+
+    said = 0  # text up to here is said
+    while at <= last:
+        start = html.find("<", at)
+        if start < 0 or start >= last:
             break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        after = html[start + 1]
+        if after in "!?":
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                end = n if end < 0 else end + 3
+            else:
+                end = html.find(">", start) + 1
+            say(html[said:start])
+            at = said = end
+            continue
+        m = tag_at.match(html, start)
+        if m is None and tag_at is QUOTED and PLAIN.match(html, start):
+            tag_at = PLAIN  # no '>' outside of quotes
+            m = tag_at.match(html, start)
+        if m is None:
+            at = start + 1
             continue
-        tag = tag.lower()
+        say(html[said:start])
+        at = said = m.end()
+        tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(t == "p" for t, _ in stack):
-                flush()
-            elif tag == "br":
+            if tag == "br":
                 parts.append(" ")
-            else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
-                    if tag in INLINE and stack[i][0] not in INLINE:
-                        break
+            elif tag in INLINE:
+                open_.end_inline(tag)
+            elif (place := open_.last(tag)) > 0:
+                close(place)
+            elif tag == "p":
+                flush()
             continue
         if tag in ("html", "body"):
             page.content[0] |= tokens_of(m[3])[1]
             if tag == "body":  # whatever head left open ends here
-                flush()
                 close(1)
             continue
+        if open_.blocks[-1][0] == "head" and tag not in IN_HEAD:
+            close(len(open_.blocks) - 1)
         if tag == "hr":
             flush()
             continue
@@ -169,44 +237,43 @@ def parse(html: str | None) -> Page:
                 parts.append(" ")
             continue
         if tag in RAW:
-            over = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            at = over.end() if over else n
+            over = RAW_ENDS[tag].search(html, at)
+            end = html.find(">", over.end()) if over else -1
+            at = said = n if end < 0 else end + 1
             if tag not in SILENT:
                 flush()
             continue
         if tag in INLINE:
             inner += 1
-            links += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            open_.start_inline(tag)
             continue
-        for i in range(len(stack) - 1, 0, -1):  # implied ends
-            t = stack[i][0]
-            if t == "p" or t in CLOSES.get(tag, ()):
-                close(i)
-                if t != "p" and tag not in ("tr", "tbody", "tfoot"):
-                    break
-            elif t in STOPS or t not in INLINE and tag not in CLOSES:
+        while True:  # implied ends
+            place = max(open_.last(t) for t in ("p", *CLOSES.get(tag, ())))
+            if place < max(1, open_.stops[-1] if tag in CLOSES else len(open_.blocks) - 1):
+                break
+            ended = open_.blocks[place][0]
+            close(place)
+            if ended != "p" and tag not in ("tr", "tbody", "tfoot"):
                 break
         flush()
-        silent += tag in SILENT
-        node = page.add(tag, stack[-1][1], tokens_of(m[3]))
-        stack.append((tag, node))
+        open_.start(tag, page.add(tag, open_.blocks[-1][1], tokens_of(m[3])))
         if m[3].endswith("/") and tag in SILENT:
-            close(len(stack) - 1)
-    flush()
+            close(len(open_.blocks) - 1)
+    say(html[said:])
     close(1)
+    flush()
     page.end[0] = len(page.tag)
     return page
 
 
-def features(pages: list[Page]) -> np.ndarray:
-    """A row for each node of each page in turn."""
+def features(pages: list[Page]) -> list[np.ndarray]:
+    """Columns; an entry for each node of each page in turn."""
     sizes = np.array([len(p.tag) for p in pages])
     first = np.repeat(np.cumsum(sizes) - sizes, sizes)
     total = int(sizes.sum())
 
-    def joined(name: str, kind=np.int64) -> np.ndarray:
-        return np.fromiter((x for p in pages for x in getattr(p, name)), kind, total)
+    def joined(name: str) -> np.ndarray:
+        return np.concatenate([np.asarray(getattr(p, name), np.int64) for p in pages])
 
     parent, end = joined("parent"), joined("end") + first
     root = parent < 0
@@ -238,15 +305,22 @@ def features(pages: list[Page]) -> np.ndarray:
     kids = np.bincount(parent[~root], minlength=total)
     peers = np.maximum(1, kids[parent])
     peer_chars = b_chars[parent] / peers
-    same = np.bincount(parent[~root] * 32 + tag[~root] + 1, minlength=total * 32 + 32)
+    alike, of, times = np.unique(np.where(root, -1 - place, parent * 32 + tag + 1), return_inverse=True, return_counts=True)  # children of one parent with one tag
+    same = times[of.ravel()] - root
+    del alike, of, times
     columns = [
         np.log1p(b_chars), np.log1p(b_words), b_links / np.maximum(1, b_chars), b_chars / np.maximum(1, b_tags), b_points / np.maximum(1, b_words),
-        b_chars / np.maximum(1, b_runs), b_chars / page_chars, so_far / page_chars, depth, peers, np.log1p(peer_chars), same[parent * 32 + tag + 1],
+        b_chars / np.maximum(1, b_runs), b_chars / page_chars, so_far / page_chars, depth, peers, np.log1p(peer_chars), same,
         b_links[parent] / np.maximum(1, b_chars[parent]), b_points[parent] / np.maximum(1, b_words[parent]), inner,
         furniture, content, furniture[parent], content[parent], in_furniture, in_content, in_shut, in_article, shut_tag, shut_tag[parent], tag, tag[parent],
     ]
+    columns = [np.asarray(c, np.float32) for c in columns]
     columns += [(tag == TAG_NUMBER[t]) | (tag[parent] == TAG_NUMBER[t]) for t in ("p", "h1", "li", "nav", "header", "footer", "aside", "form", "div", "section")]
-    return np.column_stack([np.asarray(c, float) for c in columns])
+    return columns
+
+
+def rows_of(columns: list[np.ndarray], a: int = 0, b: int | None = None) -> np.ndarray:
+    return np.column_stack([np.asarray(c[a:b], np.float32) for c in columns])
 
 
 @dataclass
@@ -397,32 +471,27 @@ def fit(sample: list[str]) -> Boosted:
     """sample: pages of the table, of bounded number and length."""
     made = [skeleton_page(s) for s in range(SKELETONS)]
     made += [(p, node_labels(p)) for p in map(parse, sample)]
-    x, y = features([p for p, _ in made]), np.concatenate([labels for _, labels in made])
+    x, y = rows_of(features([p for p, _ in made])), np.concatenate([labels for _, labels in made])
     used = y >= 0
     return boost(x[used], y[used].astype(float), np.ones(int(used.sum())))
 
 
 def texts_of(pages: list[str | None], model: Boosted) -> list[str]:
-    trees = [parse(h) for h in pages]
-    if not trees:
+    if not pages:
         return []
-    odds = np.split(model.log_odds(features(trees)), np.cumsum([len(t.tag) for t in trees])[:-1])
+    trees = [parse(h) for h in pages]
+    columns = features(trees)
+    total = len(columns[0])
+    odds = np.concatenate([model.log_odds(rows_of(columns, a, a + BATCH_NODES)) for a in range(0, total, BATCH_NODES)])
+    del columns
+    odds = np.split(odds, np.cumsum([len(t.tag) for t in trees])[:-1])
     return ["\n\n".join(t.text[i] for i in decode(t, o)) for t, o in zip(trees, odds, strict=True)]
 
 
 def extract(pages: DataFrame, model: Boosted) -> DataFrame:
     """pages with html -> its other columns, text."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
-    others = [f for f in pages.schema.fields if f.name != "html"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a, b in B.in_batches(pdf["html"].tolist(), BATCH_CHARS):
-                out = pdf.iloc[a:b].drop(columns="html")
-                out["text"] = texts_of(pdf["html"].iloc[a:b].tolist(), shared.value)
-                yield out
-
-    return pages.mapInPandas(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["text string"]))
+    return B.with_results(pages, "html", "text string", lambda: lambda texts: {"text": pa.array(texts_of(texts, shared.value), pa.string())}, BATCH_CHARS)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

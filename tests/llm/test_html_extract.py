@@ -1,5 +1,10 @@
+import time
+import tracemalloc
+from html.parser import HTMLParser
+
 import numpy as np
 import pytest
+from conftest import SF
 
 from allotau.llm import html_extract as H
 
@@ -69,7 +74,7 @@ def test_laid_out_pages_held_out(model):
     hit = extra = lost = 0
     for seed in range(9000, 9100):
         page, labels = H.skeleton_page(seed)
-        kept = set(H.decode(page, model.log_odds(H.features([page]))))
+        kept = set(H.decode(page, model.log_odds(H.rows_of(H.features([page])))))
         want = {i for i, t in enumerate(page.text) if t and labels[i] == 1}
         hit, extra, lost = hit + len(kept & want), extra + len(kept - want), lost + len(want - kept)
     assert hit / (hit + extra) > 0.97 and hit / (hit + lost) > 0.97
@@ -77,11 +82,75 @@ def test_laid_out_pages_held_out(model):
 
 def test_broken_and_odd_pages(model):
     deep = "<div>" * 3000 + LONG + "</div>" * 10
-    for html in (None, "", "   ", "<", "<p", "a < b", "<!-- open", "<script>never closed", "</div></p>", "<p>" * 50, deep, "<div class=\"x>" + LONG, "<article><p>" + "word " * 200_000):
+    for html in (None, "", "   ", "<", "<p", "a < b", "<!-- open", "<script>never closed", "</div></p>", "<p>" * 50, deep, "<div class=\"x>" + LONG, "<article><p>" + "word " * 200_000, "<a b='>", "<p a=\">\"", "<svg/>x", "<ul><li><ul><li>a</ul><li>b"):
         assert isinstance(text(model, html), str)
     assert text(model, None) == "" == text(model, "<script>x</script>")
 
 
+@pytest.mark.parametrize("unit", ["<p class=\"a>x", "<a b='c\">x", "<a ", "<b><p>x", "<b><i><div>x", "<div>x</p>", "<div></section>x", "<x-y><li></li>", "<ul><li><x><li>", "<i></b>x", "<script", "</script", "<!--", "<table><td>x", "<p>few words</p>", "&amp;&", "<dd></x><dt>"])
+def test_time_is_in_proportion_to_length(model, unit):
+    html = unit * (2_000_000 // len(unit))
+    began = time.perf_counter()
+    H.parse(html)
+    H.parse("<article>" + html + "'\">")
+    assert time.perf_counter() - began < 20  # a quadratic pass takes hours
+
+
+def test_memory_of_a_page_of_small_paragraphs(model):
+    tracemalloc.start()
+    H.texts_of(["<p>ab</p>" * 100_000], model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 125_000_000  # of 0.9 MB; in proportion, 500 MB of 3.6 MB
+
+
+def test_a_head_without_an_end(model):
+    want = "Title of it\n\n" + " ".join(LONG.split())
+    assert text(model, f"<html><head><title>t</title><meta charset=x><article><h1>Title of it</h1><p>{LONG}</p></article>") == want
+
+
+def test_quotes_count_after_equals_signs_only(model):
+    assert text(model, f"<article><p title=Bob's>{LONG}<p>It's {LONG}</article>") == " ".join(LONG.split()) + "\n\nIt's " + " ".join(LONG.split())
+
+
+class Expected(HTMLParser):
+    """The article of a page that marks it, block by block, with the standard library's parser: another way to the same text."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.blocks.append("") if tag not in ("b", "i", "a", "em", "strong", "span", "br") else self.handle_data(" " * (tag == "br"))
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag not in ("b", "i", "a", "em", "strong", "span"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_query_on_pages(spark):
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r["page_id"]: r for r in H.op2_html_extraction(spark, SF).collect()}
+    assert got.keys() == pages.keys()
+    for i, page in pages.items():
+        assert page["html"].count("<article>") == 1
+        want = Expected()
+        want.feed(page["html"])
+        assert got[i]["text"] == "\n\n".join(b for b in (" ".join(x.split()) for x in want.blocks) if b)
+        assert got[i]["url"] == page["url"] and got[i]["n_chars"] == len(got[i]["text"])
+
+
+def test_ids_of_any_size_beside_a_null(spark, model):
+    df = spark.createDataFrame([(None, f"<p>{LONG}"), ((1 << 60) + 1, "<p>x"), ((1 << 60) + 2, None)], "page_id long, html string").coalesce(1)
+    assert {r["page_id"] for r in H.extract(df, model).collect()} == {None, (1 << 60) + 1, (1 << 60) + 2}
+
+
 def test_frame(spark, model):
     df = spark.createDataFrame([(1, "u", None, "c"), (2, None, f"<article><p>{LONG}</p></article>", "c"), (2, None, f"<article><p>{LONG}</p></article>", "c")], "page_id long, url string, html string, n_chars string")
     got = H.extract(df, model).collect()
