@@ -1,14 +1,18 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-The model is a matrix of log-probabilities, `BUCKETS` x languages, which is broadcast
-(its size is fixed by BUCKETS and MAX_LANGS). Tasks score Arrow batches: the n-grams of
-many texts are hashed at once with numpy and the rows of the matrix they hit are summed
-per text.
+The model is a matrix of log-probabilities, buckets x languages, which is broadcast. Its
+size is bounded: there are CELLS entries at most, or LEAST_BUCKETS rows if the fitting
+sample has more languages than that leaves room for (it has FIT_ROWS at most). Tasks score
+Arrow batches: the code points of many texts lie one behind the other in one array, their
+n-grams are hashed at once with numpy, and the rows of the matrix that they hit are summed
+by text. A very long text is read in pieces that overlap by what an n-gram needs, so that
+each of its n-grams counts once wherever the pieces are cut.
 
 Defined results: a null text, or one without any letter, is `und` with score 0.0, as is
 every text when no row has a label. Rows are scored one by one, so repeated rows and
-repeated ids each give a row; extra columns are ignored; languages tie to the smaller
-name; an empty table gives an empty result.
+repeated ids each give a row, but repeated rows teach once; ids of any size come out as
+they are; extra columns are kept; languages tie to the smaller name; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -19,17 +23,19 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allotau.llm import _base as B
 
-BUCKETS = 1 << 15
-ORDERS = (1, 2, 3)
-#: Labelled rows that the classifier is fitted on, at most.
+#: Buckets at most and at least, both powers of two; entries of the matrix.
+BUCKETS, LEAST_BUCKETS, CELLS = 1 << 15, 1 << 10, 1 << 22
+ORDERS = 3
+#: Labelled rows that the classifier is fitted on, about, at most.
 FIT_ROWS = 20_000
-MAX_LANGS = 256
-PIECE = 1 << 20
+#: Code points that are read at once.
+PIECE = 1 << 18
 SMOOTH = 0.5
 
 
@@ -43,97 +49,115 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def ngram_hashes(text: str) -> np.ndarray | None:
-    """Buckets of all n-grams of the lower-cased text, every run of other characters as one space; None without a letter."""
-    cp = code_points(f" {text.lower()} ")
-    is_letter = letters()[cp]
-    if not is_letter.any():
-        return None
-    cp = np.where(is_letter, cp, np.uint32(32))
-    keep = np.ones(len(cp), bool)
-    keep[1:] = is_letter[1:] | is_letter[:-1]
-    cp = cp[keep].astype(np.uint64)
-    out, h = [], np.zeros(len(cp), np.uint64)
-    for n in range(1, max(ORDERS) + 1):
-        if len(cp) < n:
-            break
-        h = (h[: len(cp) - n + 1] + cp[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        if n in ORDERS:
-            out.append((h % np.uint64(BUCKETS)).astype(np.int32))
-    return np.concatenate(out)
-
-
-def pieces(text: str) -> Iterator[str]:
-    """Parts of a very long text, so that memory stays bounded; n-grams over a cut are the only ones not seen."""
-    for i in range(0, len(text), PIECE):
-        yield text[i : i + PIECE]
+def hashed(texts: list[str | None], piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, hash) of all n-grams of the lower-cased texts, every run of other characters as one space, one more at each end.
+
+    Pieces of about `piece` code points come one after the other; a text without a letter has no n-grams.
+    """
+    held: list[tuple[int, np.ndarray, int]] = []  # text number, code points, how many of them are of the piece before
+    size = 0
+
+    def grams() -> tuple[np.ndarray, np.ndarray]:
+        cp = np.concatenate([c for _, c, _ in held]).astype(np.uint64)
+        of = np.repeat([i for i, _, _ in held], [len(c) for _, c, _ in held])
+        part = np.repeat(np.arange(len(held)), [len(c) for _, c, _ in held])
+        old = np.concatenate([np.arange(len(c)) < n for _, c, n in held])
+        docs, hashes, h = [], [], np.zeros(len(cp), np.uint64)
+        for n in range(1, ORDERS + 1):
+            m = len(cp) - n + 1
+            if m <= 0:
+                break
+            h = (h[:m] + cp[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            whole = (part[:m] == part[n - 1 :]) & ~old[n - 1 :]  # within a text, and not seen in the piece before
+            docs.append(of[:m][whole])
+            hashes.append(h[whole])
+        return np.concatenate(docs), np.concatenate(hashes)
+
+    for i, text in enumerate(texts):
+        cp = code_points((text or "").lower())
+        if not letters()[cp].any():
+            continue
+        tail, was_letter = np.zeros(0, np.uint32), True
+        for a in range(0, len(cp) + 1, piece):
+            raw = cp[a : a + piece]
+            last = a + piece > len(cp)
+            raw = np.concatenate([[32] * (a == 0), raw, [32] * last]).astype(np.uint32)
+            is_letter = letters()[raw]
+            raw = np.where(is_letter, raw, np.uint32(32))
+            before = np.concatenate([[was_letter], is_letter[:-1]])
+            new = np.concatenate([tail, raw[is_letter | before]])
+            held.append((i, new, len(tail)))
+            size += len(new)
+            was_letter, tail = bool(is_letter[-1]), new[len(new) - min(len(new), ORDERS - 1) :]
+            if size >= piece:
+                yield grams()
+                held, size = [], 0
+    if held:
+        yield grams()
 
 
 @dataclass
 class Model:
     langs: list[str]
-    logp: np.ndarray  # BUCKETS x languages
+    logp: np.ndarray  # buckets x languages
     prior: np.ndarray
 
 
 def fit(docs: DataFrame, most: int = FIT_ROWS) -> Model:
-    """docs: key, text, lang. Counts are made in tasks; the driver gets at most BUCKETS rows a language."""
-    rows = B.sampled(docs.where("lang is not null and text is not null"), F.col("key"), most).select("text", "lang")
-
-    def counts(batches):
-        total: dict[str, np.ndarray] = {}
-        n_docs: dict[str, int] = {}
+    """docs: key, text, lang. Counts are made in tasks; the driver gets at most CELLS or LEAST_BUCKETS rows a language."""
+    rows = docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("key", "text").alias("row"))
+    rows = B.written(B.sampled(rows, F.col("row"), most).dropDuplicates(["lang", "row"]).select("text", "lang"), "languages")
+    langs = sorted(r["lang"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())  # as many as the sample has rows, at most
+    buckets = BUCKETS
+    while buckets > LEAST_BUCKETS and buckets * len(langs) > CELLS:
+        buckets //= 2
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
-                seen = False
-                for part in pieces(text):
-                    if (h := ngram_hashes(part)) is not None:
-                        seen = True
-                        total[lang] = total.get(lang, 0) + np.bincount(h, minlength=BUCKETS)
-                n_docs[lang] = n_docs.get(lang, 0) + seen
-        for lang, c in total.items():
-            hit = np.nonzero(c)[0]
-            yield pd.DataFrame({"lang": lang, "bucket": np.append(hit, -1), "n": np.append(c[hit], n_docs[lang])})
+            for lang, own in pdf.groupby("lang"):
+                total, seen = np.zeros(buckets, np.int64), set()
+                for of, h in hashed(own["text"].tolist()):
+                    seen.update(np.unique(of).tolist())
+                    total += np.bincount((h % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+                hit = np.nonzero(total)[0]
+                yield pd.DataFrame({"lang": lang, "bucket": np.append(hit, -1), "n": np.append(total[hit], len(seen))})
 
     got = rows.mapInPandas(counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(got["lang"].unique())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; the model holds {MAX_LANGS}")
-    n = np.zeros((BUCKETS + 1, len(langs)))
+    n = np.zeros((buckets + 1, len(langs)))
     n[got["bucket"].to_numpy(), np.searchsorted(langs, got["lang"].to_numpy().astype(str)) if langs else []] = got["n"].to_numpy()
     docs_of, n = n[-1], n[:-1] + SMOOTH
     return Model(langs, np.log(n / n.sum(axis=0)).astype(np.float32), np.log((docs_of + SMOOTH) / (docs_of + SMOOTH).sum()) if langs else docs_of)
 
 
-def score_text(model: Model, text: str | None) -> tuple[str, float]:
-    total, any_letter = model.prior.astype(float), False
-    for part in pieces(text or ""):
-        if (h := ngram_hashes(part)) is not None:
-            any_letter = True
-            total = total + model.logp[h].sum(axis=0, dtype=float)
-    if not any_letter or not model.langs:
-        return "und", 0.0
-    p = np.exp(total - total.max())
-    k = int(np.argmax(total))
-    return model.langs[k], float(p[k] / p.sum())
+def scored(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language and its probability of each text."""
+    total = np.repeat(model.prior[None, :].astype(float), len(texts), axis=0)
+    known = np.zeros(len(texts), bool)
+    buckets, wide = model.logp.shape[0], max(1, len(model.langs))
+    for of, h in hashed(texts, max(64, PIECE // wide)) if model.langs else ():
+        order = np.argsort(of, kind="stable")  # texts follow each other within each order of n-grams
+        of, rows = of[order], model.logp[(h[order] % np.uint64(buckets)).astype(np.int64)]
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        total[of[starts]] += np.add.reduceat(rows, starts, axis=0, dtype=float)
+        known[of[starts]] = True
+    if not known.any():
+        return ["und"] * len(texts), np.zeros(len(texts))
+    best = total.argmax(axis=1)
+    p = np.exp(total - total.max(axis=1, keepdims=True))
+    score = np.where(known, 1.0 / p.sum(axis=1), 0.0)
+    return [model.langs[k] if x else "und" for k, x in zip(best, known, strict=True)], score
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a text column, and lang_pred, score beside its other columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    others = [f for f in docs.schema.fields if f.name != "text"]
 
-    def run(batches):
-        for pdf in batches:
-            got = [score_text(shared.value, t) for t in pdf["text"]]
-            out = pdf.drop(columns="text")
-            out["lang_pred"] = [x for x, _ in got]
-            out["score"] = np.array([x for _, x in got], float)
-            yield out
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["lang_pred string", "score double"])
-    return docs.mapInPandas(run, schema)
+    def work(texts: list[str | None]) -> dict[str, pa.Array]:
+        langs, score = scored(shared.value, texts)
+        return {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(score, pa.float64())}
+
+    return B.with_results(docs, "text", "lang_pred string, score double", lambda: work, 4 * PIECE)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
