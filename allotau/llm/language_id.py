@@ -50,51 +50,31 @@ def code_points(text: str) -> np.ndarray:
 
 
 def hashed(texts: list[str | None], piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text number, hash) of all n-grams of the lower-cased texts, every run of other characters as one space, one more at each end.
+    """(text numbers in order, hashes) of all n-grams of the lower-cased texts, every run of other characters as one space, one more at each end.
 
-    Pieces of about `piece` code points come one after the other; a text without a letter has no n-grams.
+    A pair for each order of n-grams and about `piece` code points; a text without a letter has no n-grams.
     """
-    held: list[tuple[int, np.ndarray, int]] = []  # text number, code points, how many of them are of the piece before
-    size = 0
-
-    def grams() -> tuple[np.ndarray, np.ndarray]:
-        cp = np.concatenate([c for _, c, _ in held]).astype(np.uint64)
-        of = np.repeat([i for i, _, _ in held], [len(c) for _, c, _ in held])
-        part = np.repeat(np.arange(len(held)), [len(c) for _, c, _ in held])
-        old = np.concatenate([np.arange(len(c)) < n for _, c, n in held])
-        docs, hashes, h = [], [], np.zeros(len(cp), np.uint64)
-        for n in range(1, ORDERS + 1):
-            m = len(cp) - n + 1
-            if m <= 0:
-                break
-            h = (h[:m] + cp[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            whole = (part[:m] == part[n - 1 :]) & ~old[n - 1 :]  # within a text, and not seen in the piece before
-            docs.append(of[:m][whole])
-            hashes.append(h[whole])
-        return np.concatenate(docs), np.concatenate(hashes)
-
-    for i, text in enumerate(texts):
-        cp = code_points((text or "").lower())
-        if not letters()[cp].any():
-            continue
-        tail, was_letter = np.zeros(0, np.uint32), True
-        for a in range(0, len(cp) + 1, piece):
-            raw = cp[a : a + piece]
-            last = a + piece > len(cp)
-            raw = np.concatenate([[32] * (a == 0), raw, [32] * last]).astype(np.uint32)
-            is_letter = letters()[raw]
-            raw = np.where(is_letter, raw, np.uint32(32))
-            before = np.concatenate([[was_letter], is_letter[:-1]])
-            new = np.concatenate([tail, raw[is_letter | before]])
-            held.append((i, new, len(tail)))
-            size += len(new)
-            was_letter, tail = bool(is_letter[-1]), new[len(new) - min(len(new), ORDERS - 1) :]
-            if size >= piece:
-                yield grams()
-                held, size = [], 0
-    if held:
-        yield grams()
+    for a, b in B.in_batches(texts, piece):
+        low = [(t or "").lower() for t in texts[a:b]]
+        size = np.array([len(t) + 2 for t in low])
+        start = np.cumsum(size) - size
+        cp = code_points(" " + "  ".join(low) + " ")
+        is_letter = letters()[cp]
+        keep = is_letter.copy()
+        keep[1:] |= is_letter[:-1]
+        keep[start] = np.add.reduceat(is_letter, start, dtype=np.int64) > 0
+        of = np.repeat(np.arange(a, b, dtype=np.int32), size)[keep]
+        cp = np.where(is_letter, cp, np.uint32(32))[keep].astype(np.uint64)
+        for x in range(0, len(cp), piece):
+            seen = min(x, ORDERS - 1)  # code points of the piece before
+            part, doc = cp[x - seen : x + piece], of[x - seen : x + piece]
+            h = np.zeros(len(part), np.uint64)
+            for n in range(1, min(ORDERS, len(part)) + 1):
+                h = (h[: len(part) - n + 1] + part[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+                whole = doc[: len(h)] == doc[n - 1 :]
+                whole[: max(0, seen - n + 1)] = False
+                yield doc[: len(h)][whole], h[whole]
 
 
 @dataclass
@@ -119,7 +99,7 @@ def fit(docs: DataFrame, most: int = FIT_ROWS) -> Model:
                 total, seen = np.zeros(buckets, np.int64), set()
                 for of, h in hashed(own["text"].tolist()):
                     seen.update(np.unique(of).tolist())
-                    total += np.bincount((h % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+                    total += np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
                 hit = np.nonzero(total)[0]
                 yield pd.DataFrame({"lang": lang, "bucket": np.append(hit, -1), "n": np.append(total[hit], len(seen))})
 
@@ -136,11 +116,11 @@ def scored(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray
     known = np.zeros(len(texts), bool)
     buckets, wide = model.logp.shape[0], max(1, len(model.langs))
     for of, h in hashed(texts, max(64, PIECE // wide)) if model.langs else ():
-        order = np.argsort(of, kind="stable")  # texts follow each other within each order of n-grams
-        of, rows = of[order], model.logp[(h[order] % np.uint64(buckets)).astype(np.int64)]
-        starts = np.flatnonzero(np.diff(of, prepend=-1))
-        total[of[starts]] += np.add.reduceat(rows, starts, axis=0, dtype=float)
-        known[of[starts]] = True
+        if len(of):
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            rows = model.logp[(h & np.uint64(buckets - 1)).astype(np.int64)]
+            total[of[starts]] += np.add.reduceat(rows, starts, axis=0, dtype=float)
+            known[of[starts]] = True
     if not known.any():
         return ["und"] * len(texts), np.zeros(len(texts))
     best = total.argmax(axis=1)
