@@ -3,21 +3,27 @@
 Lexicon: a few general insults, and what labelled texts teach: words, and stems with many
 endings, that many different contexts of toxic texts hold and clean ones don't. (Contexts
 are counted, not texts, so that copies of one text teach no more than the text.) Only
-counts of words come to the driver, and only of those that pass.
+counts of words come to the driver, and only of the HEADS best that pass.
+
+Misspellings: a term's length allows it up to two edits, a stem's within its own letters.
+How many of them a term gets is decided by the labelled sample: as many as clean texts hold
+no words at that distance, to a rate of FUZZY_CLEAN.
 
 Matching: the trie and the Levenshtein automaton of each term are run together as one
-deterministic automaton, made once by the subset construction. Tasks step all words of a
-batch of texts through its table at once; nearly all die after a few characters. Words are
-runs of letters and digits, with single signs such as * or @ between them.
+deterministic automaton, made once on the driver by the subset construction, and broadcast
+as its table (STATES rows at most). Tasks step all words of many texts through the table at
+once; nearly all die after a few characters. Words are runs of letters and digits, with
+single signs such as * or @ between them.
 
-Context: a hit within quotation marks or near a word of reporting counts as quoted. Hits,
-exact or misspelled, quoted or not, feed a logistic regression with a prior, fitted on the
-labelled sample.
+Context: a hit within quotation marks, or in a sentence with a word of reporting near it,
+counts as quoted. Hits, exact or misspelled, quoted or not, feed a logistic regression with
+a prior, fitted on the labelled sample and on its toxic texts with their hits misspelt.
 
 Defined results: a null or empty text has no hits and the score of such a text; repeated
-rows each give a row, and teach once; a doc_id labelled twice counts as toxic if any label says so; extra
-columns are ignored; without toxic labels the prior holds; an empty table gives an empty
-result.
+rows each give a row, and teach once; a doc_id labelled twice counts as toxic if any label
+says so; a very long text is read in parts cut at white space, and contexts reach over the
+cuts; a word of more than LONGEST letters teaches nothing; extra columns are ignored; without
+toxic labels the prior holds; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,11 +47,19 @@ INSULTS = ("clown", "disgusting", "dumbass", "idiot", "imbecile", "loser", "moro
 #: Words of reporting; fixed values.
 REPORTING = frozenset("said says saying called calls wrote writes quoted quote word words term terms phrase meaning".split())
 QUOTES = "\"'“”„‟«»‘’‚‹›`"
-WINDOW_WORDS, WINDOW_CHARS = 3, 60
-STEM, WORD = 4, 3
+#: Words of reporting are looked for among so many words before and after a hit, within its sentence; quotation marks within so many characters.
+WORDS_BEFORE, WORDS_AFTER, WINDOW_CHARS = 6, 3, 80
+SENTENCE = re.compile(r"[.!?]\s|\n")
+STEM, WORD, LONGEST = 4, 3, 40
+#: Words, and stems, that come to the driver, at most; states of the automaton, at most (beyond, terms get one edit less).
+HEADS, STATES = 20_000, 150_000
 #: A term needs so many contexts in toxic texts, and this share of them at most in clean ones.
 CONTEXTS, CLEAN_SHARE = 4, 0.08
-FUZZY_LENGTH = 5
+#: Edits by length of the term: (least length, edits). Share of clean texts that may hold a word at such a distance.
+EDITS = ((10, 2), (5, 1), (0, 0))
+FUZZY_CLEAN = 1e-4
+#: Weight of a toxic text of the sample with its hits misspelt, beside the text itself.
+PLANTED = 0.25
 #: Share of the toxic texts that a learnt term is in, at least.
 SUPPORT = 0.01
 JOINERS = "*@$!"
@@ -54,6 +68,7 @@ FEATURES = ("exact", "misspelled", "quoted exact", "quoted misspelled")
 PRIOR = np.array([-4.0, 7.0, 5.5, 1.0, 0.5])
 PRIOR_WIDTH = np.array([0.3, 2.0, 2.0, 2.0, 2.0])
 CHARS = 1 << 20
+SPACE = re.compile(r"\s")
 
 
 @dataclass(frozen=True)
@@ -65,12 +80,12 @@ class Term:
 
 @dataclass
 class Automaton:
-    """State 0 is dead, 1 the start. kind: 0 no match, 1 exact, 2 misspelled, if the word ends here; final: whatever follows."""
+    """State 0 is dead, 1 the start. kind: 0 no match, else 1 and the least edits, if the word ends here; matches: (edits, term) of all; final: whatever follows."""
 
     symbols: str
     table: np.ndarray
     kind: np.ndarray
-    term: np.ndarray
+    matches: list[tuple[tuple[int, int], ...]]
     final: np.ndarray
 
 
@@ -129,39 +144,47 @@ def automaton(terms: list[Term]) -> Automaton:
     number = {frozenset(): 0, start: 1}
     rows: list[list[int]] = [[0] * (len(symbols) + 1)]
     order = [start]
+    column = {c: i for i, c in enumerate(symbols)}
+
+    def to(state: frozenset, c: str) -> int:
+        nxt = step(state, c)
+        if nxt not in number:
+            number[nxt] = len(number)
+            order.append(nxt)
+        return number[nxt]
+
     for state in order:
-        row = []
-        for c in [*symbols, ""]:
-            nxt = step(state, c)
-            if nxt not in number:
-                number[nxt] = len(number)
-                order.append(nxt)
-            row.append(number[nxt])
+        row = [to(state, "")] * (len(symbols) + 1)  # a letter that no way on has
+        for c in {c for node, _ in state if node >= 0 for c in children[node]}:
+            row[column[c]] = to(state, c)
         rows.append(row)
-    kind, term, final = (np.zeros(len(rows), np.int32) for _ in range(3))
+        if len(rows) > STATES and max(most) > 1:
+            return automaton([Term(t.text, t.stem, min(t.edits, max(most) - 1)) for t in terms])
+    kind, final = np.zeros(len(rows), np.int32), np.zeros(len(rows), np.int32)
+    matches: list[tuple[tuple[int, int], ...]] = [()] * len(rows)
     for state, i in number.items():
         hits = [(e, -1 - node) for node, e in state if node < 0]
         final[i] = any(e == 0 for e, _ in hits)
         hits += [(e, k) for node, e in state if node >= 0 for k in ends[node] if e <= terms[k].edits]
         if hits:
-            e, term[i] = min(hits)
-            kind[i] = 1 if e == 0 else 2
-    return Automaton(symbols, np.array(rows, np.int32), kind, term, final)
+            matches[i] = tuple(sorted(hits))
+            kind[i] = 1 + matches[i][0][0]
+    return Automaton(symbols, np.array(rows, np.int32), kind, matches, final)
 
 
 class Matcher:
-    def __init__(self, terms: list[Term]) -> None:
-        self.terms, self.a = terms, automaton(terms)
-        self.symbol = np.full(0x110000, len(self.a.symbols), np.int32)
-        for i, c in enumerate(self.a.symbols):
+    def __init__(self, a: Automaton) -> None:
+        self.a = a
+        self.symbol = np.full(0x110000, len(a.symbols), np.int32)
+        for i, c in enumerate(a.symbols):
             self.symbol[ord(c)] = i
         self.inside = letters().copy()
         self.inside[ord("0") : ord("9") + 1] = True
         self.joins = np.zeros(0x110000, bool)
         self.joins[[ord(c) for c in JOINERS]] = True
 
-    def hits(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(start, end, kind, term) of the words of lower-case text that the automaton takes."""
+    def hits(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, end, state) of the words of lower-case text that the automaton takes."""
         cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         inside = self.inside[cp]
         if len(cp) > 2:
@@ -176,33 +199,43 @@ class Matcher:
             found += [(int(w), int(s)) for w, s in zip(live[over], state[over], strict=True)]
             on = (state > 0) & (size[live] > i) & ~over
             live, state = live[on], state[on]
-        return [(int(start[w]), int(start[w] + size[w]), int(self.a.kind[s]), int(self.a.term[s])) for w, s in sorted(found)]
+        return [(int(start[w]), int(start[w] + size[w]), s) for w, s in sorted(found)]
 
 
 def is_quoted(text: str, start: int, end: int) -> bool:
-    """Between two quotation marks of one line nearby, or next to a word of reporting."""
+    """Between two quotation marks of one line nearby, or in a sentence with a word of reporting near."""
     before, after = text[max(0, start - WINDOW_CHARS) : start], text[end : end + WINDOW_CHARS]
     left, right = before.rpartition("\n")[2], after.partition("\n")[0]
     opened = sum(left.count(q) for q in QUOTES if q != "'" and q != "’") % 2 == 1 or re.search(r"(^|\s)['‘][^'’]*$", left) is not None
     closes = any(q in right for q in QUOTES)
-    near = re.findall(r"\w+", left)[-WINDOW_WORDS:] + re.findall(r"\w+", right)[:WINDOW_WORDS]
+    near = re.findall(r"\w+", SENTENCE.split(before)[-1])[-WORDS_BEFORE:] + re.findall(r"\w+", SENTENCE.split(after)[0])[:WORDS_AFTER]
     return (opened and closes) or any(w in REPORTING for w in near)
 
 
-def count_hits(matcher: Matcher, text: str | None) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Hits by FEATURES, and the (term, kind) of all. A very long text is cut between lines or words."""
-    n, terms = np.zeros(len(FEATURES)), []
-    rest = (text or "").lower()
-    while rest:
-        part = rest
-        if len(rest) > CHARS:
-            at = max(rest.rfind("\n", CHARS // 2, CHARS), rest.rfind(" ", CHARS // 2, CHARS))
-            part = rest[: at + 1 if at >= 0 else CHARS]
-        rest = rest[len(part) :]
-        for start, end, kind, term in matcher.hits(part):
-            n[(kind - 1) + 2 * is_quoted(part, start, end)] += 1
-            terms.append((term, kind))
-    return n, terms
+def parts(text: str) -> Iterator[tuple[int, int]]:
+    """Parts (from, to) of a long text, cut behind white space."""
+    a = 0
+    while a < len(text):
+        gap = SPACE.search(text, a + CHARS)
+        b = gap.end() if gap else len(text)
+        yield a, b
+        a = b
+
+
+def count_hits(matcher: Matcher, texts: list[str | None]) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """Hits of each text by FEATURES, and (text, start, end, state) of all."""
+    n, found = np.zeros((len(texts), len(FEATURES))), []
+    for a, b in B.in_batches(texts, CHARS):
+        low = [(t or "").lower() for t in texts[a:b]]
+        joined = "\n".join(low)  # a line's end separates words and contexts
+        ends = np.cumsum([len(t) + 1 for t in low])
+        for x, y in parts(joined):
+            for start, end, state in matcher.hits(joined[x:y]):
+                k = int(np.searchsorted(ends, start + x, side="right"))
+                n[a + k, int(matcher.a.kind[state] > 1) + 2 * is_quoted(joined, start + x, end + x)] += 1
+                begun = int(ends[k]) - len(low[k]) - 1
+                found.append((a + k, start + x - begun, end + x - begun, state))
+    return n, found
 
 
 def inputs(counts: np.ndarray) -> np.ndarray:
@@ -215,13 +248,14 @@ def chance(weights: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
 
 
-def fit_weights(counts: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression with a normal prior about PRIOR, by Newton's steps."""
+def fit_weights(counts: np.ndarray, y: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression with a normal prior about PRIOR, by Newton's steps; row i counts times[i] times."""
     w, x = PRIOR.copy(), inputs(counts)
+    times = np.ones(len(y)) if times is None else times
     for _ in range(30):
         p = chance(w, counts)
-        slope = x.T @ (p - y) + (w - PRIOR) / PRIOR_WIDTH**2
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(PRIOR_WIDTH**-2.0)
+        slope = x.T @ (times * (p - y)) + (w - PRIOR) / PRIOR_WIDTH**2
+        curve = (x * (times * p * (1 - p))[:, None]).T @ x + np.diag(PRIOR_WIDTH**-2.0)
         step = np.linalg.solve(curve, slope)
         w = w - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
     w[1:] = np.maximum(w[1:], 0.0)
@@ -229,36 +263,36 @@ def fit_weights(counts: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def learned_terms(sample: DataFrame) -> list[Term]:
-    """sample (text, toxic) -> terms. Contexts of words are counted in Spark; only prefixes with enough toxic and few clean ones come back."""
+    """sample (text, toxic) -> terms. Contexts of words are counted in Spark; only the HEADS prefixes and words with most toxic and few clean ones come back."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     empty = F.array(F.lit(""))
     trios = F.arrays_zip(F.col("w").alias("word"), F.concat(empty, F.col("w")).alias("before"), F.concat(F.slice("w", F.lit(2), F.size("w")), empty).alias("after"))
     seen = sample.select("toxic", words.alias("w")).where(F.size("w") > 0).select("toxic", F.explode(trios).alias("a"))
-    seen = seen.where(F.length("a.word") >= WORD).select("a.word", F.xxhash64("a.before", "a.after").alias("context"), "toxic").distinct()
+    seen = seen.where(F.length("a.word").between(WORD, LONGEST)).select("a.word", F.xxhash64("a.before", "a.after").alias("context"), "toxic").distinct()
     by_word = seen.groupBy("word").agg(F.sum("toxic").cast("long").alias("t"), F.sum(1 - F.col("toxic")).cast("long").alias("c"))
+    by_word = B.written(by_word, "words")
     heads = F.transform(F.sequence(F.lit(STEM), F.greatest(F.lit(STEM), F.length("word"))), lambda k: F.substring(F.col("word"), F.lit(1), k))
     by_head = by_word.select(F.explode(heads).alias("head"), "word", "t", "c").where(F.length("head") >= STEM)
     by_head = by_head.groupBy("head").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count_if(F.col("t") > 0).alias("forms"), F.max(F.when(F.col("t") > 0, F.col("word"))).alias("form"))
     good = (F.col("t") >= CONTEXTS) & (F.col("c") <= CLEAN_SHARE * F.col("t"))
-    heads_found = by_head.where(good).orderBy("head").collect()  # at most as many as sampled toxic texts have room for
-    whole = by_word.where(good).collect()
-    best = {r["head"]: r for r in heads_found}
+    best = {r["head"]: r for r in sorted(by_head.where(good).orderBy(F.desc("t"), "head").limit(HEADS).collect(), key=lambda r: r["head"])}
+    whole = by_word.where(good).orderBy(F.desc("t"), "word").limit(HEADS).collect()
+    longer_by: dict[str, list[str]] = {}
+    for head in best:
+        longer_by.setdefault(head[:-1], []).append(head)
     terms: dict[str, Term] = {}
     for head, r in best.items():
         if len(head) > STEM and head[:-1] in best:
             continue  # a shorter head stands for it
         longer = head
-        while True:  # as long as what the toxic texts have in common goes
-            nxt = [h for h in best if len(h) == len(longer) + 1 and h.startswith(longer) and best[h]["t"] >= 0.98 * r["t"]]
-            if not nxt:
-                break
-            longer = nxt[0]
+        while nxt := [h for h in longer_by.get(longer, ()) if best[h]["t"] >= 0.98 * r["t"]]:
+            longer = nxt[0]  # as long as what the toxic texts have in common goes
         if best[longer]["forms"] == 1:
             longer = best[longer]["form"]
         terms[longer] = Term(longer, best[longer]["forms"] > 1 if longer in best else False, 0)
-    stems = [t.text for t in terms.values() if t.stem]
+    stems = {t.text for t in terms.values() if t.stem}
     for r in whole:
-        if not any(r["word"].startswith(s) for s in stems):
+        if not any(r["word"][:k] in stems for k in range(STEM, len(r["word"]) + 1)):
             terms.setdefault(r["word"], Term(r["word"], False, 0))
     return list(terms.values())
 
@@ -266,44 +300,75 @@ def learned_terms(sample: DataFrame) -> list[Term]:
 @dataclass
 class Model:
     terms: list[Term]
+    automaton: Automaton
     weights: np.ndarray
 
 
+def misspelt(text: str, words: list[tuple[int, int]]) -> str:
+    """Lower-case text with one letter of each of the words (from, to) changed or left out."""
+    low = text.lower()
+    for start, end in sorted(words, reverse=True):
+        at = start + 1 + (start + end) % max(1, min(end - start, STEM) - 1)
+        low = low[:at] + "x" * (start % 2) + low[at + 1 :]
+    return low
+
+
+def seen_in(sample: DataFrame, terms: list[Term]) -> tuple[Automaton, pd.DataFrame, pd.DataFrame]:
+    """Automaton of the terms; texts of the sample by (toxic, planted, counts by FEATURES), and by (toxic, term, edits).
+
+    Planted rows are toxic texts with their exact hits misspelt, as far as they are still found.
+    """
+    made = automaton(terms)
+    shared = sample.sparkSession.sparkContext.broadcast(made)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(shared.value)
+        for pdf in batches:
+            texts, toxic = pdf["text"].tolist(), pdf["toxic"].to_numpy()
+            n, found = count_hits(matcher, texts)
+            hits: list[set[int]] = [set() for _ in n]
+            exact: dict[int, list[tuple[int, int]]] = {}
+            for of, start, end, state in found:
+                hits[of].update(term * 4 + e for e, term in matcher.a.matches[state])
+                if toxic[of] == 1 and matcher.a.kind[state] == 1:
+                    exact.setdefault(of, []).append((start, end))
+            yield pd.DataFrame({"toxic": toxic, "planted": 0, "n": n.tolist(), "hits": [sorted(h) for h in hits]})
+            again, _ = count_hits(matcher, [misspelt(texts[of], words) for of, words in exact.items()])
+            again = again[again.sum(axis=1) > 0]
+            if len(again):
+                yield pd.DataFrame({"toxic": 1, "planted": 1, "n": again.tolist(), "hits": [[] for _ in again]})
+
+    got = B.written(sample.select("text", F.col("toxic").cast("int")).mapInPandas(run, "toxic int, planted int, n array<double>, hits array<int>"), "hits")
+    by_counts = got.groupBy("toxic", "planted", "n").agg(F.count(F.lit(1)).alias("texts")).orderBy("toxic", "planted", "n").toPandas()
+    by_term = got.select("toxic", F.explode("hits").alias("hit")).groupBy("toxic", "hit").agg(F.count(F.lit(1)).alias("texts")).toPandas()
+    return made, by_counts, by_term
+
+
 def fit(sample: DataFrame) -> Model:
     """sample (text, toxic), of bounded size."""
-    terms = {t.text: t for t in (Term(w, False, 0) for w in INSULTS)} | {t.text: t for t in learned_terms(sample)}
-    terms = {k: Term(t.text, t.stem, int(not t.stem and len(t.text) >= FUZZY_LENGTH)) for k, t in terms.items()}
-
-    def seen(terms: list[Term]) -> pd.DataFrame:
-        shared = sample.sparkSession.sparkContext.broadcast(terms)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(shared.value)
-            for pdf in batches:
-                got = [count_hits(matcher, t) for t in pdf["text"]]
-                yield pd.DataFrame({"toxic": pdf["toxic"], "n": [x.tolist() for x, _ in got], "hits": [[t * 2 + k - 1 for t, k in set(h)] for _, h in got]})
-
-        return sample.select("text", F.col("toxic").cast("int")).mapInPandas(run, "toxic int, n array<double>, hits array<int>").toPandas()
-
-    ordered = sorted(terms.values(), key=lambda t: t.text)
-    got = seen(ordered)
-    toxic = got["toxic"].to_numpy() == 1
-    by_hit = np.zeros((2, 2 * len(ordered)))
-    for y, hits in zip(toxic, got["hits"], strict=True):
-        by_hit[int(y), np.array(hits, dtype=int)] += 1
-    # a term, or its misspellings, that clean texts hold about as often as toxic ones says nothing; nor does a learnt term of very few toxic texts
-    rates = by_hit / np.maximum(1, [[(~toxic).sum()], [toxic.sum()]])
-    least = max(3.0, SUPPORT * toxic.sum())
+    texts = {t.text: t for t in (Term(w, False, 0) for w in INSULTS)} | {t.text: t for t in learned_terms(sample)}
+    ordered = [Term(t.text, t.stem, next(e for least, e in EDITS if len(t.text) >= least)) for _, t in sorted(texts.items())]
+    made, counts, by_term = seen_in(sample, ordered)
+    own = counts["planted"] == 0
+    toxic, clean = (int(counts.loc[own & (counts["toxic"] == y), "texts"].sum()) for y in (1, 0))
+    held = np.zeros((2, len(ordered), 4))  # texts by toxic, term, edits
+    held[by_term["toxic"], by_term["hit"] // 4, by_term["hit"] % 4] = by_term["texts"]
+    # a term that clean texts hold about as often as toxic ones says nothing; nor does a learnt term of very few toxic texts
+    rates = held / np.maximum(1, np.array([clean, toxic]))[:, None, None]
+    least = max(3.0, SUPPORT * toxic)
     keep = []
     for i, t in enumerate(ordered):
-        (clean_exact, clean_fuzzy), (exact, fuzzy) = by_hit[:, 2 * i : 2 * i + 2]
-        if clean_exact >= 3 and rates[1, 2 * i] < 4 * rates[0, 2 * i] or t.text not in INSULTS and exact < least:
+        if held[0, i, 0] >= 3 and rates[1, i, 0] < 4 * rates[0, i, 0] or t.text not in INSULTS and held[1, i, 0] < least:
             continue
-        loose = clean_fuzzy >= 1 and fuzzy < 3 * clean_fuzzy or t.text not in INSULTS and exact < 10
-        keep.append(Term(t.text, t.stem, 0 if loose else t.edits))
-    got = seen(keep) if keep != ordered else got
-    n = np.array(got["n"].tolist()).reshape(-1, len(FEATURES))
-    return Model(keep, fit_weights(n, (got["toxic"].to_numpy() == 1).astype(float)))
+        edits = 0
+        while edits < t.edits and held[0, i, 1 : 2 + edits].sum() <= FUZZY_CLEAN * clean:
+            edits += 1
+        keep.append(Term(t.text, t.stem, edits))
+    if keep != ordered:
+        made, counts, _ = seen_in(sample, keep)
+    n = np.array(counts["n"].tolist()).reshape(-1, len(FEATURES))
+    times = counts["texts"].to_numpy(dtype=float) * np.where(counts["planted"] == 1, PLANTED, 1.0)
+    return Model(keep, made, fit_weights(n, (counts["toxic"].to_numpy() == 1).astype(float), times))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
@@ -324,10 +389,9 @@ def score_of(text: Column, model: Model, spark: SparkSession) -> Column:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(shared.value.terms)
+        matcher = Matcher(shared.value.automaton)
         for texts in batches:
-            n = np.array([count_hits(matcher, t)[0] for t in texts]).reshape(-1, len(FEATURES))
-            yield pd.Series(chance(shared.value.weights, n))
+            yield pd.Series(chance(shared.value.weights, count_hits(matcher, texts.tolist())[0]))
 
     return score(text)
 

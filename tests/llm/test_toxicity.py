@@ -13,13 +13,13 @@ def distance(a, b):
     return row[-1]
 
 
-TERMS = [X.Term("stupid", False, 1), X.Term("scum", False, 0), X.Term("clown", False, 1), X.Term("réeux", True, 0), X.Term("worthless", False, 2), X.Term("clownish", False, 1)]
+TERMS = [X.Term("stupid", False, 1), X.Term("scum", False, 0), X.Term("clown", False, 1), X.Term("réeux", True, 0), X.Term("worthless", False, 2), X.Term("clownish", False, 1), X.Term("gredam", True, 1), X.Term("disgusting", False, 2)]
 
 
 def test_automaton_equals_edit_distance():
     rng = np.random.default_rng(3)
-    m = X.Matcher(TERMS)
-    letters = "abcdehilmnoprstuwx1é"
+    m = X.Matcher(X.automaton(TERMS))
+    letters = "abcdeghilmnoprstuwx1é"
     words = ["stupid", "stupd", "sstupid", "st1pid", "scum", "scumm", "clown", "clwn", "clowns", "clowni", "réeux", "réeuxment", "reeux", "worthlss", "wrthlss", "wothles", "clownis", "s"]
     for t in TERMS:
         for _ in range(150):
@@ -37,17 +37,18 @@ def test_automaton_equals_edit_distance():
         got = m.hits(w)
         assert bool(got) == bool(fits), w
         if fits:
-            assert got[0][:2] == (0, len(w)) and got[0][2] == (1 if min(fits) == 0 else 2), w
+            assert got[0][:2] == (0, len(w)) and m.a.kind[got[0][2]] == 1 + min(fits), w
+            assert sorted(e for e, _ in m.a.matches[got[0][2]])[0] == min(fits)
 
 
 def test_positions_and_signs_inside_words():
-    m = X.Matcher([X.Term("stupid", False, 1)])
-    assert [h[:3] for h in m.hits("a stupid, st*pid; *stupid* stupid2 xstupidx")] == [(2, 8, 1), (10, 16, 2), (19, 25, 1), (27, 34, 2)]
+    m = X.Matcher(X.automaton([X.Term("stupid", False, 1)]))
+    assert [(a, b, m.a.kind[s]) for a, b, s in m.hits("a stupid, st*pid; *stupid* stupid2 xstupidx")] == [(2, 8, 1), (10, 16, 2), (19, 25, 1), (27, 34, 2)]
     assert m.hits("") == []
 
 
 def test_quotation():
-    for text, quoted in [('you idiot', False), ('he said idiot', True), ('the "idiot" here', True), ("an 'idiot' here", True), ('"ok" you idiot now', False), ("“idiot”", True), ("it's idiot, isn't it", False)]:
+    for text, quoted in [('you idiot', False), ('he said idiot', True), ('the "idiot" here', True), ("an 'idiot' here", True), ('"ok" you idiot now', False), ("“idiot”", True), ("it's idiot, isn't it", False), ("he said you are an idiot", True), ("he said so. you are an idiot", False)]:
         at = text.index("idiot")
         assert X.is_quoted(text, at, at + 5) == quoted, text
 
@@ -65,15 +66,50 @@ def learnt(spark):
     return X.fit(spark.createDataFrame(data, "text string, toxic int"))
 
 
+def score(model, text):
+    return float(X.chance(model.weights, X.count_hits(X.Matcher(model.automaton), [text])[0])[0])
+
+
 def test_learns_words_and_stems(spark):
     model = learnt(spark)
     terms = {t.text: t for t in model.terms}
     assert "grundle" in terms and not terms["grundle"].stem and terms["zorpak"].stem and "idiot" in terms
-    m = X.Matcher(model.terms)
-    score = lambda t: float(X.chance(model.weights, X.count_hits(m, t)[0][None, :])[0])
-    assert score("balo grundle beri") > 0.5 and score("zorpakxyz") > 0.5 and score("you grundl") > 0.5
-    assert score("balo beri") < 0.5 and score(None) == score("") < 0.5
-    assert score('he said "grundle" once') < score("you grundle")
+    assert score(model, "balo grundle beri") > 0.5 and score(model, "zorpakxyz") > 0.5 and score(model, "you grundl") > 0.5
+    assert score(model, "balo beri") < 0.5 and score(model, None) == score(model, "") < 0.5
+    assert score(model, 'he said "grundle" once') < score(model, "you grundle")
+
+
+def test_learnt_terms_are_found_misspelt(spark):
+    """Every single edit of a learnt word, and of a learnt stem, and two edits of a long word."""
+    model = learnt(spark)
+    assert {t.text: t.edits for t in model.terms}.items() >= {"grundle": 1, "zorpak": 1, "disgusting": 2}.items()
+    for word, ending in (("grundle", ""), ("zorpak", "balo")):
+        for i in range(len(word)):
+            for typo in (word[:i] + word[i + 1 :], word[:i] + "x" + word[i + 1 :], word[:i] + "x" + word[i:]):
+                assert score(model, f"balo {typo}{ending} beri") > 0.5, typo
+    assert score(model, "so disgostin") > 0.5
+
+
+def test_terms_that_clean_texts_resemble_get_no_edits(spark):
+    data = [(f"w{i} grundle v{i} lo ri", 1) for i in range(60)] + [(f"grandle trundle {i} ri lo", 0) for i in range(60)]
+    model = X.fit(spark.createDataFrame(data, "text string, toxic int"))
+    assert {t.text: t.edits for t in model.terms}["grundle"] == 0
+    assert score(model, "a grandle") < 0.5 < score(model, "a grundle")
+
+
+def test_cuts_of_long_texts_change_nothing(monkeypatch):
+    m = X.Matcher(X.automaton(TERMS))
+    texts = ['he said you are a "stupid clown" there. ' * 9 + "scum", "clown", None, "x" * 50 + " stupid", "stupd \n" * 20]
+    n, found = X.count_hits(m, texts)
+    monkeypatch.setattr(X, "CHARS", 7)
+    got, again = X.count_hits(m, texts)
+    assert got.tolist() == n.tolist() and sorted(found) == sorted(again)
+    assert n.sum() == 18 + 1 + 1 + 1 + 20
+
+
+def test_very_long_words_teach_nothing(spark):
+    data = [("ab" * 50_000 + f" {i} grundle", 1) for i in range(30)] + [(f"fine {i}", 0) for i in range(30)]
+    assert max(len(t.text) for t in X.fit(spark.createDataFrame(data, "text string, toxic int")).terms) <= X.LONGEST
 
 
 def test_edges(spark):
