@@ -2,10 +2,14 @@
 
 Candidates and queries that go to the same shard meet in one partition, candidates first;
 a task holds one shard (its size is bounded by the caller) and one batch of queries.
+
+Every row has a number (`row`), by which a query leaves out itself alone: other rows of its
+vec_id, or of its vector, are candidates as any.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,8 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from allotau.llm import _base as B
+
 #: Queries answered at once.
 QUERY_BATCH = 512
+NONE = np.iinfo(np.int64).max
 
 
 def usable(v: Column) -> Column:
@@ -22,13 +29,14 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))), F.lit(False))
 
 
-def one_a_row(rows: DataFrame, vector: str) -> DataFrame:
-    """vec_id, vector: usable rows with an id; where an id comes more than once, its smallest vector stands for it."""
-    return rows.where(F.col("vec_id").isNotNull() & usable(F.col(vector))).groupBy("vec_id").agg(F.min(vector).alias(vector))
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (vec_id, v) as a table with row numbers; rows without an id or a usable vector take no part."""
+    kept = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    return B.written(kept.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), "v"), "vectors")
 
 
 def matrix(vectors: pd.Series, dim: int) -> np.ndarray:
-    """Rows of doubles, short vectors filled up with zeros."""
+    """Rows of doubles, short vectors filled up with zeros, components beyond dim left out."""
     try:
         out = np.stack(vectors.to_numpy()).astype(float)
         if out.shape[1] == dim:
@@ -37,7 +45,7 @@ def matrix(vectors: pd.Series, dim: int) -> np.ndarray:
         pass
     out = np.zeros((len(vectors), dim))
     for row, v in zip(out, vectors, strict=True):
-        row[: len(v)] = v
+        row[: min(dim, len(v))] = v[:dim]
     return out
 
 
@@ -47,7 +55,7 @@ class Best:
     def __init__(self, queries: int, k: int) -> None:
         self.k = k
         self.scores = np.full((queries, k), -np.inf)
-        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
+        self.ids = np.full((queries, k), NONE)
 
     @property
     def kth(self) -> np.ndarray:
@@ -66,23 +74,44 @@ class Best:
             order = np.lexsort((i, -s))[: self.k]
             self.scores[q], self.ids[q] = s[order], i[order]
 
-    def rows(self, query_ids: np.ndarray, score_type: type) -> pd.DataFrame:
+    def rows(self, query_rows: np.ndarray, query_ids: np.ndarray, score_type: type) -> pd.DataFrame:
         q, r = np.nonzero(self.scores > -np.inf)
-        return pd.DataFrame({"query_id": query_ids[q], "vec_id": self.ids[q, r], "score": self.scores[q, r].astype(score_type)})
+        return pd.DataFrame({"query_row": query_rows[q], "query_id": query_ids[q], "vec_id": self.ids[q, r], "score": self.scores[q, r].astype(score_type)})
+
+
+#: (numbers of the queries' rows, their vectors, best)
+Search = Callable[[np.ndarray, np.ndarray, Best], None]
+
+
+def layout(stored: DataFrame, part: str, shard_rows: int) -> tuple[DataFrame, int]:
+    """stored has `part`, of few values -> (part, first, salts), number of shards: each part is dealt over so many shards that none holds much more than shard_rows."""
+    counts = {r[part]: r["n"] for r in stored.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a part
+    rows, shards = [], 0
+    for p in sorted(counts):
+        rows.append((p, shards, math.ceil(counts[p] / shard_rows)))
+        shards += rows[-1][2]
+    return stored.sparkSession.createDataFrame(rows, f"{part} int, first int, salts int"), shards
+
+
+def dealt(stored: DataFrame, part: str, places: DataFrame) -> DataFrame:
+    """row, vec_id, v, shard of the candidates; the rows of a part go to its shards by a hash."""
+    return stored.join(F.broadcast(places), part).select("row", "vec_id", "v", (F.col("first") + F.pmod(F.xxhash64("row"), F.col("salts"))).cast("int").alias("shard"))
 
 
-Search = Callable[[np.ndarray, np.ndarray, np.ndarray, Best], None]
+def sent(asked: DataFrame, part: str, places: DataFrame) -> DataFrame:
+    """row, vec_id, v, kth, shard of the queries: every shard of the parts they ask for."""
+    return asked.join(F.broadcast(places), part).select("row", "vec_id", "v", "kth", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("salts") - 1)).alias("shard"))
 
 
-def search_shards(candidates: DataFrame, queries: DataFrame, shards: int, make: Callable[[np.ndarray, np.ndarray], Search], score: str, k: int) -> DataFrame:
-    """candidates (shard, vec_id, v), queries (shard, vec_id, v, kth) -> query_id, vec_id, score.
+def search_shards(candidates: DataFrame, queries: DataFrame, shards: int, make: Callable[[np.ndarray, np.ndarray, np.ndarray], Search], score: str, k: int) -> DataFrame:
+    """candidates (shard, row, vec_id, v), queries (shard, row, vec_id, v, kth) -> query_row, query_id, vec_id, score.
 
-    make(ids, vectors) gives the search of a shard: search(query_ids, query_vectors, kth, best).
-    Each shard returns at most k rows a query, none that scores below the query's kth.
+    make(rows, ids, vectors) gives the search of a shard. Each shard returns at most k rows
+    a query, none that scores below the query's kth.
     """
-    both = candidates.select("shard", F.lit(0).alias("kind"), "vec_id", "v", F.lit(None).cast("double").alias("kth"))
-    both = both.unionByName(queries.select("shard", F.lit(1).alias("kind"), "vec_id", "v", F.col("kth").cast("double").alias("kth")))
-    both = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "vec_id")
+    both = candidates.select("shard", F.lit(0).alias("kind"), "row", "vec_id", "v", F.lit(None).cast("double").alias("kth"))
+    both = both.unionByName(queries.select("shard", F.lit(1).alias("kind"), "row", "vec_id", "v", F.col("kth").cast("double").alias("kth")))
+    both = both.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "kind", "row")
     score_type = np.int64 if score == "long" else float
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,17 +125,16 @@ def search_shards(candidates: DataFrame, queries: DataFrame, shards: int, make:
             if search is None and held:
                 rows = pd.concat(held, ignore_index=True)
                 dim = max(map(len, rows["v"]))
-                search, held = make(rows["vec_id"].to_numpy(), matrix(rows["v"], dim)), []
+                search, held = make(rows["row"].to_numpy(), rows["vec_id"].to_numpy(), matrix(rows["v"], dim)), []
             pdf, waiting = pd.concat(waiting, ignore_index=True), []
             if search is None:
                 return
-            ids, best = pdf["vec_id"].to_numpy(), Best(len(pdf), k)
+            rows, best = pdf["row"].to_numpy(), Best(len(pdf), k)
             kth = pdf["kth"].fillna(-np.inf).to_numpy(dtype=float)
             best.scores[:] = np.nextafter(kth, -np.inf)[:, None]  # what ties with the kth may still take its place
-            vectors = [v[:dim] for v in pdf["v"]]  # further components meet zeros
-            search(ids, matrix(pd.Series(vectors), dim), best)
-            best.scores[best.ids == np.iinfo(np.int64).max] = -np.inf
-            yield best.rows(ids, score_type)
+            search(rows, matrix(pdf["v"], dim), best)  # components beyond dim meet zeros
+            best.scores[best.ids == NONE] = -np.inf
+            yield best.rows(rows, pdf["vec_id"].to_numpy(), score_type)
 
         for batch in batches:
             for s, of_shard in batch.groupby("shard", sort=False):
@@ -115,7 +143,7 @@ def search_shards(candidates: DataFrame, queries: DataFrame, shards: int, make:
                     shard, held, search = s, [], None
                 kind = of_shard["kind"].to_numpy()
                 if (kind == 0).any():
-                    held.append(of_shard.loc[kind == 0, ["vec_id", "v"]])
+                    held.append(of_shard.loc[kind == 0, ["row", "vec_id", "v"]])
                 asked = of_shard[kind == 1]
                 for i in range(0, len(asked), QUERY_BATCH):
                     waiting.append(asked.iloc[i : i + QUERY_BATCH])
@@ -123,10 +151,10 @@ def search_shards(candidates: DataFrame, queries: DataFrame, shards: int, make:
                         yield from answer()
         yield from answer()
 
-    return both.mapInPandas(run, f"query_id long, vec_id long, score {score}")
+    return both.mapInPandas(run, f"query_row long, query_id long, vec_id long, score {score}")
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of each query."""
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    """query_row, query_id, rank, vec_id, score: the k best of each query."""
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_row", "query_id", "rank", "vec_id", "score")
