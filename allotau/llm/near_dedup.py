@@ -5,7 +5,8 @@ and of all non-ASCII characters, lower case; a shorter text is one shingle). Sim
 weighted Jaccard: shared copies over all copies. Links are pairs of 0.8 and more, classes
 their connected components.
 
-1. Equal texts are one class, by checksum, before anything else; one of them stands for all.
+1. Equal texts are one class, by checksum; one of them stands for all. A task signs a text
+   that it meets again no second time (it remembers MEMO checksums).
 2. BagMinHash: weights are cut into levels, the levels into blocks (1], (1,2], (2,4],
    (4,8] ...; each block of a shingle is a Poisson process whose points fall on signature
    components and levels, and points above the weight don't count. A component keeps its
@@ -50,6 +51,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 BATCH_BYTES = 1 << 20
+MEMO = 100_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0x100000001B3
 
@@ -82,23 +84,35 @@ IS_WORD = is_word()
 GAP = re.compile(rb"[^0-9a-z\x80-\xff]")
 
 
+def polynomial(word: bytes) -> np.uint64:
+    """Sum of (byte + 1) * BASE ** place: what word_hashes takes from running sums, for a word of any length."""
+    power, _ = powers()
+    out = 0
+    for i in range(0, len(word), BATCH_BYTES):
+        raw = np.frombuffer(word[i : i + BATCH_BYTES], np.uint8)
+        out += int(((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)]).sum()) * pow(BASE, i, 1 << 64)
+    return np.uint64(out % (1 << 64))
+
+
 def segments(texts: list[str]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Batches of about BATCH_BYTES: document numbers and bytes; a longer text is cut between words (one endless word is cut anyway)."""
+    """Batches of about BATCH_BYTES: document numbers and bytes. A longer text is cut between words; a longer word comes by itself."""
     at, parts, size = [], [], 0
     for i, text in enumerate(texts):
         b = text.lower().encode("utf-8", "surrogatepass")
-        while b:
-            if len(b) <= BATCH_BYTES:
-                part, b = b, b""
-            else:
-                gap = next((m.end() for m in GAP.finditer(b, BATCH_BYTES - 4096, BATCH_BYTES)), BATCH_BYTES)
-                part, b = b[:gap], b[gap:]
-            if size + len(part) + 1 > BATCH_BYTES and parts:
+        x = 0
+        while x < len(b):
+            y = len(b)
+            if y - x > BATCH_BYTES:
+                gaps = np.flatnonzero(~IS_WORD[np.frombuffer(b, np.uint8, BATCH_BYTES, x)])
+                gap = GAP.search(b, x + BATCH_BYTES) if not len(gaps) else None
+                y = x + int(gaps[-1]) + 1 if len(gaps) else gap.start() if gap else y
+            if size + y - x + 1 > BATCH_BYTES and parts:
                 yield at, parts
                 at, parts, size = [], [], 0
             at.append(i)
-            parts.append(part)
-            size += len(part) + 1
+            parts.append(b[x:y])
+            size += y - x + 1
+            x = y
     if parts:
         yield at, parts
 
@@ -108,6 +122,10 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     power, inverse = powers()
     docs, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for at, parts in segments(texts):
+        if len(parts) == 1 and len(parts[0]) > BATCH_BYTES:  # one endless word
+            docs.append(np.array(at))
+            hashes.append(mix(np.array([polynomial(parts[0])])))
+            continue
         raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
         word = IS_WORD[raw]
         edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
@@ -186,18 +204,27 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
 
 
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """docs (doc_id, sum, text) -> doc_id, sum, bands."""
+    """docs (doc_id, sum, text) -> doc_id, sum, bands (null where the task has signed the same text before)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: set[str] = set()
         for pdf in batches:
-            texts = pdf["text"].tolist()
+            out = pdf[["doc_id", "sum"]].copy()
+            fresh = np.flatnonzero(~pdf["sum"].duplicated() & ~pdf["sum"].isin(known))
+            texts, found = pdf["text"].iloc[fresh].tolist(), []
             for a, b in B.in_batches(texts, BATCH_BYTES):
                 doc, h, n = shingle_counts(texts[a:b])
                 got = band_hashes(bag_signatures(b - a, doc, h, n, bands * rows), bands, rows)
                 some = np.bincount(doc, minlength=b - a) > 0
-                out = pdf.iloc[a:b][["doc_id", "sum"]].copy()
-                out["bands"] = [x if s else x[:0] for x, s in zip(got, some, strict=True)]
-                yield out
+                found += [x if s else x[:0] for x, s in zip(got, some, strict=True)]
+            own = np.full(len(pdf), None, object)
+            for i, x in zip(fresh, found, strict=True):
+                own[i] = x
+            out["bands"] = own
+            if len(known) > MEMO:
+                known = set()
+            known.update(pdf["sum"].iloc[fresh])
+            yield out
 
     return docs.mapInPandas(run, "doc_id long, sum string, bands array<long>")
 
@@ -287,7 +314,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     far = 1 - similarity + 1e-12
     rows_in = docs.select("doc_id", F.when(F.col("text") != "", F.md5(F.col("text").cast("binary"))).alias("sum"), "text")
     real = rows_in.where("doc_id is not null and sum is not null")
-    reps = signed(real, bands, rows).groupBy("sum").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("doc_id"))
+    reps = signed(real, bands, rows).groupBy("sum").agg(F.first("bands", ignorenulls=True).alias("bands"), F.min("doc_id").alias("doc_id"))
     reps = B.written(reps.withColumn("id", F.monotonically_increasing_id()), "reps")  # a number for each different text, as the table holds it
     met = B.written(reps.select("id", F.explode("bands").alias("bucket")).distinct(), "bands")
     met = B.written(met.join(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket"), "buckets")  # only buckets that two texts or more are in
@@ -307,6 +334,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     members = placed.join(mixed, "bucket").where("id <> p").groupBy("p", "id", "comp").agg(F.collect_set("bucket").alias("buckets"))  # at most `bands` each
     members = B.written(members, "mixed")
     by_comp = members.groupBy("p", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("p").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    by_comp = B.written(by_comp, "main")  # a plain side of the join on the pivot, which Spark then sends whole or splits
     # u: copies that of all texts compared with the same pivot x alone holds
     open_stars = stars.withColumnRenamed("x", "id").join(members.select("p", "id"), ["p", "id"], "left_semi")
     beyond = open_stars.select("p", "id", F.explode(F.arrays_zip("more", "n_more")).alias("m")).groupBy("p", "m.more").agg(F.count(F.lit(1)).alias("holders"), F.first("id").alias("id"), F.first("m.n_more").alias("n"))

@@ -66,7 +66,7 @@ def test_counts_equal_plain_shingling():
 
 
 def test_texts_over_a_batch_give_the_same_counts(monkeypatch):
-    texts = [" ".join(f"w{i % 97}" for i in range(3000)), "a b c d e f g"]
+    texts = [" ".join(f"w{i % 97}" for i in range(3000)), "a b c d e f g", "a b " + "q" * 12_000 + " c d e f " + "z" * 5000 + " g h", "y" * 20_000, "y" * 19_999]
     whole = N.shingle_counts(texts)
     monkeypatch.setattr(N, "BATCH_BYTES", 5000)
     cut = N.shingle_counts(texts)
