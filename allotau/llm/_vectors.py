@@ -1,7 +1,9 @@
 """Search of query vectors in bounded shards of candidate vectors, for the two nearest-vector operators.
 
-Candidates and queries that go to the same shard meet in one partition, candidates first;
-a task holds one shard (its size is bounded by the caller) and one batch of queries.
+Candidates and queries that go to the same shard meet in one partition, candidates first. A
+task takes its shards one after the other and holds one of them (its size is bounded by the
+caller), one batch of queries, and the best so far of HELD queries, so that it sends a
+query's best once, not once a shard.
 
 Every row has a number (`row`), by which a query leaves out itself alone: other rows of its
 vec_id, or of its vector, are candidates as any.
@@ -21,6 +23,8 @@ from allotau.llm import _base as B
 
 #: Queries answered at once.
 QUERY_BATCH = 512
+#: Queries whose best a task holds; beyond, it sends them on and begins anew.
+HELD = 100_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -74,10 +78,6 @@ class Best:
             order = np.lexsort((i, -s))[: self.k]
             self.scores[q], self.ids[q] = s[order], i[order]
 
-    def rows(self, query_rows: np.ndarray, query_ids: np.ndarray, score_type: type) -> pd.DataFrame:
-        q, r = np.nonzero(self.scores > -np.inf)
-        return pd.DataFrame({"query_row": query_rows[q], "query_id": query_ids[q], "vec_id": self.ids[q, r], "score": self.scores[q, r].astype(score_type)})
-
 
 #: (numbers of the queries' rows, their vectors, best)
 Search = Callable[[np.ndarray, np.ndarray, Best], None]
@@ -106,17 +106,28 @@ def sent(asked: DataFrame, part: str, places: DataFrame) -> DataFrame:
 def search_shards(candidates: DataFrame, queries: DataFrame, shards: int, make: Callable[[np.ndarray, np.ndarray, np.ndarray], Search], score: str, k: int) -> DataFrame:
     """candidates (shard, row, vec_id, v), queries (shard, row, vec_id, v, kth) -> query_row, query_id, vec_id, score.
 
-    make(rows, ids, vectors) gives the search of a shard. Each shard returns at most k rows
-    a query, none that scores below the query's kth.
+    make(rows, ids, vectors) gives the search of a shard. A task returns at most k rows a
+    query (more only if it meets more than HELD queries), none that scores below its kth.
     """
     both = candidates.select("shard", F.lit(0).alias("kind"), "row", "vec_id", "v", F.lit(None).cast("double").alias("kth"))
     both = both.unionByName(queries.select("shard", F.lit(1).alias("kind"), "row", "vec_id", "v", F.col("kth").cast("double").alias("kth")))
-    both = both.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "kind", "row")
+    tasks = max(1, min(shards, int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    both = both.repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard", "kind", "row")
     score_type = np.int64 if score == "long" else float
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, held, search, dim = None, [], None, 0
         waiting: list[pd.DataFrame] = []
+        bests: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}  # by row of the query: its id, scores, ids
+
+        def all_bests() -> Iterator[pd.DataFrame]:
+            rows = list(bests)
+            for i in range(0, len(rows), 10_000):
+                some = [bests[r] for r in rows[i : i + 10_000]]
+                scores, ids = np.stack([s for _, s, _ in some]), np.stack([x for _, _, x in some])
+                q, r = np.nonzero((ids != NONE) & (scores > -np.inf))
+                yield pd.DataFrame({"query_row": np.array(rows[i : i + 10_000])[q], "query_id": np.array([x for x, _, _ in some])[q], "vec_id": ids[q, r], "score": scores[q, r].astype(score_type)})
+            bests.clear()
 
         def answer() -> Iterator[pd.DataFrame]:
             nonlocal search, held, dim, waiting
@@ -132,9 +143,14 @@ def search_shards(candidates: DataFrame, queries: DataFrame, shards: int, make:
             rows, best = pdf["row"].to_numpy(), Best(len(pdf), k)
             kth = pdf["kth"].fillna(-np.inf).to_numpy(dtype=float)
             best.scores[:] = np.nextafter(kth, -np.inf)[:, None]  # what ties with the kth may still take its place
+            for i, r in enumerate(rows.tolist()):
+                if r in bests:
+                    _, best.scores[i], best.ids[i] = bests[r]
             search(rows, matrix(pdf["v"], dim), best)  # components beyond dim meet zeros
-            best.scores[best.ids == NONE] = -np.inf
-            yield best.rows(rows, pdf["vec_id"].to_numpy(), score_type)
+            for i, (r, query_id) in enumerate(zip(rows.tolist(), pdf["vec_id"].tolist(), strict=True)):
+                bests[r] = query_id, best.scores[i], best.ids[i]
+            if len(bests) > HELD:
+                yield from all_bests()
 
         for batch in batches:
             for s, of_shard in batch.groupby("shard", sort=False):
@@ -150,6 +166,7 @@ def search_shards(candidates: DataFrame, queries: DataFrame, shards: int, make:
                     if sum(map(len, waiting)) >= QUERY_BATCH:
                         yield from answer()
         yield from answer()
+        yield from all_bests()
 
     return both.mapInPandas(run, f"query_row long, query_id long, vec_id long, score {score}")
 

@@ -41,7 +41,7 @@ GRAPH_NEIGHBOURS = 20
 #: Share of true neighbours that the sample's queries must find; the contract asks for 0.9 of all rows.
 RECALL = 0.93
 SHARD_ROWS = 8192
-PART_ROWS, MIN_PARTS = 800, 8
+PART_ROWS, MIN_PARTS = 1600, 8
 
 
 @dataclass

@@ -85,6 +85,16 @@ def test_large_integers_are_exact(spark):
     assert [i for i, _ in got[0]] == [i for _, i in exact[:5]]
 
 
+def test_a_task_that_holds_few_queries(spark, monkeypatch):
+    monkeypatch.setattr(V, "HELD", 5)
+    monkeypatch.setattr(V, "QUERY_BATCH", 4)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-4, 5, 6)) for i in range(400)]
+    numbered = V.numbered(frame(spark, rows))
+    got = found(T.exact_top_k(numbered, numbered.where("vec_id % 20 = 0"), 20, 50))
+    assert got == [(q, [(i, int(s)) for i, s in w]) for q, w in brute(rows, range(0, 400, 20), 20)]
+
+
 def test_few_candidates_empty_and_repeats(spark):
     rows = [(1, [1.0]), (2, [2.0])]
     one, two = V.numbered(frame(spark, rows)), V.numbered(frame(spark, rows * 2))
