@@ -139,20 +139,22 @@ def fit_large(points: DataFrame) -> DataFrame:
     return state.select(*KEYS, "status", F.when(ok, a).alias("a"), F.when(ok, F.col("b")).alias("b"))
 
 
+def fit_by_size(points: DataFrame, sizes: DataFrame, large: int = LARGE) -> DataFrame:
+    """Points and sizes (KEYS, n) of the series to fit -> RESULT, by the way that a series' size asks for."""
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= large:
+        return fit_small(points)
+    small, big = (points.join(sizes.where(which).select(*KEYS), KEYS, "left_semi") for which in (F.col("n") <= large, F.col("n") > large))
+    return fit_small(small).unionByName(fit_large(big))
+
+
 def fit_report(points: DataFrame, min_points: int = 3, large: int = LARGE) -> DataFrame:
     """points (KEYS, tau, value) -> KEYS, total_points, removed_points, used_points, status, reason, a, b."""
     stats = written(point_stats(points), "stats")
     valid = points.where(is_valid(F.col("tau"), F.col("value"))).select(*KEYS, "tau", "value")
-    enough = stats.where(F.col("used_points") >= min_points)
-    used = stats.agg(F.max("used_points").alias("most"), F.min("used_points").alias("least")).first()
-    if used["most"] is not None and used["most"] > max(large, min_points - 1):
-        small = enough.where(F.col("used_points") <= large).select(*KEYS)
-        big = enough.where(F.col("used_points") > large).select(*KEYS)
-        fits = fit_small(valid.join(small, KEYS, "left_semi")).unionByName(fit_large(valid.join(big, KEYS, "left_semi")))
-    elif used["least"] is not None and used["least"] < min_points:
-        fits = fit_small(valid.join(stats.where(F.col("used_points") < min_points).select(*KEYS), KEYS, "left_anti"))
-    else:
-        fits = fit_small(valid)
+    enough = F.col("used_points") >= min_points
+    if stats.where(~enough & (F.col("used_points") > 0)).limit(1).count():
+        valid = valid.join(stats.where(~enough).select(*KEYS), KEYS, "left_anti")
+    fits = fit_by_size(valid, stats.where(enough).select(*KEYS, F.col("used_points").alias("n")), large)
     report = stats.join(fits, KEYS, "left").withColumn("status", F.coalesce("status", F.lit("too_few_points")))
     reason = (
         F.when(F.col("status") == "too_few_points", F.concat(F.lit(f"fewer than {min_points} valid points: "), F.col("used_points")))
@@ -162,14 +164,14 @@ def fit_report(points: DataFrame, min_points: int = 3, large: int = LARGE) -> Da
     return report.select(*KEYS, "total_points", "removed_points", "used_points", "status", reason.alias("reason"), "a", "b")
 
 
-def fit_unfiltered(points: DataFrame) -> DataFrame:
+def fit_unfiltered(points: DataFrame, large: int = LARGE) -> DataFrame:
     """KEYS, status, a, b with no point removed."""
     x, y = F.col("tau"), F.col("value")
     odd = F.coalesce(S.is_infinite(x) | S.is_infinite(y) | F.isnan(x) | F.isnan(y), F.lit(False)) | x.isNull() | y.isNull()
     facts = points.groupBy(*KEYS).agg(F.max(odd).alias("odd"), F.max(F.coalesce(x <= 0, F.lit(False))).alias("low"), F.count(F.lit(1)).alias("n"))
     failed = F.when(F.col("odd") | (F.col("n") < 2), "fit_failed").when(F.col("low"), "unsupported_domain")
-    facts = facts.select(*KEYS, failed.alias("failed"))
-    fits = fit_small(points.join(facts.where("failed is null"), KEYS, "left_semi"))
+    facts = written(facts.select(*KEYS, failed.alias("failed"), "n"), "facts")
+    fits = fit_by_size(points.join(facts.where("failed is null"), KEYS, "left_semi"), facts.where("failed is null").select(*KEYS, "n"), large)
     return facts.join(fits, KEYS, "left").select(*KEYS, F.coalesce("failed", "status").alias("status"), "a", "b")
 
 

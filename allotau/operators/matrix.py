@@ -20,7 +20,7 @@ def numeric_columns(df: DataFrame, apart: tuple[str, ...] = ()) -> list[str]:
 
 def numeric_only(df: DataFrame, apart: tuple[str, ...] = ()) -> DataFrame:
     """The columns `apart` as they are, and the numeric ones as doubles."""
-    return df.select(*apart, *[number(F.col(f"`{c}`")).alias(c) for c in numeric_columns(df, apart)])
+    return df.select(*[F.col(f"`{c}`") for c in apart], *[number(F.col(f"`{c}`")).alias(c) for c in numeric_columns(df, apart)])
 
 
 def with_numbers(df: DataFrame, change: dict[str, Column]) -> DataFrame:
@@ -28,10 +28,20 @@ def with_numbers(df: DataFrame, change: dict[str, Column]) -> DataFrame:
     return df.select(*[change[c].alias(c) if c in change else F.col(f"`{c}`") for c in df.columns])
 
 
+def free(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def to_long(wide: DataFrame, values: list[str], keys: tuple[str, ...] = ("dataset", "row_id")) -> DataFrame:
     """keys, series_pos, series, value: a row a cell; no shuffle."""
     cells = F.array(*[F.struct(F.lit(i).alias("series_pos"), F.lit(c).alias("series"), number(F.col(f"`{c}`")).alias("value")) for i, c in enumerate(values)])
-    return wide.select(*keys, F.explode(cells).alias("cell")).select(*keys, "cell.series_pos", "cell.series", "cell.value")
+    own, cell = [F.col(f"`{k}`") for k in keys], free("cell", wide)
+    long = wide.select(*own, F.explode(cells).alias(cell))
+    return long.select(*own, *[F.col(f"`{cell}`.{c}") for c in ("series_pos", "series", "value")])
 
 
 def to_wide(long: DataFrame, series: list[str]) -> DataFrame:
@@ -67,6 +77,12 @@ def first_series(rows: DataFrame, most: int) -> DataFrame:
     return rows.join(kept, ["dataset", "series_pos"], "left_semi")
 
 
+def shown_series(long: DataFrame, most: int) -> DataFrame:
+    """dataset, n_series, n_shown, truncated: how many of its series a dataset shows if it shows the first `most`."""
+    n = long.select("dataset", "series_pos").distinct().groupBy("dataset").agg(F.count(F.lit(1)).alias("n_series"))
+    return n.select("dataset", "n_series", F.least("n_series", F.lit(most).cast("long")).alias("n_shown"), (F.col("n_series") > most).alias("truncated"))
+
+
 def first_rows(wide: DataFrame, key: str, n: int = 10) -> DataFrame:
     """The first n rows of every dataset by an explicit key, with their position; Spark keeps n rows a dataset before it shuffles."""
     own = Window.partitionBy("dataset").orderBy(key)

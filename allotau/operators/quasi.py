@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allotau.functions.scalar import number
+from allotau.operators.matrix import free
+from allotau.sources.tables import in_ranges, written
 
 
 def row_total(values: list[str]) -> Column:
@@ -33,10 +35,21 @@ def long_totals(long: DataFrame) -> DataFrame:
 
 
 def ordered(rows: DataFrame) -> DataFrame:
-    """rows (dataset, row_id, tau, ...) with tau_pos (0-based)."""
-    return rows.withColumn("tau_pos", F.row_number().over(Window.partitionBy("dataset").orderBy("tau", "row_id")).cast("long") - 1)
+    """rows (dataset, row_id, tau, ...) with tau_pos (0-based).
+
+    Rows are dealt by ranges and numbered within each; a dataset's rows in a range follow
+    each other, so its count in the ranges before is all that is added. No task holds a dataset.
+    """
+    at, part = free("_at", rows), free("_part", rows)
+    sorted_rows = in_ranges(rows, ["dataset", "tau", "row_id"], at, "ordered").withColumn(part, F.shiftright(F.col(at), 33))
+    spans = sorted_rows.groupBy("dataset", part).agg(F.min(at).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("dataset").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    shift = written(spans.select("dataset", part, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("tau_pos")), "spans")
+    placed = sorted_rows.join(shift.select(F.col("dataset").alias("_d"), F.col(part).alias("_p"), "tau_pos"), F.col("dataset").eqNullSafe(F.col("_d")) & (F.col(part) == F.col("_p")))
+    return placed.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("tau_pos") + F.col(at)).alias("tau_pos"))
 
 
 def first_in_order(rows: DataFrame, n: int = 10) -> DataFrame:
     """The first n rows of each dataset in the order of tau. Spark keeps n rows a dataset before it shuffles."""
-    return ordered(rows).where(F.col("tau_pos") < n)
+    place = F.row_number().over(Window.partitionBy("dataset").orderBy("tau", "row_id")).cast("long") - 1
+    return rows.withColumn("tau_pos", place).where(F.col("tau_pos") < n)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from allotau.functions import scalar as S
-from allotau.operators.matrix import with_numbers
+from allotau.operators.matrix import free, with_numbers
 
 RANGES = {"rescale_to_-1_1": (-1.0, 1.0), "rescale_to_0_1": (0.0, 1.0)}
 KINDS = ("none", *RANGES, "log1p")
@@ -40,14 +40,16 @@ def transform_wide(wide: DataFrame, values: list[str], kind: str) -> tuple[DataF
     if kind == "none" or not values:
         return with_numbers(wide, numbers), wide.groupBy("dataset").agg(F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"))
     wrong = [(v < -1) if kind == "log1p" else S.is_infinite(v) for v in numbers.values()]
-    bounds = [] if kind == "log1p" else [f(v).alias(f"_{n}{i}") for i, v in enumerate(numbers.values()) for n, f in (("least", F.min), ("most", F.max))]
+    bounds = [F.lit(0).alias("none")] if kind == "log1p" else [f(v).alias(f"{n}{i}") for i, v in enumerate(numbers.values()) for n, f in (("least", F.min), ("most", F.max))]
+    fact = free("facts", wide)  # all in one struct, so that one name is enough
     facts = wide.groupBy("dataset").agg(F.max(F.greatest(*[F.coalesce(w, F.lit(False)) for w in wrong], F.lit(False))).alias("bad"), *bounds)
-    good = wide.join(facts.where(~F.col("bad")), "dataset")
+    facts = facts.select("dataset", F.struct("bad", *[c for c in facts.columns if c not in ("dataset", "bad")]).alias(fact))
+    good = wide.join(facts.where(~F.col(fact)["bad"]), "dataset")
     if kind == "log1p":
         change = {c: S.log1p(v) for c, v in numbers.items()}
     else:
-        change = {c: scaled(v, F.col(f"_least{i}"), F.col(f"_most{i}"), *RANGES[kind]) for i, (c, v) in enumerate(numbers.items())}
-    return with_numbers(good.select(*wide.columns, *[b for b in facts.columns if b.startswith("_")]), change).select(*wide.columns), failures(facts.select("dataset", "bad"), kind)
+        change = {c: scaled(v, F.col(fact)[f"least{i}"], F.col(fact)[f"most{i}"], *RANGES[kind]) for i, (c, v) in enumerate(numbers.items())}
+    return good.select(*[change[c].alias(c) if c in change else F.col(f"`{c}`") for c in wide.columns]), failures(facts.select("dataset", F.col(fact)["bad"].alias("bad")), kind)
 
 
 def transform_long(long: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from allotau.functions import scalar as S
 from allotau.operators import curve, fit, matrix, points, quasi, transform
 from allotau.plans import jobs
-from allotau.sources.tables import written
+from allotau.sources.csv_matrices import numeric_cells, read_matrices
+from allotau.sources.tables import scratch, write_csv, written
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 PART = ["p_size", "p_retailprice"]
@@ -102,6 +103,13 @@ def log1p_dataset_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform.transform_wide(rows, ["c_acctbal"], "log1p")[1].select("dataset", "status")
 
 
+def log1p_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in blocks of ten: the blocks without a balance below -1, which go on while the others fail."""
+    rows = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 10).cast("string").alias("dataset"), F.col("c_custkey").alias("row_id"), "c_acctbal")
+    good, _ = transform.transform_wide(rows, ["c_acctbal"], "log1p")
+    return good.select("dataset", "row_id", r6("c_acctbal").alias("c_acctbal"))
+
+
 def row_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quasi.with_total(evt(spark, sf_dir), EVENTS).select("dataset", "row_id", r6("tau").alias("tau"))
 
@@ -121,8 +129,41 @@ def transpose_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slice_n_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of vec_id below 100 over the whole table, and 10 columns, as its SQL has it; not the first 100 rows of every label (REPLY_r01.md)."""
-    return matrix.first_cells(emb(spark, sf_dir), 100, 10).select("dataset", "row_id", "series_pos", r6("value").alias("value"))
+    """The first 100 rows by vec_id of every label, and 10 columns (the limits are the feature)."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("dataset"), F.col("vec_id").alias("row_id"), "embedding")
+    long = matrix.first_rows(rows, "row_id", 100).select("dataset", "row_id", F.posexplode("embedding").alias("series_pos", "value"))
+    return matrix.first_cells(long, None, 10).select("dataset", "row_id", "series_pos", r6(F.col("value").cast("double")).alias("value"))
+
+
+def shown_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of its 64 series each label shows when 6 are drawn, and that some are left out."""
+    return matrix.shown_series(emb(spark, sf_dir), PLOTS)
+
+
+def first_series_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the first 6 of the series of every label (the limit is the feature)."""
+    got = points.quasi_scatter(matrix.first_series(emb_points(spark, sf_dir), PLOTS))
+    return got.select("dataset", "series_pos", "series", r6("tau").alias("tau"), r6("value").alias("value"))
+
+
+def csv_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts written as CSV files and read again, p_partkey as label column; every file is a dataset."""
+    path = scratch(spark, "csv")
+    write_csv(table(spark, sf_dir, "part").select("p_partkey", "p_name", *PART), path)
+    long, _ = read_matrices(spark, path, label_column=True)
+    return long.select("row_label", "series_pos", "series", r6("value").alias("value"))
+
+
+def no_numeric_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources, whose documents have texts only, beside labels, which have numbers: status rows of the former."""
+
+    def cells(rows: DataFrame, dataset: Column, columns: list[str]) -> DataFrame:
+        raw = F.array(*[F.struct(F.lit(i).alias("series_pos"), F.lit(c).alias("series"), F.col(c).cast("string").alias("raw")) for i, c in enumerate(columns)])
+        long = rows.select(dataset.alias("dataset"), F.col("doc_id").alias("row_id"), F.lit(None).cast("string").alias("row_label"), F.explode(raw).alias("c"))
+        return long.select("dataset", "row_id", "row_label", "c.series_pos", "c.series", "c.raw")
+
+    every = cells(table(spark, sf_dir, "documents"), F.col("source"), ["lang"]).unionByName(cells(table(spark, sf_dir, "labels"), F.lit("labels"), ["quality", "toxic"]))
+    return matrix.without_numbers(every, numeric_cells(every)).select("dataset", "status")
 
 
 def dataset_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,30 +228,38 @@ def fit_unfiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("dataset", "series_pos", "series", "status", digits("a").alias("a"), r6("b").alias("b"))
 
 
+def fit_unfiltered_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days and event types whose unfiltered fit fails for a missing cell, or has a total that isn't positive."""
+    got = fit.fit_unfiltered(jobs.points_of_wide(evt(spark, sf_dir), EVENTS))
+    return got.where("status in ('fit_failed', 'unsupported_domain')").select("dataset", "series_pos", "series", "status")
+
+
 def power_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quasi.with_total(line(spark, sf_dir), LINE)
     return rows.select("dataset", F.col("tau").alias("x"), r6(S.power(F.col("tau"), F.lit(0.5), F.lit(0.25))).alias("y")).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("y"), 5).alias("least"), F.round(F.max("y"), 5).alias("most"), F.round(F.sum("y"), 2).alias("total"))
 
 
+def power_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curve at every total of the parts, row by row."""
+    return quasi.with_total(part(spark, sf_dir), PART).select("dataset", "row_id", r6(S.power(F.col("tau"), F.lit(0.5), F.lit(-0.25))).alias("y"))
+
+
 def chebyshev_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = curve.nodes(curve.bounds(quasi.long_totals(emb(spark, sf_dir))))
     return grid.select("dataset", "node_pos", r6("tau").alias("tau"))
 
 
-def curve_of_line(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    wide = line(spark, sf_dir)
-    report = written(jobs.fit_wide(wide, LINE)[0], "report")  # read by the curves and by the overlay
-    return jobs.points_of_wide(wide, LINE), jobs.curves_wide(wide, LINE, report), fit.params(report)
-
-
 def curve_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curve_of_line(spark, sf_dir)[1].select("dataset", "node_pos", F.round("tau", 4).alias("tau"), "series_pos", "series", F.round("y", 3).alias("y"))
+    wide = line(spark, sf_dir)
+    return jobs.curves_wide(wide, LINE, jobs.fit_wide(wide, LINE)[0]).select("dataset", "node_pos", F.round("tau", 4).alias("tau"), "series_pos", "series", F.round("y", 3).alias("y"))
 
 
 def fit_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points and curves of the first 6 fitted series of every dataset (the limit is the feature)."""
-    seen, drawn, fitted = curve_of_line(spark, sf_dir)
-    got = points.overlay(seen, drawn, matrix.first_series(fitted, PLOTS))
+    wide = line(spark, sf_dir)
+    report = written(jobs.fit_wide(wide, LINE)[0], "report")  # a row a series, read by the curves and by the points
+    report = written(matrix.first_series(fit.params(report).withColumn("status", F.lit("ok")), PLOTS), "shown")
+    got = points.overlay(jobs.points_of_wide(wide, LINE), jobs.curves_wide(wide, LINE, report), fit.params(report))
     return got.select("dataset", "series_pos", "series", "kind", F.round("tau", 4).alias("tau"), F.round("y", 3).alias("y"))
 
 
@@ -229,6 +278,7 @@ def dataset_status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     numeric_projection, transform_none, data_preview, minmax_0_1, minmax_neg1_1, minmax_constant_column, minmax_long, log1p_transform, log1p_dataset_status,
     row_total, quasi_dynamic_order, quasi_preview, transpose_long, slice_n_p, dataset_shape, scatter_points, quasi_scatter_points, loglog_points, loglog_skipped_series,
+    csv_matrices, no_numeric_columns, shown_series, first_series_points, log1p_survivors, fit_unfiltered_failures, power_points,
     fit_point_stats, fit_params, fit_large_path, fit_params_log1p, fit_skip_report, fit_unfiltered, power_eval, chebyshev_nodes, curve_sample,
     fit_overlay, curve_unfiltered, dataset_status_report,
 )}
@@ -300,7 +350,14 @@ ORACLE_SQL = {
     "quasi_dynamic_order": f"WITH {_EVT}, {_EVT_TAU} SELECT dataset, row_id, round(tau, 6) + 0.0 AS tau, row_number() OVER (PARTITION BY dataset ORDER BY round(tau, 6), row_id) - 1 AS tau_pos FROM evt_t",
     "quasi_preview": f"WITH {_EMB}, {_EMB_TAU} SELECT * FROM (SELECT dataset, row_id, round(tau, 6) + 0.0 AS tau, row_number() OVER (PARTITION BY dataset ORDER BY round(tau, 6), row_id) - 1 AS tau_pos FROM emb_t) WHERE tau_pos < {PREVIEW}",
     "transpose_long": f"WITH {_EMB} SELECT dataset, CAST(series_pos AS BIGINT) AS row_id, series AS row_label, CAST(row_id AS INTEGER) AS series_pos, CAST(row_id AS VARCHAR) AS series, round(value, 6) + 0.0 AS value FROM emb_m",
-    "slice_n_p": f"WITH {_EMB} SELECT dataset, row_id, series_pos, round(value, 6) + 0.0 AS value FROM emb_m WHERE row_id < 100 AND series_pos < 10",
+    "slice_n_p": f"WITH {_EMB} SELECT dataset, row_id, series_pos, round(value, 6) + 0.0 AS value FROM emb_m WHERE series_pos < 10 QUALIFY rank() OVER (PARTITION BY dataset, series_pos ORDER BY row_id) <= 100",
+    "shown_series": f"SELECT CAST(label AS VARCHAR) AS dataset, max(len(embedding)) AS n_series, least(max(len(embedding)), {PLOTS}) AS n_shown, max(len(embedding)) > {PLOTS} AS truncated FROM embeddings GROUP BY 1",
+    "first_series_points": f"WITH {_EMB}, {_EMB_TAU}, {_EMB_POINTS} SELECT dataset, series_pos, series, round(tau, 6) + 0.0 AS tau, round(value, 6) + 0.0 AS value FROM emb_p WHERE series_pos < {PLOTS}",
+    "csv_matrices": " UNION ALL ".join(f"SELECT CAST(p_partkey AS VARCHAR) AS row_label, {i + 1} AS series_pos, '{c}' AS series, round(CAST({c} AS DOUBLE), 6) AS value FROM part" for i, c in enumerate(PART)),
+    "no_numeric_columns": "SELECT source AS dataset, 'no_numeric_columns' AS status FROM documents GROUP BY source HAVING count(lang) > 0",
+    "log1p_survivors": "WITH b AS (SELECT CAST(c_custkey // 10 AS VARCHAR) AS dataset, c_custkey AS row_id, c_acctbal, min(c_acctbal) OVER (PARTITION BY c_custkey // 10) < -1 AS bad FROM customer) SELECT dataset, row_id, round(ln(1 + c_acctbal), 6) + 0.0 AS c_acctbal FROM b WHERE NOT bad",
+    "fit_unfiltered_failures": f"WITH {_EVT}, {_EVT_TAU}, pts AS ({_unpivot('evt_t', EVENTS)}), s AS (SELECT dataset, CAST(series_pos AS INTEGER) AS series_pos, series, CASE WHEN bool_or(value IS NULL) OR count(*) < 2 THEN 'fit_failed' WHEN min(tau) <= 0 THEN 'unsupported_domain' END AS status FROM pts GROUP BY ALL) SELECT * FROM s WHERE status IS NOT NULL",
+    "power_points": f"WITH {_PART} SELECT dataset, row_id, round(0.5 * pow(p_size + p_retailprice, -0.25), 6) AS y FROM part_m",
     "dataset_shape": "SELECT CAST(label AS VARCHAR) AS dataset, count(*) AS n_rows, max(len(embedding)) AS n_columns FROM embeddings GROUP BY 1",
     "scatter_points": f"WITH {_PART} " + " UNION ALL ".join(f"SELECT dataset, {i} AS series_pos, '{c}' AS series, row_id, round({c}, 6) AS value FROM part_m" for i, c in enumerate(PART)),
     "loglog_points": f"WITH {_EMB}, {_EMB_TAU}, {_EMB_POINTS} SELECT dataset, series_pos, series, round(tau, 6) AS tau, round(value, 6) AS value, round(ln(tau), 6) + 0.0 AS log_tau, round(ln(value), 6) + 0.0 AS log_value FROM emb_p WHERE tau > 0 AND value > 0",

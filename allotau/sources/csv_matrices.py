@@ -1,16 +1,26 @@
 """CSV files of unlike headers as one long matrix.
 
-Files are read as lines, so each keeps its own header and types. A line's place in its
-file is its rank within a file block plus the lines of the blocks before it; no task holds
-a whole file. Fields may be quoted; a field can't hold a line break.
+Files are read as lines, so each keeps its own header and types, and large files are split.
+A line's place in its file is its rank within a file block plus the lines of the blocks
+before it; no task holds a whole file. A line break inside quotes is told by the number of
+quotation marks before it in the file, which is counted the same way; only records that
+have one are shuffled, to be put together. Fields of a record are split by the csv module,
+in Arrow batches: the quoting rule needs a state that column functions don't have, and
+files may have thousands of columns. Quotation marks stand around whole fields, and double
+inside them.
 
 A column is numeric if every field of it, in the rows that are kept, is missing or a
 number; an all-missing column is numeric; booleans and other texts aren't. Repeated header
-names become a, a.1, a.2; empty ones `Unnamed: k`.
+names become a, a.1, a.2, passing over names that the header has itself; empty ones
+`Unnamed: k`.
 """
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,15 +30,47 @@ from allotau.sources.tables import written
 #: Texts that mean a missing cell; fixed values.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
-COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
-def fields(line: Column) -> Column:
-    return F.transform(F.split(line, COMMA, -1), lambda x: F.when(x.rlike(r'^\s*".*"\s*$'), F.regexp_replace(F.regexp_extract(x, r'^\s*"(.*)"\s*$', 1), '""', '"')).otherwise(x))
+def split(record: str) -> list[str]:
+    """Fields of a record; one whose quotes don't close ends with it."""
+    return next(csv.reader([record.replace("\r", "\n")]), [])
+
+
+def unique_names(names: list[str]) -> list[str]:
+    """a, a, a -> a, a.1, a.2; a.1 is passed over if the header has it."""
+    filled = [name if name.strip() else f"Unnamed: {i}" for i, name in enumerate(names)]
+    taken, seen, count, out = set(filled), set(), {}, []
+    for name in filled:
+        new = name
+        if name in seen:
+            k = count.get(name, 1)
+            while (new := f"{name}.{k}") in taken:
+                k += 1
+            count[name] = k + 1
+            taken.add(new)
+        seen.add(name)
+        out.append(new)
+    return out
+
+
+def with_fields(records: DataFrame, out: str, header: bool = False) -> DataFrame:
+    """records (..., record) -> its other columns, and the array `out` of fields, or of names."""
+    work = (lambda r: unique_names(split(r))) if header else split
+    others = [f for f in records.schema.fields if f.name != "record"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(1 << 30)
+        for batch in batches:
+            cells = pa.array([work(r) for r in batch.column(0).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], cells], names=[*batch.schema.names[1:], out])
 
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + [f"`{out}` array<string>"])
+    return records.select("record", *[f.name for f in others]).mapInArrow(run, schema)
 
-def numbered_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """dataset (file name), path, line, line_no (0-based, blank lines left out)."""
+
+def numbered_records(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """dataset (file name), path, record, record_no (0-based, blank lines outside of quotes left out)."""
     raw = spark.read.text(paths).select(
         F.col("_metadata.file_name").alias("dataset"),
         F.col("_metadata.file_path").alias("path"),
@@ -36,32 +78,38 @@ def numbered_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
         F.monotonically_increasing_id().alias("at"),
         F.regexp_replace("value", "^\\ufeff|\\r$", "").alias("line"),
     )
-    raw = raw.where(F.trim("line") != "")
-    blocks = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) - 1
-    return raw.withColumn("_i", inside).join(starts, ["path", "block"]).select("dataset", "path", "line", (F.col("start") + F.col("_i")).alias("line_no"))
-
-
-def unique_names(names: Column) -> Column:
-    """a, a, a -> a, a.1, a.2."""
-    filled = F.transform(names, lambda x, i: F.when(F.trim(x) == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).otherwise(x))
-    seen = lambda x, i: F.size(F.filter(F.slice(filled, 1, i), lambda y: y == x))
-    return F.transform(filled, lambda x, i: F.when(seen(x, i) > 0, F.concat(x, F.lit("."), seen(x, i).cast("string"))).otherwise(x))
+    raw = written(raw.withColumn("quotes", F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))), "lines")
+
+    def placed(lines: DataFrame, value: Column, name: str) -> DataFrame:
+        """lines with the sum of value over the lines of the file before each."""
+        blocks = lines.groupBy("path", "block").agg(F.sum(value).alias("n"))
+        before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        starts = blocks.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        inside = F.sum(value).over(Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+        return lines.withColumn("inside", F.coalesce(inside, F.lit(0))).join(starts, ["path", "block"]).withColumn(name, F.col("start") + F.col("inside")).drop("start", "inside")
+
+    lines = placed(raw, F.col("quotes"), "marks").withColumn("goes_on", F.col("marks") % 2 == 1)
+    lines = lines.where(F.col("goes_on") | (F.trim("line") != ""))
+    lines = placed(lines, (~F.col("goes_on")).cast("int"), "records").withColumn("record_no", F.col("records") - F.col("goes_on").cast("int"))
+    lines = written(lines.select("dataset", "path", "block", "at", "line", "record_no", ((F.col("quotes") % 2 == 1) | F.col("goes_on")).alias("broken")), "records")
+    whole = lines.where(~F.col("broken")).select("dataset", "path", F.col("line").alias("record"), "record_no")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "line"))), lambda p: p["line"])
+    joined = lines.where("broken").groupBy("dataset", "path", "record_no").agg(F.array_join(parts, "\r").alias("record"))
+    return whole.unionByName(joined.select("dataset", "path", "record", "record_no"))
 
 
 def read_cells(spark: SparkSession, paths: list[str] | str, label_column: bool = False, rows: int | None = None) -> DataFrame:
     """dataset, row_id, row_label, series_pos, series, raw: every cell of every file, as text. Two files of one name are an error."""
-    lines = written(numbered_lines(spark, paths), "lines")
-    twice = lines.where("line_no = 0").groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    records = numbered_records(spark, paths)
+    first_records = records.where("record_no = 0")
+    twice = first_records.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
     if twice:
         raise ValueError(f"two files are named {twice[0]['dataset']}")
-    headers = lines.where("line_no = 0").select("dataset", unique_names(fields(F.col("line"))).alias("names"))
-    data = lines.where("line_no > 0").select("dataset", (F.col("line_no") - 1).cast("long").alias("row_id"), fields(F.col("line")).alias("cells"))
+    headers = with_fields(first_records.select("dataset", "record"), "names", header=True)
+    data = records.where("record_no > 0").select("dataset", (F.col("record_no") - 1).cast("long").alias("row_id"), "record")
     if rows is not None:
         data = data.where(F.col("row_id") < rows)
-    data = data.join(headers, "dataset")
+    data = with_fields(data, "cells").join(headers, "dataset")
     first = 1 if label_column else 0
     label = F.element_at("cells", 1) if label_column else F.lit(None).cast("string")
     pairs = F.transform(F.slice("names", first + 1, F.greatest(F.size("names") - first, F.lit(0))), lambda name, i: F.struct(i.alias("series_pos"), name.alias("series"), F.get(F.col("cells"), i + first).alias("raw")))
@@ -70,6 +118,17 @@ def read_cells(spark: SparkSession, paths: list[str] | str, label_column: bool =
     return cells.select("dataset", "row_id", "row_label", "c.series_pos", "c.series", F.when(~missing, F.col("c.raw")).alias("raw"))
 
 
+def numeric_cells(cells: DataFrame, all_or_none: bool = False) -> DataFrame:
+    """cells (dataset, row_id, row_label, series_pos, series, raw) -> the long matrix of the numeric columns; all_or_none: of datasets that have no other."""
+    is_number = F.coalesce(F.col("raw").rlike(NUMBER), F.lit(True))
+    kinds = cells.groupBy("dataset", "series_pos").agg(F.min(is_number).alias("numeric"))
+    if all_or_none:
+        kinds = kinds.withColumn("numeric", F.min("numeric").over(Window.partitionBy("dataset")))
+    value = F.regexp_replace(F.trim("raw"), "(?i)^([+-]?)inf(inity)?$", "$1Infinity").cast("double")
+    long = cells.join(kinds.where("numeric").select("dataset", "series_pos"), ["dataset", "series_pos"], "left_semi")
+    return long.select("dataset", "row_id", "row_label", "series_pos", "series", value.alias("value"))
+
+
 def read_matrices(
     spark: SparkSession, paths: list[str] | str, label_column: bool = False, transposed: bool = False, rows: int | None = None, columns: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -79,16 +138,6 @@ def read_matrices(
     column that isn't numeric has no numeric column.
     """
     cells = read_cells(spark, paths, label_column, None if transposed else rows)
-    is_number = F.coalesce(F.col("raw").rlike(NUMBER), F.lit(True))
-    kinds = cells.groupBy("dataset", "series_pos").agg(F.min(is_number).alias("numeric"))
-    if transposed:
-        kinds = kinds.withColumn("numeric", F.min("numeric").over(Window.partitionBy("dataset")))
-    value = F.regexp_replace(F.trim("raw"), "(?i)^([+-]?)inf(inity)?$", "$1Infinity").cast("double")
-    long = cells.join(kinds.where("numeric").select("dataset", "series_pos"), ["dataset", "series_pos"], "left_semi")
-    long = long.select("dataset", "row_id", "row_label", "series_pos", "series", value.alias("value"))
+    long = numeric_cells(cells, all_or_none=transposed)
     datasets = cells.select("dataset").distinct()
-    if transposed:
-        long = first_cells(transpose(long), rows, columns)
-    else:
-        long = first_cells(long, None, columns)
-    return long, datasets
+    return first_cells(transpose(long), rows, columns) if transposed else first_cells(long, None, columns), datasets

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,14 +22,29 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder, which ends its lineage; removed when the session ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, removed when the session ends."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a table in the shared folder, which ends its lineage."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """df as CSV files with headers, which read_matrices reads as a dataset each."""
+    df.write.option("header", True).csv(path)
+
+
+def in_ranges(df: DataFrame, keys: list[str], part: str, what: str) -> DataFrame:
+    """df as a table, dealt by ranges of the keys and sorted in each; the column `part` rises with the range, and by one from row to row in it."""
+    return written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(part, F.monotonically_increasing_id()), what)
 
 
 def write_result(df: DataFrame, path: str) -> None:

@@ -5,7 +5,7 @@ from conftest import rows
 
 from allotau.plans import jobs
 from allotau.operators import matrix
-from allotau.sources.csv_matrices import read_matrices
+from allotau.sources.csv_matrices import read_matrices, unique_names
 
 
 def files(tmp_path, **texts):
@@ -55,6 +55,34 @@ def test_two_files_of_one_name(spark, tmp_path):
         read_matrices(spark, files(tmp_path / "x", a="a\n1\n") + files(tmp_path / "y", a="a\n2\n"))
 
 
+def test_line_breaks_in_quotes(spark, tmp_path):
+    text = 'id,"two\nlines",b\nr0,1,2\n"r\n\n1",3,4\n\n"say ""hi"", then\r\nleave",5,6\nr3,7,"8"\n'
+    paths = files(tmp_path, q=text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("128m", "10"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = read_matrices(spark, paths, label_column=True)[0].collect()
+        assert {(r["row_id"], r["row_label"], r["series"]): r["value"] for r in got} == {
+            (0, "r0", "two\nlines"): 1, (0, "r0", "b"): 2, (1, "r\n\n1", "two\nlines"): 3, (1, "r\n\n1", "b"): 4,
+            (2, 'say "hi", then\nleave', "two\nlines"): 5, (2, 'say "hi", then\nleave', "b"): 6, (3, "r3", "two\nlines"): 7, (3, "r3", "b"): 8,
+        }
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_wide_file_of_quoted_fields(spark, tmp_path):
+    n = 20_000
+    paths = files(tmp_path, w="\n".join(",".join(f'"{x}{i}"' for i in range(n)) for x in ("c", "", "1")) + "\n")
+    long, _ = read_matrices(spark, paths)
+    assert long.count() == 2 * n and long.where("row_id = 0 and value <> series_pos").count() == 0
+
+
+def test_names_are_unique():
+    assert unique_names(["a", "a.1", "a"]) == ["a", "a.1", "a.2"]
+    assert unique_names(["a", "a", "", "a", "a.1", "a.1"]) == ["a", "a.2", "Unnamed: 2", "a.3", "a.1", "a.1.1"]
+    many = unique_names(["x"] * 5000 + ["x.7"])
+    assert len(set(many)) == 5001
+
+
 def test_long_file_keeps_its_order(spark, tmp_path):
     paths = files(tmp_path, big="a,b\n" + "".join(f"{i},{i * 2}\n" for i in range(20_000)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")

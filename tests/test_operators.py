@@ -49,6 +49,50 @@ def test_log1p_guard(spark):
     assert sorted(rows(got), key=str) == sorted([("a", 0, -INF, 0.0), ("a", 1, None, math.log(2))], key=str)
 
 
+def test_columns_of_any_name(spark):
+    """Dots, and names of helper columns."""
+    names = ["a.1", "bad", "facts", "_least0", "none", "cell"]
+    df = spark.createDataFrame([("d", 0, *map(float, range(6))), ("d", 1, *map(float, range(1, 7)))], "dataset string, row_id long, " + ", ".join(f"`{n}` double" for n in names))
+    for kind, want in (("rescale_to_0_1", 1.0), ("log1p", math.log(2)), ("none", 1.0)):
+        got, status = transform.transform_wide(df, names, kind)
+        assert got.columns == df.columns and rows(status)[0][:2] == ("d", "ok")
+        assert {r["row_id"]: r["a.1"] for r in got.collect()}[1] == pytest.approx(want)
+    assert matrix.numeric_only(df, ("dataset", "a.1")).columns == ["dataset", "a.1", "row_id", "bad", "facts", "_least0", "none", "cell"]
+    assert matrix.to_long(df, names).count() == 12
+    ordered = quasi.ordered(quasi.with_total(df, names).withColumnRenamed("a.1", "_at").withColumnRenamed("none", "_part"))
+    assert [r["tau_pos"] for r in ordered.orderBy("tau").collect()] == [0, 1]
+
+
+def test_order_over_many_ranges(spark):
+    rng = np.random.default_rng(2)
+    data = [(["a", "b", "c", None][int(k)], i, float(v), 0.0) for i, (k, v) in enumerate(zip(rng.integers(0, 4, 500), rng.integers(0, 20, 500), strict=True))]
+    got = [(r["dataset"], r["tau"], r["row_id"], r["tau_pos"]) for r in quasi.ordered(quasi.with_total(wide(spark, data).repartition(7), ["x", "y"])).collect()]
+    assert len(got) == 500
+    for name in ("a", "b", "c", None):
+        own = sorted((t, i, p) for x, t, i, p in got if x == name)
+        assert own and [p for _, _, p in own] == list(range(len(own)))
+
+
+def test_shown_series(spark):
+    long = matrix.to_long(wide(spark, [("a", 0, 1.0, 2.0), ("a", 1, 1.0, None)]), ["x", "y"])
+    assert rows(matrix.shown_series(long, 1)) == [("a", 2, 1, True)] and rows(matrix.shown_series(long, 2)) == [("a", 2, 2, False)]
+
+
+def test_unfiltered_fit_by_both_paths(spark):
+    p = pts(spark, [("down", TAU, 3 - TAU), ("root", TAU, 2 * TAU**0.5), ("gap", TAU, [None, *TAU[1:]]), ("low", TAU - 1, TAU)])
+    a, b = ({r["series"]: r for r in fit.fit_unfiltered(p, large=n).collect()} for n in (10**6, 0))
+    assert {k: r["status"] for k, r in a.items()} == {k: r["status"] for k, r in b.items()} == {"down": "ok", "root": "ok", "gap": "fit_failed", "low": "unsupported_domain"}
+    for k in ("down", "root"):
+        assert b[k]["a"] == pytest.approx(a[k]["a"], rel=1e-8) and b[k]["b"] == pytest.approx(a[k]["b"], rel=1e-8)
+
+
+def test_fit_without_convergence_is_recorded(spark, monkeypatch):
+    monkeypatch.setattr(fit, "STEPS", 1)
+    p = pts(spark, [("noisy", TAU, 3 * TAU**0.7 * np.exp(np.random.default_rng(5).normal(0, 0.4, 20)))])
+    for report in (fit.fit_report(p, large=0), fit.fit_unfiltered(p, large=0)):
+        assert report.first()["status"] == "fit_failed" and report.first()["a"] is None
+
+
 def test_unknown_transform(spark):
     with pytest.raises(ValueError):
         transform.transform_wide(wide(spark, [("a", 0, 1.0, 1.0)]), ["x"], "cube root")
