@@ -99,7 +99,7 @@ def fit(docs: DataFrame, most: int = FIT_ROWS) -> Model:
                 total, seen = np.zeros(buckets, np.int64), set()
                 for of, h in hashed(own["text"].tolist()):
                     seen.update(np.unique(of).tolist())
-                    total += np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+                    total += np.bincount((h & np.uint64(buckets - 1)).view(np.int64), minlength=buckets)
                 hit = np.nonzero(total)[0]
                 yield pd.DataFrame({"lang": lang, "bucket": np.append(hit, -1), "n": np.append(total[hit], len(seen))})
 
@@ -117,8 +117,8 @@ def scored(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray
     buckets, wide = model.logp.shape[0], max(1, len(model.langs))
     for of, h in hashed(texts, max(64, PIECE // wide)) if model.langs else ():
         if len(of):
-            starts = np.flatnonzero(np.diff(of, prepend=-1))
-            rows = model.logp[(h & np.uint64(buckets - 1)).astype(np.int64)]
+            starts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1])
+            rows = model.logp.take((h & np.uint64(buckets - 1)).view(np.int64), axis=0)
             total[of[starts]] += np.add.reduceat(rows, starts, axis=0, dtype=float)
             known[of[starts]] = True
     if not known.any():
