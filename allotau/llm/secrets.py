@@ -12,7 +12,9 @@ the null "written by people" is the normal score of chi-squared below what a tex
 length gives (a noncentral chi-squared, so the length counts), or that of the runs
 beyond a text's, whichever is less. False discoveries are controlled for each length class apart, by the
 Benjamini-Hochberg rule over the scores of the whole corpus, kept as counts in bins of
-fixed number.
+fixed number. Tokens that a fixed pattern names already aren't among them. The null law of a
+class is the normal one, or that of the corpus' own tokens where that has the wider tail:
+mean and spread of the scores within CENTRE of 0, drawn towards the normal law by PRIOR tokens.
 
 Defined results: a null or empty text has no spans, and the digest of nothing; repeated
 rows each give a row; extra columns are ignored; an empty table gives an empty result.
@@ -42,7 +44,11 @@ TEXT_CHANGES = 0.15
 REJECT = 3.3
 ALPHA = 0.01
 LENGTH_CLASSES = (20, 28, 40, 64)
+#: Bins on each side of 0, and their width.
 BINS, BIN = 400, 0.05
+CENTRE, PRIOR = 2.0, 100
+#: Variance of a normal variable that is known to be within CENTRE of 0.
+CENTRE_VARIANCE = 0.7737
 MASK = "<SECRET>"
 
 
@@ -143,19 +149,36 @@ def length_class(length: Column) -> Column:
 
 
 def tail(z: Column) -> Column:
-    """Upper tail of the normal law, to 0.3 %, for z >= 0."""
+    """Upper tail of the normal law, to 0.3 %, for z >= 0; a half below."""
+    z = F.greatest(z, F.lit(0.0))
     return F.exp(-z * z / 2) / math.sqrt(2 * math.pi) / (0.661 * z + 0.339 * F.sqrt(z * z + 5.51))
 
 
+def apart(base: Column, c: Column) -> Column:
+    """Does c overlap none of the base spans?"""
+    return ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+
+
+def scored_tokens(docs: DataFrame) -> DataFrame:
+    """class, bin (null if randomness is rejected) and number of the tokens that no fixed pattern names; LENGTH_CLASSES x 2 BINS rows at most."""
+    found = docs.select(F.coalesce("text", F.lit("")).alias("text")).select("text", candidates(F.col("text")).alias("found"))
+    base = F.when(F.size("found") > 0, base_spans(F.col("text"))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    tokens = found.select("found", base.alias("base")).select(F.explode(F.filter("found", lambda c: apart(F.col("base"), c))).alias("c"))
+    kept = tokens.select(length_class(F.col("c.length")).alias("class"), F.floor(F.least(F.greatest(F.col("c.test.z") / BIN, F.lit(float(-BINS))), F.lit(float(BINS)))).alias("bin"))
+    return kept.groupBy("class", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
 def thresholds(docs: DataFrame, alpha: float = ALPHA) -> list[float]:
-    """By length class, the least z that counts as a secret. Counts cover every token; LENGTH_CLASSES x BINS rows are gathered."""
-    text = F.coalesce("text", F.lit(""))
-    tokens = docs.select(F.explode(candidates(text)).alias("c")).select(length_class(F.col("c.length")).alias("class"), F.coalesce("c.test.z", F.lit(0.0)).alias("z"))
-    bins = tokens.groupBy("class", F.least(F.greatest(F.floor(F.col("z") / BIN), F.lit(0)), F.lit(BINS)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """By length class, the least z that counts as a secret. Counts cover every token."""
     own = Window.partitionBy("class")
     z = F.col("bin") * BIN
-    ranked = bins.withColumn("all", F.sum("n").over(own)).withColumn("above", F.sum("n").over(own.orderBy(F.col("bin").desc())))
-    passed = ranked.where(tail(z) * F.col("all") <= alpha * F.col("above")).groupBy("class").agg(F.min(z).alias("z"))
+    inner = F.when(F.abs(z) <= CENTRE, F.col("n")).otherwise(0)
+    null = scored_tokens(docs).withColumn("all", F.sum("n").over(own)).withColumn("weight", F.sum(inner).over(own) + PRIOR)
+    null = null.where("bin is not null").withColumn("mean", F.sum(inner * z).over(own) / F.col("weight"))
+    null = null.withColumn("spread", F.sqrt((F.sum(inner * F.pow(z - F.col("mean"), F.lit(2.0))).over(own) / CENTRE_VARIANCE + PRIOR) / F.col("weight")))
+    ranked = null.withColumn("above", F.sum("n").over(own.orderBy(F.col("bin").desc())))
+    p = F.greatest(tail(z), tail((z - F.col("mean")) / F.col("spread")))
+    passed = ranked.where((F.col("bin") >= 0) & (p * F.col("all") <= alpha * F.col("above"))).groupBy("class").agg(F.min(z).alias("z"))
     got = {r["class"]: r["z"] for r in passed.collect()}
     return [got.get(i, math.inf) for i in range(len(LENGTH_CLASSES))]
 
@@ -169,10 +192,7 @@ def all_spans(text: Column, base: Column, least: list[float]) -> Column:
                 out = out | ((length_class(c["length"]) == i) & (c["test"]["z"] >= x))
         return F.coalesce(out, F.lit(False))
 
-    def apart(c: Column) -> Column:
-        return ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-
-    return F.array_sort(F.concat(base, as_spans(F.filter(candidates(text), lambda c: enough(c) & apart(c)), 3)))
+    return F.array_sort(F.concat(base, as_spans(F.filter(candidates(text), lambda c: enough(c) & apart(base, c)), 3)))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:

@@ -76,6 +76,24 @@ def test_battery_tests_values_after_equals_signs_and_one_case_tokens(spark):
     assert not any(got[i]["found"] for i in range(len(made), len(got)))
 
 
+def test_precision_and_recall_on_planted_tokens(spark):
+    """Random tokens of 40 and more characters beside three times as many of people's tokens, and base spans that aren't tested."""
+    rng = random.Random(3)
+    words = "account server manager index value count first name user list config path buffer handler event request response total".split()
+    made = ["".join(rng.choices(S.SYMBOLS["base64"][:62], k=rng.randint(40, 64))) for _ in range(150)]
+    natural = []
+    while len(natural) < 450:
+        t = "".join(w.capitalize() if rng.random() < 0.6 else w for w in rng.choices(words, k=rng.randint(4, 9))) + str(rng.randrange(100))
+        natural.append(t if rng.random() < 0.7 else t.replace("e", "/"))
+    base = [f'token = "{rng.getrandbits(256):064x}"' for _ in range(300)]
+    texts = [f"see {t} there" for t in made + natural] + base
+    got = spans(spark, texts)
+    hit = [any(s["kind"] == 3 for s in got[i]["found"]) for i in range(len(texts))]
+    assert sum(hit[:150]) >= 0.9 * 150 and sum(hit[150:]) <= 0.03 * sum(hit)
+    tested = S.scored_tokens(spark.createDataFrame([(t,) for t in texts], "text string")).groupBy().sum("n").first()[0]
+    assert 150 <= tested <= 600
+
+
 def test_masking(spark):
     from pyspark.sql import functions as F
 
