@@ -317,10 +317,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     reps = signed(real, bands, rows).groupBy("sum").agg(F.first("bands", ignorenulls=True).alias("bands"), F.min("doc_id").alias("doc_id"))
     reps = B.written(reps.withColumn("id", F.monotonically_increasing_id()), "reps")  # a number for each different text, as the table holds it
     met = B.written(reps.select("id", F.explode("bands").alias("bucket")).distinct(), "bands")
-    met = B.written(met.join(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket"), "buckets")  # only buckets that two texts or more are in
+    # sides that come from an aggregate are tables first: a join of two plain sides can be split where a bucket is hot
+    shared = B.written(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    met = B.written(met.join(shared, "bucket"), "buckets")  # only buckets that two texts or more are in
     hubs = met.groupBy("id").agg(F.sum("n").alias("weight"))  # the text that meets most others, which is close to what they are copies of
     met = met.join(hubs, "id")
-    met = B.written(met.join(met.groupBy("bucket").agg(F.max_by("id", F.struct("weight", "id")).alias("p")), "bucket").select("bucket", "id", "p"), "pivots")
+    pivots = B.written(met.groupBy("bucket").agg(F.max_by("id", F.struct("weight", "id")).alias("p")), "pivots")
+    met = B.written(met.join(pivots, "bucket").select("bucket", "id", "p"), "met")
 
     texts = real.join(reps.select("id", "doc_id", "sum").join(met.select("id").distinct(), "id"), ["doc_id", "sum"]).select("id", "text")
     texts = B.written(texts.dropDuplicates(["id"]), "texts")  # a row that is repeated counts once
@@ -330,9 +333,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
     # pivots whose buckets hold more than one component, with those who met them: (p, id, component, common buckets)
     placed = met.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
+    mixed = B.written(placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket"), "mixed")
     members = placed.join(mixed, "bucket").where("id <> p").groupBy("p", "id", "comp").agg(F.collect_set("bucket").alias("buckets"))  # at most `bands` each
-    members = B.written(members, "mixed")
+    members = B.written(members, "members")
     by_comp = members.groupBy("p", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("p").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
     by_comp = B.written(by_comp, "main")  # a plain side of the join on the pivot, which Spark then sends whole or splits
     # u: copies that of all texts compared with the same pivot x alone holds

@@ -132,3 +132,12 @@ def test_texts_of_one_id_stay_classes_of_their_own(spark):
     assert {r["class_id"] for r in got} == {1} and len({r["text_class"] for r in got}) == 3
     kept = [(r["doc_id"], r["text_class"]) for r in got if r["kept"]]
     assert sorted(i for i, _ in kept) == [1, 5, 5] and len(set(kept)) == 3
+
+
+def test_query_equals_brute_force(spark):
+    from conftest import SF
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = N.op9_near_dedup(spark, SF).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == brute(docs) and len(got) == len(docs)
+    assert all(r["kept"] for r in got if r["doc_id"] == r["class_id"])

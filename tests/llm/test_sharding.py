@@ -1,7 +1,7 @@
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -55,3 +55,18 @@ def test_shuffle_is_uniform(spark):
 
 def test_empty(spark):
     assert shard(spark, []) == []
+
+
+def test_query(spark):
+    from conftest import SF
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = H.op4_sharding(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    slots = defaultdict(list)
+    for r in got:
+        raw = (docs[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(slots) == list(range(8)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
