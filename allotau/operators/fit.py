@@ -30,7 +30,7 @@ TOLERANCE = 1e-9
 SLACK = 1e-12
 HALVINGS = 8
 KEYS = ["dataset", "series_pos", "series"]
-RESULT = "dataset string, series_pos int, series string, status string, a double, b double"
+RESULT = [*KEYS, "status", "a", "b"]
 
 
 def is_valid(x: Column, y: Column) -> Column:
@@ -78,12 +78,18 @@ def solve(x: np.ndarray, y: np.ndarray) -> tuple[str, float | None, float | None
 
 def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
     status, a, b = solve(pdf["tau"].to_numpy(), pdf["value"].to_numpy())
-    return pd.DataFrame({k: [pdf[k].iloc[0]] for k in KEYS} | {"status": [status], "a": [a], "b": [b]}).astype({"a": float, "b": float})
+    return pd.DataFrame({k: [pdf[k].iloc[0]] for k in ("key_1", "key_2")} | {"status": [status], "a": [a], "b": [b]}).astype({"a": float, "b": float})
 
 
-def fit_small(points: DataFrame) -> DataFrame:
-    """Valid points -> RESULT; a series is fitted in one task."""
-    return points.select(*KEYS, "tau", "value").groupBy(*KEYS).applyInPandas(fit_group, RESULT)
+def keyed(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns, and the series as two 64-bit hashes: names are long, and a point is two numbers."""
+    return df.select(*columns, *[F.xxhash64(*KEYS, F.lit(seed)).alias(f"key_{seed}") for seed in (1, 2)])
+
+
+def fit_small(points: DataFrame, series: DataFrame) -> DataFrame:
+    """Valid points of the series (KEYS) -> RESULT; a series is fitted in one task."""
+    fits = keyed(points, "tau", "value").groupBy("key_1", "key_2").applyInPandas(fit_group, "key_1 long, key_2 long, status string, a double, b double")
+    return keyed(series, *KEYS).join(fits, ["key_1", "key_2"]).select(*RESULT)
 
 
 def _sums(b: Column, tag: str) -> list[Column]:
@@ -142,9 +148,9 @@ def fit_large(points: DataFrame) -> DataFrame:
 def fit_by_size(points: DataFrame, sizes: DataFrame, large: int = LARGE) -> DataFrame:
     """Points and sizes (KEYS, n) of the series to fit -> RESULT, by the way that a series' size asks for."""
     if (sizes.agg(F.max("n")).first()[0] or 0) <= large:
-        return fit_small(points)
-    small, big = (points.join(sizes.where(which).select(*KEYS), KEYS, "left_semi") for which in (F.col("n") <= large, F.col("n") > large))
-    return fit_small(small).unionByName(fit_large(big))
+        return fit_small(points, sizes)
+    small, big = (sizes.where(which).select(*KEYS) for which in (F.col("n") <= large, F.col("n") > large))
+    return fit_small(points.join(small, KEYS, "left_semi"), small).unionByName(fit_large(points.join(big, KEYS, "left_semi")))
 
 
 def fit_report(points: DataFrame, min_points: int = 3, large: int = LARGE) -> DataFrame:
