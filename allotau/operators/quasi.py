@@ -40,12 +40,12 @@ def ordered(rows: DataFrame) -> DataFrame:
     Rows are dealt by ranges and numbered within each; a dataset's rows in a range follow
     each other, so its count in the ranges before is all that is added. No task holds a dataset.
     """
-    at, part = free("_at", rows), free("_part", rows)
+    at, part, name, place = (free(x, rows) for x in ("_at", "_part", "_name", "_place"))
     sorted_rows = in_ranges(rows, ["dataset", "tau", "row_id"], at, "ordered").withColumn(part, F.shiftright(F.col(at), 33))
     spans = sorted_rows.groupBy("dataset", part).agg(F.min(at).alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("dataset").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     shift = written(spans.select("dataset", part, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("tau_pos")), "spans")
-    placed = sorted_rows.join(shift.select(F.col("dataset").alias("_d"), F.col(part).alias("_p"), "tau_pos"), F.col("dataset").eqNullSafe(F.col("_d")) & (F.col(part) == F.col("_p")))
+    placed = sorted_rows.join(shift.select(F.col("dataset").alias(name), F.col(part).alias(place), "tau_pos"), F.col("dataset").eqNullSafe(F.col(name)) & (F.col(part) == F.col(place)))
     return placed.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("tau_pos") + F.col(at)).alias("tau_pos"))
 
 
