@@ -11,6 +11,7 @@ from allotau.llm.near_dedup import op9_near_dedup
 from allotau.llm.packing import op1_best_fit_packing
 from allotau.llm.secrets import op6_secret_scan
 from allotau.llm.sharding import op4_sharding
+from allotau.llm.token_counts import op12_token_counts
 from allotau.llm.toxicity import op5_toxicity
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_near_dedup": op9_near_dedup,
     "op10_mixing": op10_mixing,
+    "op12_token_counts": op12_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_exact_topk": OP3_SQL}
