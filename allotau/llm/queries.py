@@ -9,6 +9,7 @@ from allotau.llm.language_id import op8_language_id
 from allotau.llm.mixing import op10_mixing
 from allotau.llm.near_dedup import op9_near_dedup
 from allotau.llm.packing import op1_best_fit_packing
+from allotau.llm.repair import op11_conversation_repair
 from allotau.llm.secrets import op6_secret_scan
 from allotau.llm.sharding import op4_sharding
 from allotau.llm.token_counts import op12_token_counts
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_near_dedup": op9_near_dedup,
     "op10_mixing": op10_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_token_counts": op12_token_counts,
 }
 
