@@ -9,6 +9,7 @@ from allotau.llm.language_id import op8_language_id
 from allotau.llm.mixing import op10_mixing
 from allotau.llm.near_dedup import op9_near_dedup
 from allotau.llm.packing import op1_best_fit_packing
+from allotau.llm.prefix_trie import op13_prefix_trie
 from allotau.llm.repair import op11_conversation_repair
 from allotau.llm.secrets import op6_secret_scan
 from allotau.llm.sharding import op4_sharding
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_token_counts": op12_token_counts,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_exact_topk": OP3_SQL}
