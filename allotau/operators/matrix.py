@@ -96,5 +96,7 @@ def shape(long: DataFrame) -> DataFrame:
 
 
 def without_numbers(datasets: DataFrame, long: DataFrame) -> DataFrame:
-    """Status rows of the datasets that have no numeric column."""
+    """Status rows of the datasets that have no numeric column; those with a status of their own keep it."""
+    if "status" in datasets.columns:
+        datasets = datasets.where("status = 'ok'")
     return datasets.select("dataset").distinct().join(long.select("dataset").distinct(), "dataset", "left_anti").select("dataset", F.lit("no_numeric_columns").alias("status"), F.lit("no numeric column").alias("reason"))

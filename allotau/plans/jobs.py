@@ -64,10 +64,10 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--min-points", type=int, default=3)
     o = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"allotau-{o.job}").getOrCreate()
-    long, datasets = read_matrices(spark, o.csv, o.label, o.transpose, o.rows, o.columns)
+    long, files = read_matrices(spark, o.csv, o.label, o.transpose, o.rows, o.columns)
     good, status = transform.transform_long(written(long, "matrix"), o.transform)
     good = written(good, "matrix")
-    bare = matrix.without_numbers(datasets, long)
+    bare = matrix.without_numbers(files, long).unionByName(files.where("status <> 'ok'").select("dataset", "status", "reason"))
     if o.job == "quasi":
         result = quasi.ordered(quasi.long_totals(good)).join(good, ["dataset", "row_id"])
     else:

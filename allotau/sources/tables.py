@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +24,60 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def filesystem(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it takes it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+#: Lists of the scratch paths made within dropped_after, innermost last.
+_MADE: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, removed when the session ends."""
+    """A new path in the shared folder, removed when the session ends, or earlier by dropped_after."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    fs, p = filesystem(spark, path)
+    fs.deleteOnExit(p)
+    for made in _MADE[-1:]:
+        made.append(path)
     return path
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    fs, p = filesystem(spark, path)
+    fs.delete(p, True)
+
+
+@contextmanager
+def dropped_after(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made within are removed at the end; for work whose result is written by then."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            drop(spark, path)
+
+
+def copy_beginning(spark: SparkSession, path: str, folder: str, size: int) -> str | None:
+    """The first `size` bytes of a file as a file of its name in a folder, copied by the driver's file system; None if it is no longer, or compressed."""
+    jvm = spark.sparkContext._jvm
+    fs, p = filesystem(spark, path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    if jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p) is not None or fs.getFileStatus(p).getLen() <= size:
+        return None
+    to = f"{folder}/{p.getName()}"
+    out_fs, out = filesystem(spark, to)
+    source, sink = fs.open(p), out_fs.create(out, True)
+    try:
+        jvm.org.apache.commons.io.IOUtils.copyLarge(source, sink, 0, size)
+    finally:
+        source.close()
+        sink.close()
+    return to
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder, which ends its lineage."""
     path = scratch(df.sparkSession, what)
@@ -48,5 +96,27 @@ def in_ranges(df: DataFrame, keys: list[str], part: str, what: str) -> DataFrame
 
 
 def write_result(df: DataFrame, path: str) -> None:
-    """A result as Parquet, one folder a dataset; a new run replaces the old result."""
-    df.write.mode("overwrite").partitionBy("dataset").parquet(path)
+    """A result as Parquet, one folder a dataset, in place of an older one.
+
+    It is written beside and then takes the old one's place, which is set aside for that
+    moment; whatever happens, one of the two is whole, and read_result finds it.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old"
+    df.write.partitionBy("dataset").parquet(new)
+    fs, p = filesystem(spark, path)
+    (_, new_p), (_, old_p) = filesystem(spark, new), filesystem(spark, old)
+    if fs.exists(p):
+        fs.delete(old_p, True)
+        if not fs.rename(p, old_p):
+            raise OSError(f"{path} can't be set aside")
+    if not fs.rename(new_p, p):
+        raise OSError(f"{new} can't be named {path}")
+    fs.delete(old_p, True)
+
+
+def read_result(spark: SparkSession, path: str) -> DataFrame:
+    """The last whole result that write_result left."""
+    path = path.rstrip("/")
+    fs, p = filesystem(spark, path)
+    return spark.read.parquet(path if fs.exists(p) else f"{path}.old")

@@ -1,10 +1,16 @@
+import io
 import math
+import os
+import random
 
+import pandas as pd
 import pytest
 from conftest import rows
 
-from allotau.plans import jobs
 from allotau.operators import matrix
+from allotau.plans import jobs
+from allotau.sources import csv_matrices as C
+from allotau.sources import tables
 from allotau.sources.csv_matrices import read_matrices, unique_names
 
 
@@ -101,3 +107,106 @@ def test_job_from_files_to_result(spark, tmp_path):
         assert spark.read.parquet(f"{tmp_path}/out/{job}").count() == {"fit": 2, "curve": 58, "quasi": 58}[job]
         status = {r["dataset"]: r["status"] for r in spark.read.parquet(f"{tmp_path}/out/status").collect()}
         assert status == {"p.csv": "ok", "q.csv": "no_numeric_columns"}
+
+
+@pytest.fixture
+def cut_small(spark):
+    """Blocks of a few bytes."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "23")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_quotes_as_pandas_reads_them(spark, tmp_path, monkeypatch, cut_small, few):
+    """Stray marks, text behind a closing mark, doubled marks and line breaks, with blocks cut anywhere."""
+    if not few:
+        monkeypatch.setattr(C, "FEW_BLOCKS", 0)
+    rng = random.Random(8)
+    texts = {f"f{i}": "h\n" + "".join(rng.choices('a1,"\n ', [3, 2, 3, 4, 2, 1], k=rng.randrange(10, 70))) + "\n" for i in range(14)}
+    texts |= {"pipe": 'id,a\n5" pipe,3\n"a"b,4\n"a"b"c",5\nx"",6\n', "breaks": 'id,a\n"x\n\n, ""y""\nz",1\nw"\n"\n'}
+    records, ends = C.read_records(spark, files(tmp_path, **texts))
+    got = {}
+    for r in records.orderBy("dataset", "record_no").collect():
+        got.setdefault(r["dataset"], []).append(r["fields"])
+    open_ = {r["dataset"]: r["last_quoted"] for r in ends.collect()}
+    compared = 0
+    for name, text in texts.items():
+        try:
+            want = pd.read_csv(io.StringIO(text), header=None, names=range(80), dtype=str, keep_default_na=False, engine="c", index_col=False)
+        except pd.errors.ParserError as e:
+            assert "EOF inside string" in str(e) and open_[f"{name}.csv"]
+            continue
+        compared += 1
+        assert not open_[f"{name}.csv"]
+        bare = lambda row: "|".join(row).rstrip("|")  # noqa: E731  pandas fills short records up
+        assert [bare(r) for r in got[f"{name}.csv"]] == [bare(r) for r in want.itertuples(index=False)], text
+    assert compared > 5
+
+
+def test_a_broken_file_is_a_status_row(spark, tmp_path):
+    good = "x,y\n" + "".join(f"{i},{3 * i}\n" for i in range(1, 30))
+    paths = files(tmp_path, good=good, ragged="a,b\n1,2\n3,4,5\n6,7\n", open='a,b\n1,"2\n3,4\n', empty="", blank="\n \n", head="a,b\n")
+    (tmp_path / "bytes.csv").write_bytes(b"a,b\n1,\xff\xfe\n")
+    for name, made in (("long file.csv", b"a\n" + b"x" * 2000 + b"\n"),):
+        (tmp_path / name).write_bytes(made)
+    every = [*paths, f"{tmp_path}/bytes.csv", f"{tmp_path}/long file.csv"]
+    long, status = read_matrices(spark, every)
+    got = {r["dataset"]: (r["status"], r["reason"]) for r in status.collect()}
+    assert {k for k, (s, _) in got.items() if s == "ok"} == {"good.csv", "head.csv", "long file.csv"}
+    assert got["ragged.csv"][1] == "record 2: 3 fields, the header has 2" and got["open.csv"][1] == "record 1: quotes don't close"
+    assert got["bytes.csv"][1] == "record 1: not UTF-8" and got["empty.csv"][1] == got["blank.csv"][1] == "no header"
+    assert {r["dataset"] for r in long.select("dataset").distinct().collect()} == {"good.csv"}
+    cut, status = read_matrices(spark, every, rows=1)
+    assert {r["dataset"]: r["status"] for r in status.collect()}["ragged.csv"] == "ok"
+    jobs.main(["fit", f"{tmp_path}/out", *every])
+    status = {r["dataset"]: r["status"] for r in spark.read.parquet(f"{tmp_path}/out/status").collect()}
+    assert status["good.csv"] == "ok" and status["ragged.csv"] == "unreadable" and status["long file.csv"] == "no_numeric_columns"
+    assert spark.read.parquet(f"{tmp_path}/out/fit").count() == 2
+
+
+def test_a_record_without_end_is_not_held(spark, tmp_path, monkeypatch):
+    """RECORD_MOST bounds what is put together of pieces, too."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    monkeypatch.setattr(C, "RECORD_MOST", 200)
+    long, status = read_matrices(spark, files(tmp_path, open='a,b\n1,"2\n' + "3,4\n" * 300, fine="a\n1\n"))
+    got = {r["dataset"]: r["reason"] for r in status.collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got["fine.csv"] is None and "a record of over 200 bytes" in got["open.csv"] and long.count() == 1
+
+
+def test_what_is_read_for_some_rows_is_flat(spark, tmp_path, monkeypatch):
+    """The beginning of a file is enough, whatever its size, and the numbers are the same."""
+    line = 'r{0},"{0}\n",{1}\n'
+    for size in (5_000, 40_000):
+        paths = files(tmp_path, **{f"big{size}": "id,a,b\n" + "".join(line.format(i, 2 * i) for i in range(size)) + "x,y,oops,4\n"})
+        listed = C.files_of(spark, paths)
+        got = C.beginnings(spark, listed, 100)
+        assert os.path.getsize(paths[0]) > C.PREFIX and sum(os.path.getsize(p.removeprefix("file:")) for p in got) == C.PREFIX
+        long, status = read_matrices(spark, paths, label_column=True, rows=100)
+        assert sorted((r["row_id"], r["value"]) for r in long.where("series = 'b'").collect()) == [(i, 2.0 * i) for i in range(100)] and status.first()["status"] == "ok"
+        assert long.count() == 200
+    monkeypatch.setattr(C, "PREFIX_MOST", C.PREFIX)
+    assert len(C.beginnings(spark, listed, 30_000)) == 1 and read_matrices(spark, paths, label_column=True, rows=30_000)[0].where("series = 'b'").count() == 30_000
+
+
+def test_a_result_is_whole_or_the_old_one(spark, tmp_path, monkeypatch):
+    one, two = (spark.createDataFrame([(d, 1)], "dataset string, n int") for d in "ab")
+    path = f"{tmp_path}/result"
+    tables.write_result(one, path)
+    with pytest.raises(Exception, match="half"):
+        tables.write_result(two.selectExpr("dataset", "raise_error('half') as n"), path)
+    assert tables.read_result(spark, path).first()["dataset"] == "a"
+    os.rename(path, f"{path}.old")  # as a job leaves it that ends between the two renamings
+    assert tables.read_result(spark, path).first()["dataset"] == "a"
+    tables.write_result(two, path)
+    assert tables.read_result(spark, path).first()["dataset"] == "b" and not os.path.exists(f"{path}.old")
+
+
+def test_scratch_tables_go_with_their_work(spark):
+    with tables.dropped_after(spark):
+        path = tables.written(spark.range(3), "some").inputFiles()[0].removeprefix("file:").removeprefix("//")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
