@@ -17,8 +17,9 @@ hashes.
 Sums over subtrees need no walk: a node belongs to its smallest member, whose nodes are
 the lower end of its path. A conversation's nodes below a depth are a running sum along
 it; of other members a subtree holds all or nothing of what they own, so these add up per
-node. Every group is aggregated before it is shuffled, but for ends: a digest is a chain,
-and a task reads the ids of its nodes' ends in order, holding a batch of them.
+node. Every group is aggregated before it is shuffled. The digest of a node's ends is a
+chain: its ids are joined in runs first, and one task reads the runs in order, holding a
+batch of them.
 
 Defined results: rows without a conversation id are no conversation; null roles and texts
 are empty; rows of one turn come by role, then by a hash of the text; repeated rows are
@@ -45,8 +46,8 @@ LANES = 4
 HEAD = 5
 #: Exponents are read in digits of DIGIT bits, DIGITS of them.
 DIGIT, DIGITS = 6, 6
-#: Depths of one conversation that one window sums.
-CHUNK_BITS = 12
+#: Depths of one conversation that one window sums; ids of a node's ends that are joined before they come to one task.
+CHUNK_BITS, ID_BITS = 12, 10
 #: Hashes to try until no two texts share one.
 SEEDS = 8
 NODE = ["depth", "f1", "f2"]
@@ -176,7 +177,9 @@ def ends_digests(path: DataFrame, lengths: DataFrame) -> DataFrame:
     """NODE, ends_sha256: of the ids of the conversations that end at each node where some do, ascending."""
     ends = path.where("depth = length").select(*NODE, "conv_id")
     bare = lengths.where("length = 0").select(*[F.lit(0).cast("long").alias(c) for c in NODE], "conv_id")
-    dealt = ends.select(*[F.col(c).cast("long") for c in NODE], "conv_id").unionByName(bare).repartition(*NODE).sortWithinPartitions(*NODE, "conv_id")
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("conv_id")), lambda c: c.cast("string")), ",")
+    some = ends.unionByName(bare).groupBy(*NODE, F.shiftright("conv_id", ID_BITS).alias("run")).agg(ids.alias("ids"))  # at most 2^ID_BITS ids
+    dealt = some.select(*[F.col(c).cast("long") for c in NODE], "run", "ids").repartition(*NODE).sortWithinPartitions(*NODE, "run")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, node, digest = [], None, hashlib.sha256()
@@ -185,13 +188,13 @@ def ends_digests(path: DataFrame, lengths: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=[*NODE, "ends_sha256"])
 
         for got in batches:
-            for *key, conv_id in zip(*[c.to_pylist() for c in got.columns], strict=True):
+            for *key, _, ids in zip(*[c.to_pylist() for c in got.columns], strict=True):
                 if key == node:
-                    digest.update(f",{conv_id}".encode())
+                    digest.update(f",{ids}".encode())
                     continue
                 if node is not None:
                     out.append((*node, digest.hexdigest()))
-                node, digest = key, hashlib.sha256(str(conv_id).encode())
+                node, digest = key, hashlib.sha256(ids.encode())
             if out:
                 yield batch()
                 out = []
@@ -245,7 +248,8 @@ def prefix_trie(rows: DataFrame, base_of: Callable[[Column], Column], head_of: C
     spark = rows.sparkSession
     root = spark.range(1).select(*[F.lit(0).cast("long").alias(c) for c in NODE], F.lit(top["conv_id"]).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("parent_conv_id"),
                                  *[F.lit(v).cast("long").alias(k) for k, v in zip(numbers, (top["n"], below["kids"], below["leaves"] or 1, below["gain"] or 0), strict=True)])
-    root = root.join(ends, NODE, "left").withColumn("ends_sha256", F.coalesce("ends_sha256", nothing))
+    at_root = ends.where("depth = 0").first()
+    root = root.withColumn("ends_sha256", F.lit(at_root["ends_sha256"]) if at_root else nothing)
     return inner.unionByName(root)
 
 
