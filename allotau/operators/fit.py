@@ -4,8 +4,10 @@ The contract is the local optimum that Gauss-Newton with step halving reaches fr
 `a` enters linearly and is eliminated: with L = ln x - mean(ln x) and z = exp(b L), six
 sums over the points give the best `a`, the squared error and the next step in b.
 
-Two ways compute the same: series of up to LARGE points are fitted within one group each;
-larger ones by repeated aggregates over the points, which move only sums.
+Two ways compute the same: series of up to LARGE points are fitted within one group each.
+Of larger ones only sums move: as the six sums are smooth in b, Chebyshev moments of L, and
+of y over L, stand for all points; the descent runs on them, and a pass over the points
+confirms what it found.
 
 Points with a missing, infinite or non-positive x or y are removed first (`filtered`).
 The unfiltered fit takes y <= 0 too; it reports `fit_failed` for missing or infinite
@@ -15,6 +17,8 @@ points and `unsupported_domain` for x <= 0. A series whose x are all equal is
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,7 +32,8 @@ STEPS = 100
 TOLERANCE = 1e-9
 #: A step may raise the squared error by this share of sum(y^2), which is rounding.
 SLACK = 1e-12
-HALVINGS = 8
+#: Chebyshev moments of a large series; series whose facts are broadcast.
+NODES, FEW_SERIES = 64, 100_000
 KEYS = ["dataset", "series_pos", "series"]
 RESULT = [*KEYS, "status", "a", "b"]
 
@@ -43,26 +48,16 @@ def point_stats(points: DataFrame) -> DataFrame:
     return points.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("total_points"), F.count_if(~valid).alias("removed_points"), F.count_if(valid).alias("used_points"))
 
 
-def solve(x: np.ndarray, y: np.ndarray) -> tuple[str, float | None, float | None]:
-    """status, a, b of one series."""
-    log_x = np.log(x)
-    mean = log_x.mean()
-    centred = log_x - mean
-    if centred.max() - centred.min() <= 1e-14 * max(1.0, abs(mean)):
-        return "degenerate", None, None
-    syy = float(y @ y)
-
-    def sums(b: float) -> tuple[float, ...]:
-        z = np.exp(b * centred)
-        zl = z * centred
-        return tuple(float(v) for v in (z @ z, z @ zl, zl @ zl, y @ z, y @ zl))
-
+def descend(sums: Callable[[float], tuple[float, ...]], syy: float, tolerance: float = TOLERANCE, steps: int = STEPS) -> tuple[str, float, tuple[float, ...]]:
+    """Gauss-Newton with step halving from b = 1; sums(b) gives the sums of z^2, z^2 L, z^2 L^2, y z and y z L. -> status, b, its sums."""
     b = 1.0
-    szz, szl, szll, syz, syzl = sums(b)
-    for _ in range(STEPS):
+    szz, szl, szll, syz, syzl = now = sums(b)
+    for _ in range(steps):
+        if not szz > 0:
+            return "degenerate", b, now
         best, bend = syz / szz, szz * szll - szl * szl
         if best == 0 or bend <= 0 or not np.isfinite(bend):
-            return "degenerate", None, None
+            return "degenerate", b, now
         step = (szz * (syzl - best * szl) - szl * (syz - best * szz)) / bend / best
         error = syy - syz * syz / szz
         for _ in range(60):
@@ -71,9 +66,32 @@ def solve(x: np.ndarray, y: np.ndarray) -> tuple[str, float | None, float | None
                 break
             step /= 2
         b, (szz, szl, szll, syz, syzl) = b + step, now
-        if abs(step) < TOLERANCE * (1 + abs(b)):
-            return "ok", float(syz / szz * np.exp(-b * mean)), float(b)
-    return "fit_failed", None, None
+        if abs(step) < tolerance * (1 + abs(b)):
+            return "ok", b, now
+    return "fit_failed", b, now
+
+
+def weighted_sums(l: np.ndarray, weights: np.ndarray, values: np.ndarray) -> Callable[[float], tuple[float, ...]]:
+    """The sums over points of these L, with weights for sums without y, and values for those with it."""
+
+    def sums(b: float) -> tuple[float, ...]:
+        z = np.exp(b * l)
+        zz = z * z * weights
+        yz = z * values
+        return tuple(float(v) for v in (zz.sum(), zz @ l, zz @ (l * l), yz.sum(), yz @ l))
+
+    return sums
+
+
+def solve(x: np.ndarray, y: np.ndarray) -> tuple[str, float | None, float | None]:
+    """status, a, b of one series."""
+    log_x = np.log(x)
+    mean = log_x.mean()
+    centred = log_x - mean
+    if centred.max() - centred.min() <= 1e-14 * max(1.0, abs(mean)):
+        return "degenerate", None, None
+    status, b, (szz, _, _, syz, _) = descend(weighted_sums(centred, np.ones(len(y)), y), float(y @ y))
+    return ("ok", float(syz / szz * np.exp(-b * mean)), float(b)) if status == "ok" else (status, None, None)
 
 
 def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -92,57 +110,105 @@ def fit_small(points: DataFrame, series: DataFrame) -> DataFrame:
     return keyed(series, *KEYS).join(fits, ["key_1", "key_2"]).select(*RESULT)
 
 
-def _sums(b: Column, tag: str) -> list[Column]:
-    z = F.exp(b * F.col("l"))
+SERIES = ["key_1", "key_2"]
+
+
+def near(points: DataFrame, facts: DataFrame) -> DataFrame:
+    """points with the facts of their series. Large series are few for their rows; if they are many all the same, nothing is broadcast."""
+    return points.join(F.broadcast(facts) if facts.count() <= FEW_SERIES else facts, SERIES)
+
+
+def moments(points: DataFrame) -> DataFrame:
+    """points (SERIES, u in [-1, 1], value) -> SERIES, moments: the sums of T_n(u), then of value * T_n(u), for the first NODES Chebyshev polynomials; summed in each task first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for pdf in batches:
+            code, keys = pd.factorize(pd.MultiIndex.from_frame(pdf[SERIES]))
+            u, y = pdf["u"].to_numpy(), pdf["value"].to_numpy()
+            sums = np.empty((len(keys), 2 * NODES))
+            before, now = u, np.ones(len(u))
+            for n in range(NODES):
+                sums[:, n] = np.bincount(code, now, len(keys))
+                sums[:, NODES + n] = np.bincount(code, now * y, len(keys))
+                before, now = now, (2 * u * now - before)
+            for key, row in zip(keys, sums, strict=True):
+                held[key] = held[key] + row if key in held else row
+        if held:
+            yield pd.DataFrame(list(held), columns=SERIES).assign(moments=list(held.values()))
+
+    parts = points.mapInPandas(run, "key_1 long, key_2 long, moments array<double>").select(*SERIES, F.posexplode("moments").alias("n", "m"))
+    sums = parts.groupBy(*SERIES, "n").agg(F.sum("m").alias("m"))
+    return sums.groupBy(*SERIES).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "m"))), lambda x: x["m"]).alias("moments"))
+
+
+def by_moments(pdf: pd.DataFrame, steps: int) -> pd.DataFrame:
+    """Moments of series with half (of the range of L) and yy -> SERIES, trial: the b that they give, or 1.
+
+    A smooth function's sum over the points is that over NODES nodes with weights that the
+    moments give, as long as its Chebyshev series ends by then.
+    """
+    angle = np.pi * (np.arange(NODES) + 0.5) / NODES
+    basis = np.cos(np.outer(np.arange(NODES), angle)) * np.where(np.arange(NODES) == 0, 1, 2)[:, None] / NODES
+    trial = []
+    for got, half, yy in zip(pdf["moments"], pdf["half"], pdf["yy"], strict=True):
+        m = np.asarray(got)
+        with np.errstate(over="ignore", invalid="ignore"):
+            status, b, _ = descend(weighted_sums(half * np.cos(angle), m[:NODES] @ basis, m[NODES:] @ basis), float(yy), 1e-13, steps)
+        trial.append(b if status == "ok" and abs(2 * b * half) <= NODES / 3 else 1.0)
+    return pdf[SERIES].assign(trial=trial)
+
+
+def exact_sums(centred: DataFrame, state: DataFrame) -> DataFrame:
+    """SERIES and the five sums at each series' trial."""
+    z = F.exp(F.col("trial") * F.col("l"))
     zl = z * F.col("l")
-    return [F.sum(v).alias(f"{n}{tag}") for n, v in (("zz", z * z), ("zl", z * zl), ("zll", zl * zl), ("yz", F.col("value") * z), ("yzl", F.col("value") * zl))]
+    return near(centred, state.select(*SERIES, "trial")).groupBy(*SERIES).agg(*[F.sum(v).alias(n) for n, v in (("zz", z * z), ("zl", z * zl), ("zll", zl * zl), ("yz", F.col("value") * z), ("yzl", F.col("value") * zl))])
 
 
-def _next(state: DataFrame) -> DataFrame:
-    """state with the next step of b from its sums, and a status once the step is small or impossible."""
+def stepped(seen: DataFrame, last: bool) -> DataFrame:
+    """state and the sums at the trials -> the next state: a trial that doesn't raise the error is taken, and else the step halved."""
     best, bend = F.try_divide("yz", "zz"), F.col("zz") * F.col("zll") - F.col("zl") * F.col("zl")
-    flat = (F.coalesce(bend, F.lit(0.0)) <= 0) | F.isnan(bend) | (F.coalesce(best, F.lit(0.0)) == 0) | (F.col("spread") <= 1e-14 * F.greatest(F.lit(1.0), F.abs("mean")))
+    flat = (F.coalesce(bend, F.lit(0.0)) <= 0) | F.isnan(bend) | (F.coalesce(best, F.lit(0.0)) == 0)
+    error = F.col("yy") - F.try_divide(F.col("yz") * F.col("yz"), F.col("zz"))
+    fine = F.coalesce(F.col("b").isNull() | ((error <= F.col("error") + SLACK * F.col("yy")) & (F.abs("zz") < S.INFINITY) & ~F.isnan(error)), F.lit(False))
     step = F.try_divide(F.try_divide(F.col("zz") * (F.col("yzl") - best * F.col("zl")) - F.col("zl") * (F.col("yz") - best * F.col("zz")), bend), best)
-    status = F.coalesce("status", F.when(flat, "degenerate"))
-    return state.withColumn("status", status).withColumn("step", step).withColumn("error", F.col("yy") - F.try_divide(F.col("yz") * F.col("yz"), F.col("zz")))
-
-
-def fit_large(points: DataFrame) -> DataFrame:
-    """Valid points -> RESULT by passes of aggregates; the state has one row a series, and points of finished series are left out."""
-    kept = written(points.select(*KEYS, F.log("tau").alias("log_x"), "value"), "points")
-    means = written(kept.groupBy(*KEYS).agg(F.avg("log_x").alias("mean"), (F.max("log_x") - F.min("log_x")).alias("spread"), F.sum(F.col("value") * F.col("value")).alias("yy")), "means")
-    centred = kept.join(means.select(*KEYS, "mean"), KEYS).select(*KEYS, (F.col("log_x") - F.col("mean")).alias("l"), "value")
-    names = ["zz", "zl", "zll", "yz", "yzl"]
-    state = means.join(centred.groupBy(*KEYS).agg(*_sums(F.lit(1.0), "")), KEYS)
-    state = written(_next(state.withColumn("b", F.lit(1.0)).withColumn("shrink", F.lit(1.0)).withColumn("status", F.lit(None).cast("string"))), "fit")
+    b, step = F.when(fine, F.col("trial")).otherwise(F.col("b")), F.when(fine, step).otherwise(F.col("step") / 2)
+    # a start that overflows is no minimum, and is tried again nearer to 0
+    status = F.when(F.col("status").isNotNull(), F.col("status")).when(fine & flat, "degenerate").when(fine & (F.abs(step) < TOLERANCE * (1 + F.abs("trial"))), "ok")
+    a = best * F.exp(-F.col("trial") * F.col("centre"))
+    got = seen.select(*SERIES, "centre", "half", "yy", b.alias("b"), step.alias("step"), F.when(fine, error).otherwise(F.col("error")).alias("error"), status.alias("status"), F.when(fine, a).otherwise(F.col("a")).alias("a"))
+    end = F.coalesce("status", F.lit("fit_failed")) if last else F.col("status")
+    return got.withColumn("status", end).withColumn("trial", F.col("b") + F.col("step"))
+
+
+def fit_large(points: DataFrame, series: DataFrame) -> DataFrame:
+    """Valid points of the series (KEYS) -> RESULT, in passes over a table of the points, of which only sums move.
+
+    The first finds the range of L, the second its moments, on which the descent runs, and
+    the third shows that the next step at the b found is below the tolerance. A series
+    for which it isn't goes on with exact sums, a pass a step.
+    """
+    names = keyed(series, *KEYS)
+    kept = written(keyed(points, F.log("tau").alias("log_x"), "value"), "points")
+    low, high = F.min("log_x"), F.max("log_x")
+    flat = high - low <= 1e-14 * F.greatest(F.lit(1.0), F.abs(low))
+    facts = kept.groupBy(*SERIES).agg(((low + high) / 2).alias("centre"), ((high - low) / 2).alias("half"), F.sum(F.col("value") * F.col("value")).alias("yy"), F.when(flat, "degenerate").alias("status"))
+    facts = written(facts, "facts")
+    centred = near(kept, facts.where("status is null").select(*SERIES, "centre", "half")).select(*SERIES, (F.col("log_x") - F.col("centre")).alias("l"), "half", "value")
+    found = moments(centred.select(*SERIES, (F.col("l") / F.col("half")).alias("u"), "value")).join(facts.select(*SERIES, "half", "yy"), SERIES)
+    steps = STEPS
+    trials = found.mapInPandas(lambda batches: (by_moments(pdf, steps) for pdf in batches), "key_1 long, key_2 long, trial double")
+    nothing = [F.lit(None).cast("double").alias(c) for c in ("b", "step", "error", "a")]
+    state = written(facts.join(trials, SERIES, "left").select(*SERIES, "centre", "half", "yy", "status", "trial", *nothing), "fit")
     for i in range(STEPS):
         open_ = state.where("status is null")
-        if open_.limit(1).count() == 0:
+        if not open_.limit(1).count():
             break
-        tried = [F.col("b") + F.col("step") * F.col("shrink") * 2.0**-k for k in range(HALVINGS)]
-        sums = centred.join(open_.select(*KEYS, "b", "step", "shrink"), KEYS).groupBy(*KEYS).agg(*[s for k, b in enumerate(tried) for s in _sums(b, str(k))])
-        seen = state.join(sums, KEYS, "left")
-        pick = F.lit(None).cast("int")
-        for k in reversed(range(HALVINGS)):
-            error = F.col("yy") - F.try_divide(F.col(f"yz{k}") * F.col(f"yz{k}"), F.col(f"zz{k}"))
-            fine = F.coalesce((error <= F.col("error") + SLACK * F.col("yy")) & (F.abs(F.col(f"zz{k}")) < S.INFINITY) & ~F.isnan(error), F.lit(False))
-            pick = F.when(fine, k).otherwise(pick)
-        seen = seen.withColumn("pick", F.when(F.col("status").isNull(), pick))
-        moved = F.col("step") * F.col("shrink") * F.pow(F.lit(2.0), -F.col("pick"))
-        done = F.col("pick").isNotNull() & (F.abs(moved) < TOLERANCE * (1 + F.abs(F.col("b") + moved)))
-        chosen = {n: F.coalesce(*[F.when(F.col("pick") == k, F.col(f"{n}{k}")) for k in range(HALVINGS)], F.col(n)) for n in names}
-        late = F.lit("fit_failed") if i + 1 == STEPS else F.lit(None).cast("string")
-        new = seen.select(
-            *KEYS, "mean", "spread", "yy", *[c.alias(n) for n, c in chosen.items()],
-            F.when(F.col("pick").isNotNull(), F.col("b") + moved).otherwise(F.col("b")).alias("b"),
-            F.when(F.col("pick").isNull(), F.col("shrink") * 2.0**-HALVINGS).otherwise(1.0).alias("shrink"),
-            F.coalesce("status", F.when(done, "ok"), late).alias("status"), F.col("step").alias("old_step"), F.col("pick"),
-        )
-        stepped = _next(new)
-        state = written(stepped.drop("old_step", "pick"), "fit")
-    a = F.col("yz") / F.col("zz") * F.exp(-F.col("b") * F.col("mean"))
+        seen = state.join(exact_sums(centred.drop("half"), open_), SERIES, "left")
+        state = written(stepped(seen, i + 1 == STEPS), "fit")
     ok = F.col("status") == "ok"
-    return state.select(*KEYS, "status", F.when(ok, a).alias("a"), F.when(ok, F.col("b")).alias("b"))
+    return names.join(state, SERIES).select(*KEYS, "status", F.when(ok, F.col("a")).alias("a"), F.when(ok, F.col("b")).alias("b"))
 
 
 def fit_by_size(points: DataFrame, sizes: DataFrame, large: int = LARGE) -> DataFrame:
@@ -150,12 +216,12 @@ def fit_by_size(points: DataFrame, sizes: DataFrame, large: int = LARGE) -> Data
     if (sizes.agg(F.max("n")).first()[0] or 0) <= large:
         return fit_small(points, sizes)
     small, big = (sizes.where(which).select(*KEYS) for which in (F.col("n") <= large, F.col("n") > large))
-    return fit_small(points.join(small, KEYS, "left_semi"), small).unionByName(fit_large(points.join(big, KEYS, "left_semi")))
+    return fit_small(points.join(small, KEYS, "left_semi"), small).unionByName(fit_large(points.join(big, KEYS, "left_semi"), big))
 
 
-def fit_report(points: DataFrame, min_points: int = 3, large: int = LARGE) -> DataFrame:
-    """points (KEYS, tau, value) -> KEYS, total_points, removed_points, used_points, status, reason, a, b."""
-    stats = written(point_stats(points), "stats")
+def fit_report(points: DataFrame, min_points: int = 3, large: int = LARGE, stats: DataFrame | None = None) -> DataFrame:
+    """points (KEYS, tau, value) -> KEYS, total_points, removed_points, used_points, status, reason, a, b; stats: their point_stats, where these came with less work."""
+    stats = written(point_stats(points) if stats is None else stats, "stats")
     valid = points.where(is_valid(F.col("tau"), F.col("value"))).select(*KEYS, "tau", "value")
     enough = F.col("used_points") >= min_points
     if stats.where(~enough & (F.col("used_points") > 0)).limit(1).count():

@@ -36,12 +36,12 @@ def free(name: str, df: DataFrame) -> str:
     return name
 
 
-def to_long(wide: DataFrame, values: list[str], keys: tuple[str, ...] = ("dataset", "row_id")) -> DataFrame:
-    """keys, series_pos, series, value: a row a cell; no shuffle."""
+def to_long(wide: DataFrame, values: list[str], keys: dict[str, str] | tuple[str, ...] = ("dataset", "row_id")) -> DataFrame:
+    """keys, series_pos, series, value: a row a cell; no shuffle. A dict of keys gives them other names, as value columns may have those."""
     cells = F.array(*[F.struct(F.lit(i).alias("series_pos"), F.lit(c).alias("series"), number(F.col(f"`{c}`")).alias("value")) for i, c in enumerate(values)])
-    own, cell = [F.col(f"`{k}`") for k in keys], free("cell", wide)
-    long = wide.select(*own, F.explode(cells).alias(cell))
-    return long.select(*own, *[F.col(f"`{cell}`.{c}") for c in ("series_pos", "series", "value")])
+    keys = keys if isinstance(keys, dict) else {k: k for k in keys}
+    long = wide.select(F.struct(*[F.col(f"`{k}`").alias(new) for k, new in keys.items()]).alias("own"), F.explode(cells).alias("cell"))
+    return long.select(*[F.col(f"own.`{new}`") for new in keys.values()], *[F.col(f"cell.{c}") for c in ("series_pos", "series", "value")])
 
 
 def to_wide(long: DataFrame, series: list[str]) -> DataFrame:

@@ -33,23 +33,27 @@ def failures(bad: DataFrame, kind: str) -> DataFrame:
     return bad.select("dataset", F.when(F.col("bad"), status).otherwise("ok").alias("status"), F.when(F.col("bad"), reason).alias("reason"))
 
 
-def transform_wide(wide: DataFrame, values: list[str], kind: str) -> tuple[DataFrame, DataFrame]:
-    """(wide with doubles in place of `values`, without failed datasets; dataset, status, reason). One aggregate serves bounds and guards."""
+def transform_wide(wide: DataFrame, values: list[str], kind: str, key: str = "dataset") -> tuple[DataFrame, DataFrame]:
+    """(wide with doubles in place of `values`, without failed datasets; dataset, status, reason). One aggregate serves bounds and guards.
+
+    key names the column of the dataset, so that a value column may be called `dataset`.
+    """
     checked(kind)
-    numbers = {c: S.number(F.col(f"`{c}`")) for c in values}
+    numbers, dataset = {c: S.number(F.col(f"`{c}`")) for c in values}, F.col(f"`{key}`")
     if kind == "none" or not values:
-        return with_numbers(wide, numbers), wide.groupBy("dataset").agg(F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"))
+        return with_numbers(wide, numbers), wide.groupBy(dataset.alias("dataset")).agg(F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"))
     wrong = [(v < -1) if kind == "log1p" else S.is_infinite(v) for v in numbers.values()]
-    bounds = [F.lit(0).alias("none")] if kind == "log1p" else [f(v).alias(f"{n}{i}") for i, v in enumerate(numbers.values()) for n, f in (("least", F.min), ("most", F.max))]
+    bounds = [] if kind == "log1p" else [f(v).alias(f"{n}{i}") for i, v in enumerate(numbers.values()) for n, f in (("least", F.min), ("most", F.max))]
     fact = free("facts", wide)  # all in one struct, so that one name is enough
-    facts = wide.groupBy("dataset").agg(F.max(F.greatest(*[F.coalesce(w, F.lit(False)) for w in wrong], F.lit(False))).alias("bad"), *bounds)
-    facts = facts.select("dataset", F.struct("bad", *[c for c in facts.columns if c not in ("dataset", "bad")]).alias(fact))
-    good = wide.join(facts.where(~F.col(fact)["bad"]), "dataset")
+    bad = F.max(F.greatest(*[F.coalesce(w, F.lit(False)) for w in wrong], F.lit(False))).alias("bad")
+    facts = wide.groupBy(dataset).agg(F.struct(bad, *bounds).alias(fact))
+    good = wide.join(facts.where(~F.col(fact)["bad"]), key)
     if kind == "log1p":
         change = {c: S.log1p(v) for c, v in numbers.items()}
     else:
         change = {c: scaled(v, F.col(fact)[f"least{i}"], F.col(fact)[f"most{i}"], *RANGES[kind]) for i, (c, v) in enumerate(numbers.items())}
-    return good.select(*[change[c].alias(c) if c in change else F.col(f"`{c}`") for c in wide.columns]), failures(facts.select("dataset", F.col(fact)["bad"].alias("bad")), kind)
+    status = failures(facts.select(dataset.alias("dataset"), F.col(fact)["bad"].alias("bad")), kind)
+    return good.select(*[change[c].alias(c) if c in change else F.col(f"`{c}`") for c in wide.columns]), status
 
 
 def transform_long(long: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:

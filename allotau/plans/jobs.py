@@ -8,25 +8,52 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from allotau.functions import scalar as S
 from allotau.operators import curve, fit, matrix, quasi, transform
 from allotau.sources.csv_matrices import read_matrices
 from allotau.sources.tables import write_result, written
 
 
-def points_of_wide(wide: DataFrame, values: list[str]) -> DataFrame:
-    """dataset, series_pos, series, tau, value: no shuffle."""
-    return matrix.to_long(quasi.with_total(wide, values), values, ("dataset", "tau"))
+#: Columns up to which one aggregate counts the valid points of all.
+FUSED = 500
+
+
+def points_of_wide(wide: DataFrame, values: list[str], key: str = "dataset") -> DataFrame:
+    """dataset, series_pos, series, tau, value: no shuffle. Value columns may have any names, tau too; key names the column of the dataset."""
+    tau = matrix.free("tau", wide)
+    return matrix.to_long(quasi.with_total(wide, values, tau), values, {key: "dataset", tau: "tau"})
+
+
+def facts_of_wide(wide: DataFrame, values: list[str], key: str = "dataset") -> DataFrame:
+    """dataset, n, low, high (as curve.bounds), used (valid points of each column, null from FUSED columns on): one aggregate over the wide rows, without a cell exploded."""
+    tau = matrix.free("tau", wide)
+    positive = F.when(S.positive(F.col(tau)), F.col(tau))
+    used = [F.count_if(fit.is_valid(F.col(tau), S.number(F.col(f"`{c}`")))) for c in values]
+    used = F.array(*used) if 0 < len(values) <= FUSED else F.lit(None).cast("array<bigint>")
+    facts = quasi.with_total(wide, values, tau).groupBy(F.col(f"`{key}`").alias("dataset")).agg(F.count(F.lit(1)).alias("n"), F.min(positive).alias("low"), F.max(positive).alias("high"), used.alias("used"))
+    return written(facts, "facts")
+
+
+def stats_of_facts(facts: DataFrame, values: list[str]) -> DataFrame | None:
+    """fit.point_stats from facts_of_wide."""
+    if not 0 < len(values) <= FUSED:
+        return None
+    names = F.array(*[F.lit(c) for c in values])
+    rows = facts.select("dataset", "n", F.posexplode("used").alias("series_pos", "used_points"))
+    return rows.select("dataset", "series_pos", F.get(names, F.col("series_pos")).alias("series"), F.col("n").alias("total_points"), (F.col("n") - F.col("used_points")).alias("removed_points"), "used_points")
 
 
 def points_of_long(long: DataFrame) -> DataFrame:
     return long.join(quasi.long_totals(long), ["dataset", "row_id"]).select("dataset", "series_pos", "series", "row_id", "tau", "value")
 
 
-def fit_wide(wide: DataFrame, values: list[str], kind: str = "none", min_points: int = 3, large: int = fit.LARGE) -> tuple[DataFrame, DataFrame]:
-    """(fit report, dataset status) of a wide table."""
-    good, status = transform.transform_wide(wide, values, kind)
-    return fit.fit_report(points_of_wide(good, values), min_points, large), status
+def fit_wide(wide: DataFrame, values: list[str], kind: str = "none", min_points: int = 3, large: int = fit.LARGE, key: str = "dataset", facts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fit report, dataset status) of a wide table; facts: its facts_of_wide, where the caller has them. The source is read twice, for the facts and for the points of the solver."""
+    good, status = transform.transform_wide(wide, values, kind, key)
+    stats = stats_of_facts(facts_of_wide(good, values, key) if facts is None else facts, values)
+    return fit.fit_report(points_of_wide(good, values, key), min_points, large, stats), status
 
 
 def fit_long(long: DataFrame, kind: str = "none", min_points: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -35,10 +62,10 @@ def fit_long(long: DataFrame, kind: str = "none", min_points: int = 3) -> tuple[
     return fit.fit_report(points_of_long(good), min_points), status
 
 
-def curves_wide(wide: DataFrame, values: list[str], report: DataFrame) -> DataFrame:
+def curves_wide(wide: DataFrame, values: list[str], report: DataFrame, key: str = "dataset", facts: DataFrame | None = None) -> DataFrame:
     """Fitted curves on the grid of every dataset."""
-    grid = curve.nodes(curve.bounds(quasi.with_total(wide, values).select("dataset", "tau")))
-    return curve.sample(grid, fit.params(report))
+    facts = facts_of_wide(wide, values, key) if facts is None else facts
+    return curve.sample(curve.nodes(facts.select("dataset", "n", "low", "high")), fit.params(report))
 
 
 def curves_long(long: DataFrame, report: DataFrame) -> DataFrame:

@@ -7,19 +7,19 @@ are rounded to 6 decimals on both sides, as sums are reordered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from allotau.functions import scalar as S
 from allotau.operators import curve, fit, matrix, points, quasi, transform
 from allotau.plans import jobs
 from allotau.sources.csv_matrices import numeric_cells, read_matrices
-from allotau.sources.tables import scratch, write_csv, written
+from allotau.sources.tables import scratch, write_csv, write_lines, written
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 PART = ["p_size", "p_retailprice"]
 EVENTS = ["cart", "click", "error", "purchase", "view"]
-PREVIEW, PLOTS = 10, 6
+PREVIEW, PLOTS, FIRST = 10, 6, 30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -154,6 +154,38 @@ def csv_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("row_label", "series_pos", "series", r6("value").alias("value"))
 
 
+def csv_stray_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts as CSV lines whose labels have stray marks, text behind a closing mark, doubled marks, or line breaks in quotes."""
+    kinds = ['5" pipe %d', '"a"b %d', '"say ""%d"", please"', '"two\n\nlines of %d"']
+    label = F.element_at(F.array(*[F.format_string(k, F.col("p_partkey")) for k in kinds]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.concat_ws(",", label, *[F.col(c).cast("string") for c in PART]).alias("line"))
+    path = scratch(spark, "csv")
+    write_lines(rows, "line", "id," + ",".join(PART), path)
+    long, _ = read_matrices(spark, path, label_column=True)
+    return long.select("row_label", "series_pos", "series", r6("value").alias("value"))
+
+
+def csv_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts as five CSV files, by p_partkey % 5, of which the first 30 rows are read (the limit is the feature); behind those p_size holds texts."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), (F.col("p_partkey") % 5).alias("file"), "p_partkey", *PART)
+    place = Window.partitionBy("file").orderBy("p_partkey")
+    size = F.when(F.row_number().over(place) > FIRST, "late").otherwise(F.col("p_size").cast("string"))
+    lines = parts.select(F.concat_ws(",", "id", size, F.col("p_retailprice").cast("string")).alias("line"), "file", "p_partkey")
+    path = scratch(spark, "csv")
+    for i in range(5):
+        write_lines(lines.where(F.col("file") == i).coalesce(1).sortWithinPartitions("p_partkey"), "line", "id," + ",".join(PART), f"{path}/{i}")
+    long, _ = read_matrices(spark, [f"{path}/{i}" for i in range(5)], label_column=True, rows=FIRST)
+    return long.select("row_label", "row_id", "series_pos", "series", r6("value").alias("value"))
+
+
+def columns_of_any_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the parts with value columns called tau and dataset, against their row total."""
+    wide = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_size").alias("tau"), F.col("p_retailprice").alias("dataset"))
+    good, _ = transform.transform_wide(wide, ["tau", "dataset"], "log1p", key="brand")
+    got = jobs.points_of_wide(good, ["tau", "dataset"], key="brand")
+    return got.select("dataset", "series_pos", "series", r6("tau").alias("tau"), r6("value").alias("value"))
+
+
 def no_numeric_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources, whose documents have texts only, beside labels, which have numbers: status rows of the former."""
 
@@ -251,15 +283,17 @@ def chebyshev_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def curve_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = line(spark, sf_dir)
-    return jobs.curves_wide(wide, LINE, jobs.fit_wide(wide, LINE)[0]).select("dataset", "node_pos", F.round("tau", 4).alias("tau"), "series_pos", "series", F.round("y", 3).alias("y"))
+    facts = jobs.facts_of_wide(wide, LINE)
+    return jobs.curves_wide(wide, LINE, jobs.fit_wide(wide, LINE, facts=facts)[0], facts=facts).select("dataset", "node_pos", F.round("tau", 4).alias("tau"), "series_pos", "series", F.round("y", 3).alias("y"))
 
 
 def fit_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points and curves of the first 6 fitted series of every dataset (the limit is the feature)."""
     wide = line(spark, sf_dir)
-    report = written(jobs.fit_wide(wide, LINE)[0], "report")  # a row a series, read by the curves and by the points
+    facts = jobs.facts_of_wide(wide, LINE)
+    report = written(jobs.fit_wide(wide, LINE, facts=facts)[0], "report")  # a row a series, read by the curves and by the points
     report = written(matrix.first_series(fit.params(report).withColumn("status", F.lit("ok")), PLOTS), "shown")
-    got = points.overlay(jobs.points_of_wide(wide, LINE), jobs.curves_wide(wide, LINE, report), fit.params(report))
+    got = points.overlay(jobs.points_of_wide(wide, LINE), jobs.curves_wide(wide, LINE, report, facts=facts), fit.params(report))
     return got.select("dataset", "series_pos", "series", "kind", F.round("tau", 4).alias("tau"), F.round("y", 3).alias("y"))
 
 
@@ -278,7 +312,7 @@ def dataset_status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     numeric_projection, transform_none, data_preview, minmax_0_1, minmax_neg1_1, minmax_constant_column, minmax_long, log1p_transform, log1p_dataset_status,
     row_total, quasi_dynamic_order, quasi_preview, transpose_long, slice_n_p, dataset_shape, scatter_points, quasi_scatter_points, loglog_points, loglog_skipped_series,
-    csv_matrices, no_numeric_columns, shown_series, first_series_points, log1p_survivors, fit_unfiltered_failures, power_points,
+    csv_matrices, csv_stray_quotes, csv_first_rows, columns_of_any_name, no_numeric_columns, shown_series, first_series_points, log1p_survivors, fit_unfiltered_failures, power_points,
     fit_point_stats, fit_params, fit_large_path, fit_params_log1p, fit_skip_report, fit_unfiltered, power_eval, chebyshev_nodes, curve_sample,
     fit_overlay, curve_unfiltered, dataset_status_report,
 )}
@@ -354,6 +388,9 @@ ORACLE_SQL = {
     "shown_series": f"SELECT CAST(label AS VARCHAR) AS dataset, max(len(embedding)) AS n_series, least(max(len(embedding)), {PLOTS}) AS n_shown, max(len(embedding)) > {PLOTS} AS truncated FROM embeddings GROUP BY 1",
     "first_series_points": f"WITH {_EMB}, {_EMB_TAU}, {_EMB_POINTS} SELECT dataset, series_pos, series, round(tau, 6) + 0.0 AS tau, round(value, 6) + 0.0 AS value FROM emb_p WHERE series_pos < {PLOTS}",
     "csv_matrices": " UNION ALL ".join(f"SELECT CAST(p_partkey AS VARCHAR) AS row_label, {i + 1} AS series_pos, '{c}' AS series, round(CAST({c} AS DOUBLE), 6) AS value FROM part" for i, c in enumerate(PART)),
+    "csv_stray_quotes": " UNION ALL ".join(f"SELECT CASE p_partkey % 4 WHEN 0 THEN '5\" pipe ' || p_partkey WHEN 1 THEN 'ab ' || p_partkey WHEN 2 THEN 'say \"' || p_partkey || '\", please' ELSE 'two' || chr(10) || chr(10) || 'lines of ' || p_partkey END AS row_label, {i} AS series_pos, '{c}' AS series, round(CAST({c} AS DOUBLE), 6) AS value FROM part" for i, c in enumerate(PART)),
+    "csv_first_rows": "WITH p AS (SELECT *, rank() OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey) AS place FROM part) " + " UNION ALL ".join(f"SELECT CAST(p_partkey AS VARCHAR) AS row_label, place - 1 AS row_id, {i} AS series_pos, '{c}' AS series, round(CAST({c} AS DOUBLE), 6) AS value FROM p WHERE place - 1 < {FIRST}" for i, c in enumerate(PART)),
+    "columns_of_any_name": f"WITH {_PART}, s AS (SELECT dataset, ln(1 + p_size) AS x, ln(1 + p_retailprice) AS y FROM part_m) SELECT dataset, 0 AS series_pos, 'tau' AS series, round(x + y, 6) + 0.0 AS tau, round(x, 6) + 0.0 AS value FROM s UNION ALL SELECT dataset, 1, 'dataset', round(x + y, 6) + 0.0, round(y, 6) + 0.0 FROM s",
     "no_numeric_columns": "SELECT source AS dataset, 'no_numeric_columns' AS status FROM documents GROUP BY source HAVING count(lang) > 0",
     "log1p_survivors": "WITH b AS (SELECT CAST(c_custkey // 10 AS VARCHAR) AS dataset, c_custkey AS row_id, c_acctbal, min(c_acctbal) OVER (PARTITION BY c_custkey // 10) < -1 AS bad FROM customer) SELECT dataset, row_id, round(ln(1 + c_acctbal), 6) + 0.0 AS c_acctbal FROM b WHERE NOT bad",
     "fit_unfiltered_failures": f"WITH {_EVT}, {_EVT_TAU}, pts AS ({_unpivot('evt_t', EVENTS)}), s AS (SELECT dataset, CAST(series_pos AS INTEGER) AS series_pos, series, CASE WHEN bool_or(value IS NULL) OR count(*) < 2 THEN 'fit_failed' WHEN min(tau) <= 0 THEN 'unsupported_domain' END AS status FROM pts GROUP BY ALL) SELECT * FROM s WHERE status IS NOT NULL",

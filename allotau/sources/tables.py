@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +91,19 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
+def write_lines(df: DataFrame, line: str, header: str, path: str) -> None:
+    """A column of lines as text files, a file a partition, each with a header line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([header, *lines] if first else lines, pa.string())], names=["value"])
+            first = False
+
+    df.select(line).mapInArrow(run, "value string").write.text(path)
+
+
 def in_ranges(df: DataFrame, keys: list[str], part: str, what: str) -> DataFrame:
     """df as a table, dealt by ranges of the keys and sorted in each; the column `part` rises with the range, and by one from row to row in it."""
     return written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(part, F.monotonically_increasing_id()), what)

@@ -227,3 +227,57 @@ def test_empty_tables(spark):
         assert good.count() == 0 and status.count() == 0
     report, _ = jobs.fit_wide(empty, ["x", "y"])
     assert report.count() == 0 and jobs.curves_wide(empty, ["x", "y"], report).count() == 0
+
+
+def test_columns_called_as_keys(spark):
+    """tau, dataset and row_id as value columns, through every step of the wide form."""
+    names = ["tau", "dataset", "row_id", "own"]
+    df = spark.createDataFrame([("d", float(i), i * 2.0, i * 3.0, 1.0) for i in range(1, 30)], "name string, " + ", ".join(f"{n} double" for n in names))
+    got = jobs.points_of_wide(df, names, key="name").collect()
+    assert {(r["series"], r["tau"], r["value"]) for r in got if r["series"] in ("tau", "own")} == {(n, 6.0 * i + 1, v) for i in range(1, 30) for n, v in (("tau", float(i)), ("own", 1.0))}
+    report, status = jobs.fit_wide(df, names, key="name")
+    assert [r["dataset"] for r in report.collect()] == ["d"] * 4 and status.first()["dataset"] == "d"
+    curves = jobs.curves_wide(df, names, report, key="name").collect()
+    assert len(curves) == 4 * 29 and {r["series"] for r in curves} == set(names)
+    with pytest.raises(ValueError, match="tau"):
+        quasi.with_total(df, names)
+    assert "total" in quasi.ordered(quasi.with_total(df.drop("dataset").withColumnRenamed("name", "dataset"), ["tau"], "total"), "total").columns
+    for kind in ("rescale_to_0_1", "log1p"):
+        good, status = transform.transform_wide(df, names, kind, key="name")
+        assert good.columns == df.columns and status.columns == ["dataset", "status", "reason"] and good.count() == 29
+
+
+def test_totals_of_both_forms_are_equal_to_the_last_bit(spark):
+    rng = np.random.default_rng(3)
+    data = [("a", i, *[None if rng.random() < 0.1 else float(v) for v in rng.normal(size=9) * 10.0 ** rng.integers(-9, 9, 9)]) for i in range(300)]
+    names = [f"c{i}" for i in range(9)]
+    df = spark.createDataFrame(data, "dataset string, row_id long, " + ", ".join(f"{n} double" for n in names))
+    want = {r["row_id"]: r["tau"] for r in quasi.with_total(df, names).collect()}
+    for n in (1, 3, 7):
+        long = matrix.to_long(df, names).repartition(n, "value")
+        assert {r["row_id"]: r["tau"] for r in quasi.long_totals(long).collect()} == want
+
+
+def test_facts_of_many_columns_equal_point_stats(spark, monkeypatch):
+    df = wide(spark, [("a", i, float(i), None if i % 3 else -1.0) for i in range(20)] + [("b", i, INF, float(i)) for i in range(5)])
+    want = sorted(rows(fit.point_stats(jobs.points_of_wide(df, ["x", "y"]))))
+    assert sorted(rows(jobs.stats_of_facts(jobs.facts_of_wide(df, ["x", "y"]), ["x", "y"]))) == want
+    first = sorted(map(str, rows(jobs.fit_wide(df, ["x", "y"])[0])))
+    monkeypatch.setattr(jobs, "FUSED", 1)
+    assert sorted(map(str, rows(jobs.fit_wide(df, ["x", "y"])[0]))) == first
+
+
+def test_large_fits_take_three_passes(spark, monkeypatch):
+    """Noisy series of many shapes: moments lead to where exact sums have nothing left to do."""
+    rng, passes = np.random.default_rng(9), []
+    plain = fit.exact_sums
+    monkeypatch.setattr(fit, "exact_sums", lambda *a: passes.append(1) or plain(*a))
+    shapes = {f"s{i}": (b, noise, low) for i, (b, noise, low) in enumerate([(0.7, 0.4, 0.0), (-1.2, 0.3, -3.0), (2.5, 0.2, 2.0), (0.0, 1.0, 0.0), (4.0, 0.5, -2.0)])}
+    p = pts(spark, [(n, x, 3 * x**b * np.exp(rng.normal(0, noise, 400))) for n, (b, noise, low) in shapes.items() for x in [np.exp(rng.uniform(low, low + 4, 400))]])
+    a, b = ({r["series"]: r for r in fit.fit_report(p, large=n).collect()} for n in (10**6, 0))
+    for name in shapes:
+        assert a[name]["status"] == b[name]["status"] == "ok" and b[name]["b"] == pytest.approx(a[name]["b"], rel=1e-8, abs=1e-8) and b[name]["a"] == pytest.approx(a[name]["a"], rel=1e-7)
+    assert len(passes) == 1
+    monkeypatch.setattr(fit, "by_moments", lambda pdf, steps: pdf[fit.SERIES].assign(trial=1.0))
+    c = {r["series"]: r for r in fit.fit_report(p.where("series in ('s0', 's3')"), large=0).collect()}
+    assert len(passes) > 3 and all(c[n]["b"] == pytest.approx(a[n]["b"], rel=1e-7, abs=1e-7) for n in c)
