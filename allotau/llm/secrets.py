@@ -24,6 +24,7 @@ Added spans never overlap base spans.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,6 +51,39 @@ CENTRE, PRIOR = 2.0, 100
 #: Variance of a normal variable that is known to be within CENTRE of 0.
 CENTRE_VARIANCE = 0.7737
 MASK = "<SECRET>"
+#: Values that one fold runs over, and how often runs are gathered to runs; characters that masked texts are cut from; beyond all positions.
+RUN, LEVELS, PART, FAR = 100, 2, 1024, 2**31 - 1
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, wherever body uses it; within lambdas, too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def before_each(values: Column, op: Callable[[Column, Column], Column], first: int, levels: int = LEVELS) -> Column:
+    """op over `first` and all earlier values, for each value of an array of integers; op is associative, first its neutral value.
+
+    A fold copies what it has gathered at each step, so it only runs over RUN values; what
+    comes before a run is found in the same way from the runs' own values.
+    """
+
+    def fold(run: Column, start: Column) -> Column:
+        none = F.array().cast("array<int>")
+        step = lambda acc, x: F.struct(op(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out"))
+        return F.aggregate(run, F.struct(start.alias("now"), none.alias("out")), step, lambda acc: acc["out"])
+
+    if not levels:
+        return fold(values, F.lit(first))
+
+    def by_runs(runs: Column) -> Column:
+        own = F.transform(runs, lambda run: F.aggregate(run, F.lit(first), lambda a, x: op(a, x)))
+        return F.flatten(F.zip_with(runs, before_each(own, op, first, levels - 1), fold))
+
+    def cut(v: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int"))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(v, k * RUN + 1, F.lit(RUN)))
+
+    return let(let(values, cut), by_runs)
 
 
 def located(text: Column, pattern: str, group: int = 0) -> Column:
@@ -58,14 +92,10 @@ def located(text: Column, pattern: str, group: int = 0) -> Column:
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     lengths = F.zip_with(F.transform(gaps, F.length), F.transform(whole, F.length), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    none = F.array().cast("array<struct<s:int,e:int>>")
-    ends = F.aggregate(
-        F.slice(lengths, F.lit(1), F.size(whole)),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x["g"] + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + x["m"]).alias("e")))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    found = F.zip_with(ends, part, lambda p, x: F.struct(p["s"].alias("start"), p["e"].alias("end"), x.alias("part")))
+    matches = F.slice(lengths, F.lit(1), F.size(whole))
+    starts = before_each(F.transform(matches, lambda x: x["g"] + x["m"]), lambda x, y: x + y, 0)
+    spans = F.zip_with(matches, starts, lambda x, at: F.struct((at + x["g"]).alias("s"), (at + x["g"] + x["m"]).alias("e")))
+    found = F.zip_with(spans, part, lambda p, x: F.struct(p["s"].alias("start"), p["e"].alias("end"), x.alias("part")))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,part:string>>"))
 
 
@@ -154,16 +184,29 @@ def tail(z: Column) -> Column:
     return F.exp(-z * z / 2) / math.sqrt(2 * math.pi) / (0.661 * z + 0.339 * F.sqrt(z * z + 5.51))
 
 
-def apart(base: Column, c: Column) -> Column:
-    """Does c overlap none of the base spans?"""
-    return ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+def apart(base: Column, found: Column) -> Column:
+    """Those of found, in order of start, that overlap none of the base spans: by the ends of those that begin before, and the beginnings of those behind."""
+
+    def clear(events: Column) -> Column:
+        ends = before_each(F.transform(events, lambda e: F.when(e["base"] == 1, e["end"]).otherwise(-1)), F.greatest, -1)
+        begins = F.reverse(before_each(F.transform(F.reverse(events), lambda e: F.when(e["base"] == 1, e["at"]).otherwise(FAR)), F.least, FAR))
+        near = F.zip_with(ends, begins, lambda end, at: F.struct(end.alias("end"), at.alias("at")))
+        both = F.zip_with(events, near, lambda e, n: F.struct(e["base"].alias("base"), ((n["end"] <= e["at"]) & (n["at"] >= e["end"])).alias("clear")))
+        return F.transform(F.filter(both, lambda x: x["base"] == 0), lambda x: x["clear"])
+
+    def event(is_base: int) -> Callable[[Column], Column]:
+        return lambda s: F.struct(s["start"].alias("at"), F.lit(is_base).alias("base"), s["end"].alias("end"))
+
+    events = F.array_sort(F.concat(F.transform(base, event(1)), F.transform(found, event(0))))
+    kept = F.filter(F.zip_with(found, let(events, clear), lambda c, ok: F.struct(c.alias("c"), ok.alias("ok"))), lambda x: x["ok"])
+    return F.when((F.size(base) > 0) & (F.size(found) > 0), F.transform(kept, lambda x: x["c"])).otherwise(found)
 
 
 def scored_tokens(docs: DataFrame) -> DataFrame:
     """class, bin (null if randomness is rejected) and number of the tokens that no fixed pattern names; LENGTH_CLASSES x 2 BINS rows at most."""
     found = docs.select(F.coalesce("text", F.lit("")).alias("text")).select("text", candidates(F.col("text")).alias("found"))
     base = F.when(F.size("found") > 0, base_spans(F.col("text"))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
-    tokens = found.select("found", base.alias("base")).select(F.explode(F.filter("found", lambda c: apart(F.col("base"), c))).alias("c"))
+    tokens = found.select("found", base.alias("base")).select(F.explode(apart(F.col("base"), F.col("found"))).alias("c"))
     kept = tokens.select(length_class(F.col("c.length")).alias("class"), F.floor(F.least(F.greatest(F.col("c.test.z") / BIN, F.lit(float(-BINS))), F.lit(float(BINS)))).alias("bin"))
     return kept.groupBy("class", "bin").agg(F.count(F.lit(1)).alias("n"))
 
@@ -192,7 +235,7 @@ def all_spans(text: Column, base: Column, least: list[float]) -> Column:
                 out = out | ((length_class(c["length"]) == i) & (c["test"]["z"] >= x))
         return F.coalesce(out, F.lit(False))
 
-    return F.array_sort(F.concat(base, as_spans(F.filter(candidates(text), lambda c: enough(c) & apart(base, c)), 3)))
+    return F.array_sort(F.concat(base, as_spans(let(F.filter(candidates(text), enough), lambda found: apart(base, found)), 3)))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -209,16 +252,19 @@ def printed(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """text with each span, or run of overlapping spans, replaced by MASK."""
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+    """text with each span, or run of overlapping spans, replaced by MASK. What stays is cut out of PART characters each, not of the whole text."""
+
+    def cut(parts: Column, gap: Column) -> Column:
+        first, last = F.floor(gap["from"] / PART).cast("int"), F.floor((gap["to"] - 1) / PART).cast("int")
+        size, at = gap["to"] - gap["from"], gap["from"] % PART + 1
+        far = F.concat(F.substring(F.get(parts, first), at, F.lit(PART)), F.array_join(F.slice(parts, first + 2, last - first - 1), ""), F.substring(F.get(parts, last), F.lit(1), (gap["to"] - 1) % PART + 1))
+        return F.when(size <= 0, "").when(first == last, F.substring(F.get(parts, first), at, size)).otherwise(far)
+
+    end = F.struct(F.length(text).alias("start"), F.lit(0).alias("kind"), F.length(text).alias("end"))
+    every = F.concat(spans, F.array(end))
+    gaps = F.zip_with(before_each(F.transform(every, lambda s: s["end"]), F.greatest, 0), every, lambda at, s: F.struct(at.alias("from"), s["start"].alias("to")))
+    state = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)).alias("parts"), F.filter(gaps, lambda g: g["from"] <= g["to"]).alias("gaps"))
+    done = let(state, lambda st: F.array_join(F.transform(st["gaps"], lambda g: cut(st["parts"], g)), MASK))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
