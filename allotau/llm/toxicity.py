@@ -5,9 +5,11 @@ endings, that many different contexts of toxic texts hold and clean ones don't.
 are counted, not texts, so that copies of one text teach no more than the text.) Only
 counts of words come to the driver, and only of the HEADS best that pass.
 
-Misspellings: a term's length allows it up to two edits, a stem's within its own letters.
-How many of them a term gets is decided by the labelled sample: as many as clean texts hold
-no words at that distance, to a rate of FUZZY_CLEAN.
+Misspellings: a term's length allows it up to two edits (a letter more, less or another, or
+two neighbours swapped), a stem's within its own letters. A word that clean texts of the
+sample hold is no misspelling, however near it is to a term. How many edits a term gets is
+decided by halves of the sample: as many as clean texts of one half hold no words at that
+distance which those of the other don't, to a rate of FUZZY_CLEAN.
 
 Matching: the trie and the Levenshtein automaton of each term are run together as one
 deterministic automaton, made once on the driver by the subset construction, and broadcast
@@ -17,7 +19,8 @@ single signs such as * or @ between them.
 
 Context: a hit within quotation marks, or in a sentence with a word of reporting near it,
 counts as quoted. Hits, exact or misspelled, quoted or not, feed a logistic regression with
-a prior, fitted on the labelled sample and on its toxic texts with their hits misspelt.
+a prior, fitted on the labelled sample, on its toxic texts with their hits misspelt and on
+its clean ones with other words misspelt; a misspelt hit weighs no more than an exact one.
 
 Defined results: a null or empty text has no hits and the score of such a text; repeated
 rows each give a row, and teach once; a doc_id labelled twice counts as toxic if any label
@@ -56,8 +59,10 @@ HEADS, STATES = 20_000, 150_000
 #: A term needs so many contexts in toxic texts, and this share of them at most in clean ones.
 CONTEXTS, CLEAN_SHARE = 4, 0.08
 #: Edits by length of the term: (least length, edits). Share of clean texts that may hold a word at such a distance.
-EDITS = ((10, 2), (5, 1), (0, 0))
-FUZZY_CLEAN = 1e-4
+EDITS = ((10, 2), (4, 1), (0, 0))
+FUZZY_CLEAN = 3e-4
+#: Words of clean texts near terms that go to the tasks, at most, those of most texts first. In clean texts, one long word of so many is misspelt.
+CLEAN_WORDS, MISSPELL_EVERY = 50_000, 7
 #: Weight of a toxic text of the sample with its hits misspelt, beside the text itself.
 PLANTED = 0.25
 #: Share of the toxic texts that a learnt term is in, at least.
@@ -110,7 +115,7 @@ def automaton(terms: list[Term]) -> Automaton:
 
     def closed(state: dict[int, int]) -> frozenset:
         """With letters of the term left out of the word; stems that are reached stay reached (as -1 - term)."""
-        todo = list(state.items())
+        todo = [x for x in state.items() if not isinstance(x[0], tuple)]
         while todo:
             node, e = todo.pop()
             if node < 0:
@@ -125,19 +130,26 @@ def automaton(terms: list[Term]) -> Automaton:
         return frozenset(state.items())
 
     def step(state: frozenset, c: str) -> frozenset:
-        new: dict[int, int] = {}
+        new: dict = {}
 
         def reach(node: int, e: int) -> None:
             if e <= (most[node] if node >= 0 else 9) and new.get(node, 99) > e:
                 new[node] = e
 
         for node, e in state:
+            if isinstance(node, tuple):  # the second of two swapped letters must be this one
+                if node[1] == c:
+                    reach(node[0], e)
+                continue
             if node < 0:
                 reach(node, e)
                 continue
             reach(node, e + 1)  # a letter too many
             for x, child in children[node].items():
                 reach(child, e + (x != c))
+                behind = children[child].get(c)
+                if behind is not None and x != c and e + 1 <= most[behind] and new.get((behind, x), 99) > e + 1:
+                    new[behind, x] = e + 1
         return closed(new)
 
     start = closed({0: 0})
@@ -155,7 +167,10 @@ def automaton(terms: list[Term]) -> Automaton:
 
     for state in order:
         row = [to(state, "")] * (len(symbols) + 1)  # a letter that no way on has
-        for c in {c for node, _ in state if node >= 0 for c in children[node]}:
+        nodes = [node for node, _ in state if not isinstance(node, tuple) and node >= 0]
+        # letters on the way, the next but one for a swap, and the one that a swap waits for
+        ways = {c for node in nodes for c in children[node]} | {c for node in nodes for child in children[node].values() for c in children[child]}
+        for c in sorted(ways | {node[1] for node, _ in state if isinstance(node, tuple)}):
             row[column[c]] = to(state, c)
         rows.append(row)
         if len(rows) > STATES and max(most) > 1:
@@ -163,9 +178,10 @@ def automaton(terms: list[Term]) -> Automaton:
     kind, final = np.zeros(len(rows), np.int32), np.zeros(len(rows), np.int32)
     matches: list[tuple[tuple[int, int], ...]] = [()] * len(rows)
     for state, i in number.items():
-        hits = [(e, -1 - node) for node, e in state if node < 0]
+        at = [(node, e) for node, e in state if not isinstance(node, tuple)]
+        hits = [(e, -1 - node) for node, e in at if node < 0]
         final[i] = any(e == 0 for e, _ in hits)
-        hits += [(e, k) for node, e in state if node >= 0 for k in ends[node] if e <= terms[k].edits]
+        hits += [(e, k) for node, e in at if node >= 0 for k in ends[node] if e <= terms[k].edits]
         if hits:
             matches[i] = tuple(sorted(hits))
             kind[i] = 1 + matches[i][0][0]
@@ -173,8 +189,8 @@ def automaton(terms: list[Term]) -> Automaton:
 
 
 class Matcher:
-    def __init__(self, a: Automaton) -> None:
-        self.a = a
+    def __init__(self, a: Automaton, clean: frozenset[str] = frozenset()) -> None:
+        self.a, self.clean = a, clean
         self.symbol = np.full(0x110000, len(a.symbols), np.int32)
         for i, c in enumerate(a.symbols):
             self.symbol[ord(c)] = i
@@ -199,7 +215,8 @@ class Matcher:
             found += [(int(w), int(s)) for w, s in zip(live[over], state[over], strict=True)]
             on = (state > 0) & (size[live] > i) & ~over
             live, state = live[on], state[on]
-        return [(int(start[w]), int(start[w] + size[w]), s) for w, s in sorted(found)]
+        hits = [(int(start[w]), int(start[w] + size[w]), s) for w, s in sorted(found)]
+        return [(a, b, s) for a, b, s in hits if self.a.kind[s] == 1 or text[a:b] not in self.clean]
 
 
 def is_quoted(text: str, start: int, end: int) -> bool:
@@ -259,6 +276,7 @@ def fit_weights(counts: np.ndarray, y: np.ndarray, times: np.ndarray | None = No
         step = np.linalg.solve(curve, slope)
         w = w - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
     w[1:] = np.maximum(w[1:], 0.0)
+    w[[2, 4]] = np.minimum(w[[2, 4]], w[[1, 3]])
     return w
 
 
@@ -302,6 +320,7 @@ class Model:
     terms: list[Term]
     automaton: Automaton
     weights: np.ndarray
+    clean: frozenset[str]
 
 
 def misspelt(text: str, words: list[tuple[int, int]]) -> str:
@@ -313,62 +332,84 @@ def misspelt(text: str, words: list[tuple[int, int]]) -> str:
     return low
 
 
-def seen_in(sample: DataFrame, terms: list[Term]) -> tuple[Automaton, pd.DataFrame, pd.DataFrame]:
-    """Automaton of the terms; texts of the sample by (toxic, planted, counts by FEATURES), and by (toxic, term, edits).
+def seen_in(sample: DataFrame, terms: list[Term], clean: frozenset[str] = frozenset()) -> tuple[Automaton, DataFrame]:
+    """Automaton of the terms; a row for each text of the sample: toxic, planted, half (0 or 1), n (counts by FEATURES), hits (4 * term + edits), and of clean texts the words (hit, word) that aren't exact.
 
-    Planted rows are toxic texts with their exact hits misspelt, as far as they are still found.
+    Planted rows are texts that are misspelt: toxic ones in their exact hits, clean ones in some of their long words.
     """
     made = automaton(terms)
-    shared = sample.sparkSession.sparkContext.broadcast(made)
+    shared = sample.sparkSession.sparkContext.broadcast((made, clean))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(shared.value)
+        matcher = Matcher(*shared.value)
         for pdf in batches:
             texts, toxic = pdf["text"].tolist(), pdf["toxic"].to_numpy()
             n, found = count_hits(matcher, texts)
             hits: list[set[int]] = [set() for _ in n]
+            near: list[set[tuple[int, str]]] = [set() for _ in n]
             exact: dict[int, list[tuple[int, int]]] = {}
             for of, start, end, state in found:
                 hits[of].update(term * 4 + e for e, term in matcher.a.matches[state])
                 if toxic[of] == 1 and matcher.a.kind[state] == 1:
                     exact.setdefault(of, []).append((start, end))
-            yield pd.DataFrame({"toxic": toxic, "planted": 0, "n": n.tolist(), "hits": [sorted(h) for h in hits]})
-            again, _ = count_hits(matcher, [misspelt(texts[of], words) for of, words in exact.items()])
-            again = again[again.sum(axis=1) > 0]
-            if len(again):
-                yield pd.DataFrame({"toxic": 1, "planted": 1, "n": again.tolist(), "hits": [[] for _ in again]})
+                if toxic[of] == 0 and matcher.a.kind[state] > 1:
+                    word = texts[of].lower()[start:end]
+                    near[of].update((term * 4 + e, word) for e, term in matcher.a.matches[state])
+            words = [[{"hit": h, "word": w} for h, w in sorted(x)] for x in near]
+            yield pd.DataFrame({"toxic": toxic, "planted": 0, "half": pdf["half"], "n": n.tolist(), "hits": [sorted(h) for h in hits], "words": words})
+            fine = {of: [m.span() for m in re.finditer(r"\w{5,}", (texts[of] or "").lower())][::MISSPELL_EVERY] for of in np.flatnonzero(toxic == 0)}
+            planted = exact | fine
+            again, _ = count_hits(matcher, [misspelt(texts[of] or "", words) for of, words in planted.items()])
+            for y in (0, 1):
+                own = again[[toxic[of] == y for of in planted]] if planted else again
+                own = own[own.sum(axis=1) > 0] if y else own
+                if len(own):
+                    yield pd.DataFrame({"toxic": y, "planted": 1, "half": 0, "n": own.tolist(), "hits": [[] for _ in own], "words": [[] for _ in own]})
+
+    halves = sample.select("text", F.col("toxic").cast("int"), F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
+    return made, B.written(halves.mapInPandas(run, "toxic int, planted int, half int, n array<double>, hits array<int>, words array<struct<hit:int,word:string>>"), "hits")
+
 
-    got = B.written(sample.select("text", F.col("toxic").cast("int")).mapInPandas(run, "toxic int, planted int, n array<double>, hits array<int>"), "hits")
-    by_counts = got.groupBy("toxic", "planted", "n").agg(F.count(F.lit(1)).alias("texts")).orderBy("toxic", "planted", "n").toPandas()
-    by_term = got.select("toxic", F.explode("hits").alias("hit")).groupBy("toxic", "hit").agg(F.count(F.lit(1)).alias("texts")).toPandas()
-    return made, by_counts, by_term
+def counted(seen: DataFrame) -> pd.DataFrame:
+    """Texts by toxic, planted and n: a row for each kind of text."""
+    return seen.groupBy("toxic", "planted", "n").agg(F.count(F.lit(1)).alias("texts")).orderBy("toxic", "planted", "n").toPandas()
 
 
 def fit(sample: DataFrame) -> Model:
     """sample (text, toxic), of bounded size."""
     texts = {t.text: t for t in (Term(w, False, 0) for w in INSULTS)} | {t.text: t for t in learned_terms(sample)}
     ordered = [Term(t.text, t.stem, next(e for least, e in EDITS if len(t.text) >= least)) for _, t in sorted(texts.items())]
-    made, counts, by_term = seen_in(sample, ordered)
+    made, seen = seen_in(sample, ordered)
+    counts = counted(seen)
     own = counts["planted"] == 0
     toxic, clean = (int(counts.loc[own & (counts["toxic"] == y), "texts"].sum()) for y in (1, 0))
-    held = np.zeros((2, len(ordered), 4))  # texts by toxic, term, edits
+    held, fresh = np.zeros((2, len(ordered), 4)), np.zeros((len(ordered), 4))  # texts by toxic, term, edits; clean texts with a word that the other half doesn't hold
+    by_term = seen.select("toxic", F.explode("hits").alias("hit")).groupBy("toxic", "hit").agg(F.count(F.lit(1)).alias("texts")).toPandas()
     held[by_term["toxic"], by_term["hit"] // 4, by_term["hit"] % 4] = by_term["texts"]
+    words = seen.select("half", F.explode("words").alias("w")).select("half", "w.hit", "w.word").groupBy("hit", "word").agg(F.count(F.lit(1)).alias("texts"), F.count_distinct("half").alias("halves"))
+    words = B.written(words, "near")
+    unseen = words.where("halves = 1").groupBy("hit").agg(F.sum("texts").alias("texts")).toPandas()
+    fresh[unseen["hit"] // 4, unseen["hit"] % 4] = unseen["texts"]
     # a term that clean texts hold about as often as toxic ones says nothing; nor does a learnt term of very few toxic texts
     rates = held / np.maximum(1, np.array([clean, toxic]))[:, None, None]
     least = max(3.0, SUPPORT * toxic)
-    keep = []
+    keep, used = [], []
     for i, t in enumerate(ordered):
         if held[0, i, 0] >= 3 and rates[1, i, 0] < 4 * rates[0, i, 0] or t.text not in INSULTS and held[1, i, 0] < least:
             continue
         edits = 0
-        while edits < t.edits and held[0, i, 1 : 2 + edits].sum() <= FUZZY_CLEAN * clean:
+        while edits < t.edits and fresh[i, 1 : 2 + edits].sum() <= FUZZY_CLEAN * clean:
             edits += 1
         keep.append(Term(t.text, t.stem, edits))
-    if keep != ordered:
-        made, counts, _ = seen_in(sample, keep)
+        used += [4 * i + e for e in range(1, edits + 1)]
+    known = words.where(F.col("hit").isin(used)).groupBy("word").agg(F.sum("texts").alias("texts")).orderBy(F.desc("texts"), "word").limit(CLEAN_WORDS).collect() if used else []
+    clean_words = frozenset(r["word"] for r in known)
+    if keep != ordered or clean_words:
+        made, seen = seen_in(sample, keep, clean_words)
+        counts = counted(seen)
     n = np.array(counts["n"].tolist()).reshape(-1, len(FEATURES))
     times = counts["texts"].to_numpy(dtype=float) * np.where(counts["planted"] == 1, PLANTED, 1.0)
-    return Model(keep, made, fit_weights(n, (counts["toxic"].to_numpy() == 1).astype(float), times))
+    return Model(keep, made, fit_weights(n, (counts["toxic"].to_numpy() == 1).astype(float), times), clean_words)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
@@ -389,7 +430,7 @@ def score_of(text: Column, model: Model, spark: SparkSession) -> Column:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(shared.value.automaton)
+        matcher = Matcher(shared.value.automaton, shared.value.clean)
         for texts in batches:
             yield pd.Series(chance(shared.value.weights, count_hits(matcher, texts.tolist())[0]))
 
