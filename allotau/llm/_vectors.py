@@ -1,9 +1,11 @@
 """Search of query vectors in bounded shards of candidate vectors, for the two nearest-vector operators.
 
-Candidates and queries that go to the same shard meet in one partition, candidates first. A
-task takes its shards one after the other and holds one of them (its size is bounded by the
-caller), one batch of queries, and the best so far of HELD queries, so that it sends a
-query's best once, not once a shard.
+Shards are dealt over tasks. A query goes once to each task that has shards it asks for,
+with their list, however many they are. Queries come in blocks of HELD at the most, each
+with tasks of its own: a task holds its block and the best so far of its queries, while its
+shards go by one after the other, of which it holds one (its size is bounded by the
+caller). So a query is copied once a task, a candidate once a block, and a task sends a
+query's best once.
 
 Every row has a number (`row`), by which a query leaves out itself alone: other rows of its
 vec_id, or of its vector, are candidates as any.
@@ -23,7 +25,7 @@ from allotau.llm import _base as B
 
 #: Queries answered at once.
 QUERY_BATCH = 512
-#: Queries whose best a task holds; beyond, it sends them on and begins anew.
+#: Queries of a block.
 HELD = 100_000
 NONE = np.iinfo(np.int64).max
 
@@ -39,10 +41,10 @@ def numbered(rows: DataFrame) -> DataFrame:
     return B.written(kept.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), "v"), "vectors")
 
 
-def matrix(vectors: pd.Series, dim: int) -> np.ndarray:
+def matrix(vectors: pd.Series | np.ndarray, dim: int) -> np.ndarray:
     """Rows of doubles, short vectors filled up with zeros, components beyond dim left out."""
     try:
-        out = np.stack(vectors.to_numpy()).astype(float)
+        out = np.stack(np.asarray(vectors)).astype(float)
         if out.shape[1] == dim:
             return out
     except ValueError:
@@ -83,90 +85,113 @@ class Best:
 Search = Callable[[np.ndarray, np.ndarray, Best], None]
 
 
-def layout(stored: DataFrame, part: str, shard_rows: int) -> tuple[DataFrame, int]:
-    """stored has `part`, of few values -> (part, first, salts), number of shards: each part is dealt over so many shards that none holds much more than shard_rows."""
+Spans = dict[int, tuple[int, int]]
+
+
+def layout(stored: DataFrame, part: str, shard_rows: int) -> tuple[Spans, int]:
+    """stored has `part`, of few values -> (first shard, number of shards) of each, number of all shards: each part is dealt over so many shards that none holds much more than shard_rows."""
     counts = {r[part]: r["n"] for r in stored.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a part
-    rows, shards = [], 0
+    spans, shards = {}, 0
     for p in sorted(counts):
-        rows.append((p, shards, math.ceil(counts[p] / shard_rows)))
-        shards += rows[-1][2]
-    return stored.sparkSession.createDataFrame(rows, f"{part} int, first int, salts int"), shards
+        spans[p] = (shards, math.ceil(counts[p] / shard_rows))
+        shards += spans[p][1]
+    return spans, shards
 
 
-def dealt(stored: DataFrame, part: str, places: DataFrame) -> DataFrame:
+def dealt(stored: DataFrame, part: str, spans: Spans) -> DataFrame:
     """row, vec_id, v, shard of the candidates; the rows of a part go to its shards by a hash."""
+    places = stored.sparkSession.createDataFrame([(p, *x) for p, x in spans.items()], f"{part} int, first int, salts int")
     return stored.join(F.broadcast(places), part).select("row", "vec_id", "v", (F.col("first") + F.pmod(F.xxhash64("row"), F.col("salts"))).cast("int").alias("shard"))
 
 
-def sent(asked: DataFrame, part: str, places: DataFrame) -> DataFrame:
-    """row, vec_id, v, kth, shard of the queries: every shard of the parts they ask for."""
-    return asked.join(F.broadcast(places), part).select("row", "vec_id", "v", "kth", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("salts") - 1)).alias("shard"))
+def by_tasks(asked: DataFrame, spans: Spans, tasks: int) -> DataFrame:
+    """asked (row, vec_id, v, kth, parts) -> row, vec_id, v, kth, task, shards: a row for each task that has shards of the parts asked for."""
+    shared = asked.sparkSession.sparkContext.broadcast(spans)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            which, task, shards = [], [], []
+            for i, parts in enumerate(pdf["parts"]):
+                every = [np.arange(f, f + n) for f, n in (shared.value[p] for p in parts if p in shared.value)]
+                ids = np.concatenate(every) if every else np.zeros(0, np.int64)
+                ids = ids[np.argsort(ids % tasks, kind="stable")]
+                for some in np.split(ids, np.flatnonzero(np.diff(ids % tasks)) + 1) if len(ids) else ():
+                    which.append(i)
+                    task.append(int(some[0] % tasks))
+                    shards.append(some.astype(np.int32))
+            if which:
+                yield pdf[["row", "vec_id", "v", "kth"]].iloc[which].assign(task=task, shards=shards)
+
+    return asked.select("row", "vec_id", "v", F.col("kth").cast("double").alias("kth"), "parts").mapInPandas(run, "row long, vec_id long, v array<double>, kth double, task int, shards array<int>")
 
 
-def search_shards(candidates: DataFrame, queries: DataFrame, shards: int, make: Callable[[np.ndarray, np.ndarray, np.ndarray], Search], score: str, k: int) -> DataFrame:
-    """candidates (shard, row, vec_id, v), queries (shard, row, vec_id, v, kth) -> query_row, query_id, vec_id, score.
+def search_shards(candidates: DataFrame, asked: DataFrame, spans: Spans, shards: int, queries: int, make: Callable[[np.ndarray, np.ndarray, np.ndarray], Search], score: str, k: int) -> DataFrame:
+    """candidates (shard, row, vec_id, v), asked (row, vec_id, v, kth, parts), of so many queries -> query_row, query_id, vec_id, score.
 
     make(rows, ids, vectors) gives the search of a shard. A task returns at most k rows a
-    query (more only if it meets more than HELD queries), none that scores below its kth.
+    query, none that scores below its kth.
     """
-    both = candidates.select("shard", F.lit(0).alias("kind"), "row", "vec_id", "v", F.lit(None).cast("double").alias("kth"))
-    both = both.unionByName(queries.select("shard", F.lit(1).alias("kind"), "row", "vec_id", "v", F.col("kth").cast("double").alias("kth")))
     tasks = max(1, min(shards, int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    both = both.repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard", "kind", "row")
+    blocks = max(1, math.ceil(queries / HELD))
+    none = F.lit(None)
+    own = by_tasks(asked, spans, tasks).select((F.pmod(F.xxhash64("row"), F.lit(blocks)) * tasks + F.col("task")).alias("place"), F.lit(-1).alias("shard"), "row", "vec_id", "v", "kth", "shards")
+    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    rows = candidates.select("shard", "row", "vec_id", "v", block).select((F.col("block") * tasks + F.pmod("shard", F.lit(tasks))).cast("long").alias("place"), "shard", "row", "vec_id", "v", none.cast("double").alias("kth"), none.cast("array<int>").alias("shards"))
+    both = own.unionByName(rows).repartitionById(tasks * blocks, F.col("place").cast("int")).sortWithinPartitions("shard", "row")
     score_type = np.int64 if score == "long" else float
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, held, search, dim = None, [], None, 0
-        waiting: list[pd.DataFrame] = []
-        bests: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}  # by row of the query: its id, scores, ids
-
-        def all_bests() -> Iterator[pd.DataFrame]:
-            rows = list(bests)
-            for i in range(0, len(rows), 10_000):
-                some = [bests[r] for r in rows[i : i + 10_000]]
-                scores, ids = np.stack([s for _, s, _ in some]), np.stack([x for _, _, x in some])
-                q, r = np.nonzero((ids != NONE) & (scores > -np.inf))
-                yield pd.DataFrame({"query_row": np.array(rows[i : i + 10_000])[q], "query_id": np.array([x for x, _, _ in some])[q], "vec_id": ids[q, r], "score": scores[q, r].astype(score_type)})
-            bests.clear()
-
-        def answer() -> Iterator[pd.DataFrame]:
-            nonlocal search, held, dim, waiting
-            if not waiting:
-                return
-            if search is None and held:
-                rows = pd.concat(held, ignore_index=True)
-                dim = max(map(len, rows["v"]))
-                search, held = make(rows["row"].to_numpy(), rows["vec_id"].to_numpy(), matrix(rows["v"], dim)), []
-            pdf, waiting = pd.concat(waiting, ignore_index=True), []
-            if search is None:
+        shard, held, block = None, [], []
+        rows = ids = vectors = best = None
+        askers: dict[int, list[int]] = {}
+
+        def begin() -> None:
+            """Queries come before all shards."""
+            nonlocal rows, ids, vectors, best
+            pdf = pd.concat(block, ignore_index=True) if block else pd.DataFrame({c: [] for c in ("row", "vec_id", "v", "kth", "shards")})
+            block.clear()
+            rows, ids, best = pdf["row"].to_numpy(np.int64), pdf["vec_id"].to_numpy(np.int64), Best(len(pdf), k)
+            kth = pdf["kth"].to_numpy(dtype=float)
+            best.scores[:] = np.nextafter(np.where(np.isnan(kth), -np.inf, kth), -np.inf)[:, None]  # what ties with the kth may still take its place
+            vectors = matrix(pdf["v"], max(map(len, pdf["v"]), default=1))
+            for i, some in enumerate(pdf["shards"]):
+                for s in some:
+                    askers.setdefault(int(s), []).append(i)
+
+        def answer() -> None:
+            if not held or shard not in askers:
+                held.clear()
                 return
-            rows, best = pdf["row"].to_numpy(), Best(len(pdf), k)
-            kth = pdf["kth"].fillna(-np.inf).to_numpy(dtype=float)
-            best.scores[:] = np.nextafter(kth, -np.inf)[:, None]  # what ties with the kth may still take its place
-            for i, r in enumerate(rows.tolist()):
-                if r in bests:
-                    _, best.scores[i], best.ids[i] = bests[r]
-            search(rows, matrix(pdf["v"], dim), best)  # components beyond dim meet zeros
-            for i, (r, query_id) in enumerate(zip(rows.tolist(), pdf["vec_id"].tolist(), strict=True)):
-                bests[r] = query_id, best.scores[i], best.ids[i]
-            if len(bests) > HELD:
-                yield from all_bests()
+            some = pd.concat(held, ignore_index=True)
+            held.clear()
+            dim = max(map(len, some["v"]))
+            search = make(some["row"].to_numpy(), some["vec_id"].to_numpy(), matrix(some["v"], dim))
+            which = np.array(askers[shard])
+            for i in range(0, len(which), QUERY_BATCH):
+                at = which[i : i + QUERY_BATCH]
+                now = Best(len(at), k)
+                now.scores, now.ids = best.scores[at], best.ids[at]
+                search(rows[at], matrix(vectors[at], dim), now)  # components beyond dim meet zeros
+                best.scores[at], best.ids[at] = now.scores, now.ids
 
         for batch in batches:
             for s, of_shard in batch.groupby("shard", sort=False):
+                if s < 0:
+                    block.append(of_shard)
+                    continue
+                if best is None:
+                    begin()
                 if s != shard:
-                    yield from answer()
-                    shard, held, search = s, [], None
-                kind = of_shard["kind"].to_numpy()
-                if (kind == 0).any():
-                    held.append(of_shard.loc[kind == 0, ["row", "vec_id", "v"]])
-                asked = of_shard[kind == 1]
-                for i in range(0, len(asked), QUERY_BATCH):
-                    waiting.append(asked.iloc[i : i + QUERY_BATCH])
-                    if sum(map(len, waiting)) >= QUERY_BATCH:
-                        yield from answer()
-        yield from answer()
-        yield from all_bests()
+                    answer()
+                    shard = s
+                held.append(of_shard[["row", "vec_id", "v"]])
+        if best is None:
+            return
+        answer()
+        for i in range(0, len(rows), 10_000):
+            scores, found = best.scores[i : i + 10_000], best.ids[i : i + 10_000]
+            q, r = np.nonzero((found != NONE) & (scores > -np.inf))
+            yield pd.DataFrame({"query_row": rows[i + q], "query_id": ids[i + q], "vec_id": found[q, r], "score": scores[q, r].astype(score_type)})
 
     return both.mapInPandas(run, f"query_row long, query_id long, vec_id long, score {score}")
 

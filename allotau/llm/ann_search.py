@@ -175,9 +175,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, fit_rows: int =
     dim = max(map(len, sample), default=1) or 1
     router = fit(V.matrix(sample, dim), parts, k)
     stored = B.written(parts_of(vectors, router, 1, "parts").select("row", "vec_id", "v", F.col("parts")[0].alias("part")), "ann")
-    places, shards = V.layout(stored, "part", shard_rows)
-    asked = parts_of(queries, router, router.probes, "parts").select("row", "vec_id", "v", F.lit(None).alias("kth"), F.explode("parts").alias("part"))
-    return V.best_of(V.search_shards(V.dealt(stored, "part", places), V.sent(asked, "part", places), shards, make_flat, "double", k), k)
+    spans, shards = V.layout(stored, "part", shard_rows)
+    asked = parts_of(queries, router, router.probes, "parts").withColumn("kth", F.lit(None).cast("double"))
+    return V.best_of(V.search_shards(V.dealt(stored, "part", spans), asked, spans, shards, queries.count(), make_flat, "double", k), k)
 
 
 def op7_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,7 +177,7 @@ def boxes(stored: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def asked_regions(queries: DataFrame, found: tuple[np.ndarray, np.ndarray, np.ndarray], dim: int, first: int, last: int | None) -> DataFrame:
-    """queries (row, vec_id, v, kth) by region: those of the ranks first to last, by bound, whose bound reaches the kth score."""
+    """queries (row, vec_id, v, kth) with the array `parts` of regions: those of the ranks first to last, by bound, whose bound reaches the kth score."""
     shared = queries.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,10 +188,9 @@ def asked_regions(queries: DataFrame, found: tuple[np.ndarray, np.ndarray, np.nd
                 bounds = box_bounds(V.matrix(part["v"], dim), low, high)
                 order = np.argsort(-bounds, axis=1, kind="stable")[:, first:last]
                 reach = np.take_along_axis(bounds, order, axis=1) >= part["kth"].fillna(-np.inf).to_numpy(dtype=float)[:, None]
-                yield part.assign(regions=[names[o[r]].astype(np.int32) for o, r in zip(order, reach, strict=True)])
+                yield part.assign(parts=[names[o[r]].astype(np.int32) for o, r in zip(order, reach, strict=True)])
 
-    got = queries.select("row", "vec_id", "v", "kth").mapInPandas(run, "row long, vec_id long, v array<double>, kth double, regions array<int>")
-    return got.select("row", "vec_id", "v", "kth", F.explode("regions").alias("region"))
+    return queries.select("row", "vec_id", "v", "kth").mapInPandas(run, "row long, vec_id long, v array<double>, kth double, parts array<int>")
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -202,8 +201,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows:
     dim = vectors.agg(F.max(F.size("v"))).first()[0] or 1
     stored = B.written(regions_of(vectors, median_splits(V.matrix(sample, dim), levels), dim), "regions")
     found = boxes(stored, dim)
-    places, shards = V.layout(stored, "region", shard_rows)
-    placed, best = V.dealt(stored, "region", places), None
+    spans, shards = V.layout(stored, "region", shard_rows)
+    placed, best, asking = V.dealt(stored, "region", spans), None, queries.count()
     for first, last in TURNS:
         if best is not None and first >= len(found[0]):
             break
@@ -212,7 +211,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows:
         else:
             kth = best.where(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").cast("double").alias("kth"))
             asked = queries.join(kth, "row", "left")
-        got = V.search_shards(placed, V.sent(asked_regions(asked, found, dim, first, last), "region", places), shards, make_tree, "long", k)
+        got = V.search_shards(placed, asked_regions(asked, found, dim, first, last), spans, shards, asking, make_tree, "long", k)
         best = V.best_of(got if best is None else best.drop("rank").unionByName(got), k)
         best = B.written(best, "best")
     return best
