@@ -15,7 +15,8 @@ and pages laid out at random by `skeleton`, which has layouts that a table may l
 Pages are read in one pass whose time is in proportion to their length, whatever is broken
 in them: open tags are counted and their places kept, so no tag looks through the open ones.
 
-Defined results: a null or empty html, or one without text, gives an empty text; broken
+Defined results: a null or empty html, or one without text, gives an empty text; text without
+any element is the article; broken
 markup is read as browsers do in the main cases (unclosed and stray tags, a head without an
 end); a quote counts after '=' only; if no '>' outside of quotes follows a tag, it and all later
 ones end at their first '>'; what follows the last '>' is text; very long pages are read whole; repeated rows each give a row; extra
@@ -373,8 +374,10 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = TREES)
 
 
 def decode(page: Page, odds: np.ndarray) -> list[int]:
-    """The runs kept by the labelling of largest total log-odds in which nothing below a dropped node is kept. The body is kept."""
+    """The runs kept by the labelling of largest total log-odds in which nothing below a dropped node is kept. The body is kept; of a page without any other element, all."""
     n = len(page.tag)
+    if all(t == "#run" for t in page.tag[1:]):
+        return [i for i in range(n) if page.text[i]]
     keep, drop = odds.tolist(), [0.0] * n
     for i in range(n - 1, 0, -1):
         keep[page.parent[i]] += max(keep[i], 0.0)
@@ -439,9 +442,14 @@ def skeleton(seed: int) -> str:
         lambda: f"<section><h3>{words(1, 3)}</h3>{links(3, 7)}</section>",
         ad,
     ]
+    def shown() -> list[str]:
+        code = "\n".join(words(1, 6) for _ in range(r.randint(1, 8)))
+        defined = "".join(f"<dt>{words(1, 3)[:-1]}</dt><dd>{words(2, 25)}</dd>" for _ in range(r.randint(1, 5)))
+        return [f"<pre>{r.choice([code, words(1, 1)[:3], f'<code>{code}</code>'])}</pre>", f"<dl>{defined}</dl>", f'<figure><img src="x"><figcaption>{words(2, 20)}</figcaption></figure>']
+
     body = f"<h1>{words(2, 10)}</h1>"
     for _ in range(r.randint(1, 5)):
-        body += r.choice([paragraphs(1, 4), paragraphs(2, 6), f"<h2>{words(1, 6)}</h2>{paragraphs(1, 3)}", f"<ul>{''.join(f'<li>{words(2, 15)}</li>' for _ in range(r.randint(2, 6)))}</ul>", f"<blockquote><p>{words(4, 40)}</p></blockquote>", f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr></table>", f"<p>{words(4, 30)} <a href='#'>{words(1, 4)}</a> {words(4, 30)}</p>"])
+        body += r.choice([paragraphs(1, 4), paragraphs(2, 6), f"<h2>{words(1, 6)}</h2>{paragraphs(1, 3)}", f"<ul>{''.join(f'<li>{words(2, 15)}</li>' for _ in range(r.randint(2, 6)))}</ul>", f"<blockquote><p>{words(4, 40)}</p></blockquote>", f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr></table>", f"<p>{words(4, 30)} <a href='#'>{words(1, 4)}</a> {words(4, 30)}</p>", *shown()])
         if r.random() < 0.25:
             body += r.choice([ad, share])()
     wrap = r.choice(["article", "article", "main", "div", "div", "section"])

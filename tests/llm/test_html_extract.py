@@ -80,6 +80,19 @@ def test_laid_out_pages_held_out(model):
     assert hit / (hit + extra) > 0.97 and hit / (hit + lost) > 0.97
 
 
+@pytest.mark.parametrize("wrap", ["article", "div", "div class='content'"])
+def test_code_definitions_and_captions_stay(model, wrap):
+    tag = wrap.split()[0]
+    inner = f"<h1>Title of it</h1><p>{LONG}</p><pre>x=1</pre><p>{LONG}</p><dl><dt>Term</dt><dd>what the term means here</dd></dl><figure><img src=a><figcaption>A view of the sea</figcaption></figure><p>{LONG}</p>"
+    got = text(model, f"<body><nav><a href=a>one</a> <a href=b>two</a></nav><{wrap}>{inner}</{tag}><footer><p>(c) all rights</p></footer></body>").split("\n\n")
+    long = " ".join(LONG.split())
+    assert got == ["Title of it", long, "x=1", long, "Term", "what the term means here", "A view of the sea", long]
+
+
+def test_text_without_any_element(model):
+    assert text(model, "just &amp; some\n text") == "just & some text" and text(model, "<html><body>plain</body></html>") == "plain"
+
+
 def test_broken_and_odd_pages(model):
     deep = "<div>" * 3000 + LONG + "</div>" * 10
     for html in (None, "", "   ", "<", "<p", "a < b", "<!-- open", "<script>never closed", "</div></p>", "<p>" * 50, deep, "<div class=\"x>" + LONG, "<article><p>" + "word " * 200_000, "<a b='>", "<p a=\">\"", "<svg/>x", "<ul><li><ul><li>a</ul><li>b"):
