@@ -8,13 +8,12 @@ id; long texts are read whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allotau.llm import _base as B
 from allotau.llm import mixing, near_dedup, packing, secrets, toxicity
+from allotau.sources import tables
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,9 +75,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage over what the others leave; their tables, and what they wrote on the way, go as soon as the next stage is written, and the last one with the session."""
     docs = B.table(spark, sf_dir, "documents")
-    base = f"{B.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = tables.scratch(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
+        with tables.dropped_after(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
+        if i:
+            tables.drop(spark, f"{base}/{i - 1}")
         docs = spark.read.parquet(f"{base}/{i}")
     return STAGES[-1][1](spark, docs, sf_dir)
