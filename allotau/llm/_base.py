@@ -23,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_results(df: DataFrame, text: str, results: str, make: Callable[[], Callable[[list[str | None]], dict[str, pa.Array]]], most: int) -> DataFrame:
     """df without its column `text`, and the columns `results` that a function of a list of texts gives.
 
+    A column of df that has the name of a result gives way to it.
     make() gives the function, once a task; it gets texts of about `most` characters at once.
     The other columns stay in Arrow, so that a null among ids makes no floats of them.
     """
-    others = [f for f in df.schema.fields if f.name != text]
+    new = T.DataType.fromDDL(results).fields
+    others = [f for f in df.schema.fields if f.name != text and f.name.lower() not in {n.name.lower() for n in new}]
     ordered = df.select(F.col(f"`{text}`"), *[F.col(f"`{f.name}`") for f in others])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,10 +37,10 @@ def with_results(df: DataFrame, text: str, results: str, make: Callable[[], Call
             texts = batch.column(0).to_pylist()
             for a, b in in_batches(texts, most):
                 rest = [c.slice(a, b - a) for c in batch.columns[1:]]
-                new = work(texts[a:b])
-                yield pa.RecordBatch.from_arrays([*rest, *new.values()], names=[*batch.schema.names[1:], *new])
+                got = work(texts[a:b])
+                yield pa.RecordBatch.from_arrays([*rest, *got.values()], names=[*batch.schema.names[1:], *got])
 
-    return ordered.mapInArrow(run, T.StructType([*others, *T.DataType.fromDDL(results).fields]))
+    return ordered.mapInArrow(run, T.StructType([*others, *new]))
 
 
 def in_batches(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:

@@ -152,9 +152,11 @@ def pack_lengths(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, c
     whole = lengths.select(F.coalesce(F.col("doc_id").cast("long"), zero).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.lit(0).alias("piece"), zero.alias("start"), F.col("length").cast("long"))
     packed = B.written(packed_in_place(whole, capacities, cost, block, 0), "packed")
     loose = F.coalesce(F.col("bin_fill") < FULL * F.col("capacity"), F.lit(False))
-    pool = packed.where(loose).select("doc_id", "no_id", "piece", "start", "length")
+    pool = packed.where(loose)
     parts = math.ceil(max(1, pool.count()) / block)
-    again = packed_in_place(pool.repartition(parts, "doc_id", "piece"), capacities, cost, block, POOL)
+    # by their places, which no two pieces share, as ids may be null or the same
+    pool = pool.repartition(parts, "bin_id", "offset").select("doc_id", "no_id", "piece", "start", "length")
+    again = packed_in_place(pool, capacities, cost, block, POOL)
     got = packed.where(~loose).unionByName(again)
     return got.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), *COLUMNS[1:])
 

@@ -105,3 +105,11 @@ def test_held_out_accuracy(spark):
     got = L.op8_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = got.where("held_out")
     assert held.count() > 10 and held.where("lang_pred = lang").count() >= 0.9 * held.count()
+
+
+def test_columns_of_the_results_names_give_way(spark):
+    model = L.fit(spark.createDataFrame([(1, "the house and the sea", "en"), (2, "das Haus und das Meer", "de")], "key long, text string, lang string"))
+    docs = spark.createDataFrame([(7, "the sea", "x", 9.0), (None, None, None, None)], "doc_id long, text string, Lang_pred string, score double")
+    got = L.predict(docs, model)
+    assert got.columns == ["doc_id", "lang_pred", "score"]
+    assert {(r["doc_id"], r["lang_pred"]) for r in got.collect()} == {(7, "en"), (None, "und")}

@@ -141,3 +141,12 @@ def test_query_equals_brute_force(spark):
     got = N.op9_near_dedup(spark, SF).collect()
     assert {r["doc_id"]: r["class_id"] for r in got} == brute(docs) and len(got) == len(docs)
     assert all(r["kept"] for r in got if r["doc_id"] == r["class_id"])
+
+
+def test_extra_columns_of_helpers_names_change_nothing(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "one two three four five six seven eight nine ten" if i < 3 else f"other {i} words here and there for row {i}") for i in range(6)], "doc_id long, text string")
+    odd = docs.select("*", *[F.lit(1).alias(c) for c in ("sum", "bands", "id", "bucket", "class_id", "kept", "weight", "n")])
+    want, got = (sorted(map(tuple, N.near_duplicates(df).collect())) for df in (docs, odd))
+    assert got == want

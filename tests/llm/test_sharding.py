@@ -70,3 +70,9 @@ def test_query(spark):
         slots[r["shard"]].append(r["slot"])
     assert sorted(slots) == list(range(8)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_very_long_texts(spark):
+    data = [(i, "ä" * (2_000_000 if i == 3 else i), "x") for i in range(9)]
+    got = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in shard(spark, data)}
+    assert got == {i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t, _ in data}
