@@ -265,3 +265,43 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of every node of the rebuilt conversations."""
     got = prefix_trie(B.table(spark, sf_dir, "conversations"), hundreds, head_turns)
     return got.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def crc32_sql(table: str, text: str) -> str:
+    """SQL of the unsigned CRC-32 of a short ASCII text; `table` is a list of its 256 remainders."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(unicode(c) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {codes}), lambda c, b: xor(c >> 8, {table}[1 + (xor(c, b) & 255)])))"
+
+
+#: CTE of the remainders, by the polynomial 0xEDB88320.
+CRC_SQL = "crc AS MATERIALIZED (SELECT list(x8 ORDER BY x0) AS t FROM (SELECT i AS x0, " + ", ".join(f"xor(x{k} >> 1, 3988292384 * (x{k} & 1)) AS x{k + 1}" for k in range(8)) + " FROM range(256) r(i)))"
+
+OP13_SQL = f"""
+WITH {CRC_SQL},
+own AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+heads AS (SELECT conv_id, turns, CAST({crc32_sql("t", "CAST(conv_id AS VARCHAR)")} % 6 AS BIGINT) AS h FROM own, crc),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), coalesce(c.turns[c.h + 1:], [])) AS seq
+  FROM heads c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100
+),
+paths AS (SELECT conv_id, d, seq[1:d] AS node, len(seq) = d AS ends FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ids
+  FROM paths GROUP BY node, d
+),
+kids AS (SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+trie AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (node, d)),
+below AS (
+  SELECT node[1:k] AS node, k AS d, count(*) FILTER (n_children = 0) AS n_leaves,
+         sum(CASE WHEN d > 0 THEN (n_convs - 1) * length(node[d].x) ELSE 0 END) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM trie) GROUP BY ALL
+)
+SELECT t.conv_id, CAST(t.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(t.n_convs AS BIGINT) AS n_convs,
+       CAST(t.n_children AS BIGINT) AS n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, sha256(t.ids) AS ends_sha256
+FROM trie t JOIN below b ON b.node = t.node AND b.d = t.d LEFT JOIN nodes p ON p.d = t.d - 1 AND p.node = t.node[1:t.d - 1]
+"""

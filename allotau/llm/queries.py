@@ -9,8 +9,8 @@ from allotau.llm.language_id import op8_language_id
 from allotau.llm.mixing import op10_mixing
 from allotau.llm.near_dedup import op9_near_dedup
 from allotau.llm.packing import op1_best_fit_packing
-from allotau.llm.prefix_trie import op13_prefix_trie
-from allotau.llm.repair import op11_conversation_repair
+from allotau.llm.prefix_trie import OP13_SQL, op13_prefix_trie
+from allotau.llm.repair import OP11_SQL, op11_conversation_repair
 from allotau.llm.secrets import op6_secret_scan
 from allotau.llm.sharding import op4_sharding
 from allotau.llm.token_counts import op12_token_counts
@@ -32,4 +32,4 @@ QUERIES = {
     "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_topk": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_exact_topk": OP3_SQL, "op11_conversation_repair": OP11_SQL, "op13_prefix_trie": OP13_SQL}

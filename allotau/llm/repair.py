@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allotau.llm import _base as B
+from allotau.llm.prefix_trie import CRC_SQL, crc32_sql
 
 WHITE = " \t\n\x0b\x0c\r"
 BLOCK_BITS = 8
@@ -370,3 +371,82 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of every conversation, damaged and repaired."""
     rows = B.table(spark, sf_dir, "conversations")
     return repair(damaged(rows), rows)
+
+
+def _least(*ways: tuple[str, str, str, str]) -> str:
+    """SQL of the least (cost, audit) of ways (state before, cost, edit, condition)."""
+    far = 1_000_000_000
+    return "list_min([" + ", ".join(f"{{'c': {q}.c + CASE WHEN {ok} THEN {cost} ELSE {far} END, 'a': {q}.a || '{op}'}}" for q, cost, op, ok in ways) + "])"
+
+
+_GO = ("NOT gone", f"{REROLE} + more", "R")
+_ROW = {
+    "n0": _least(("s0", str(DELETE), "D", "true")),
+    "n1": _least(("s1", str(DELETE), "D", "true"), ("s0", "more", "K", "NOT gone AND initial = 's'")),
+    "n2": _least(("s2", str(DELETE), "D", "true"), *[w for q in ("s0", "s1", "s3") for w in ((q, "more", "K", "NOT gone AND initial = 'u'"), (q, _GO[1], _GO[2], _GO[0]))]),
+    "n3": _least(("s3", str(DELETE), "D", "true"), ("s2", "more", "K", "NOT gone AND initial = 'a'"), ("s2", _GO[1], _GO[2], _GO[0])),
+}
+
+
+def _with_inserts(source: str) -> str:
+    """SQL of key, i, s0 to s3 from n0 to n3, with inserted rows behind."""
+    two = "list_min([n2, " + _least(*[(q, str(INSERT), "I", "true") for q in ("n0", "n1", "n3")]) + "])"
+    return f"SELECT key, i, n0 AS s0, n1 AS s1, m2 AS s2, list_min([n3, {_least(('m2', str(INSERT), 'I', 'true'))}]) AS s3 FROM (SELECT *, {two} AS m2 FROM ({source}))"
+
+
+_NONE = "{'c': CAST(1000000000 AS BIGINT), 'a': ''}"
+
+#: The search as a plain recursion over rows, with the least (cost, audit) of each state.
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+keyed AS (
+  SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS key, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32_sql("t", "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k
+  FROM conversations, crc
+),
+damaged AS (
+  SELECT key, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM keyed, (VALUES (1), (2)) r(again) WHERE k > 0 AND (again = 1 OR k = 3)
+),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text) AS i,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, substr(role, 1, 1) AS initial
+  FROM damaged
+),
+rows_ AS (
+  SELECT *, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY key, role, text ORDER BY i) > 1 AS duplicate,
+         lag(initial) OVER (PARTITION BY key ORDER BY i) || initial AS pair
+  FROM numbered
+),
+faults AS MATERIALIZED (
+  SELECT *, blank OR duplicate AS gone, NOT blank AND NOT duplicate AND right(bare, 1) NOT IN ('.', '!', '?') AS truncated FROM rows_
+),
+search AS (
+  {_with_inserts(f"SELECT DISTINCT key, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': ''}} AS n0, {_NONE} AS n1, {_NONE} AS n2, {_NONE} AS n3 FROM faults")}
+  UNION ALL
+  {_with_inserts("SELECT key, i, " + ", ".join(f"{c} AS {n}" for n, c in _ROW.items()) + f" FROM (SELECT s.key, f.i, s0, s1, s2, s3, gone, initial, CASE WHEN truncated THEN {TRUNCATED} ELSE 0 END AS more FROM search s JOIN faults f ON f.key = s.key AND f.i = s.i + 1)")}
+),
+sums AS (
+  SELECT key, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY key
+),
+audits AS MATERIALIZED (SELECT key, list_min([s0, s3]) AS best FROM search JOIN sums USING (key) WHERE i = n),
+edits AS (
+  SELECT key, best.a AS audit, 0 AS j, CAST(0 AS BIGINT) AS i, 0 AS q, CAST([] AS VARCHAR[]) AS pieces FROM audits
+  UNION ALL
+  SELECT key, audit, j + 1, CASE WHEN op = 'I' THEN i ELSE i + 1 END,
+         CASE op WHEN 'D' THEN q WHEN 'K' THEN CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE WHEN q = 2 THEN 3 ELSE 2 END END,
+         CASE op WHEN 'D' THEN pieces WHEN 'K' THEN list_append(pieces, role || ':' || text) WHEN 'I' THEN list_append(pieces, made || ':') ELSE list_append(pieces, made || ':' || text) END
+  FROM (
+    SELECT e.*, substr(audit, j + 1, 1) AS op, CASE WHEN q = 2 THEN 'assistant' ELSE 'user' END AS made, f.role, f.text, f.initial
+    FROM edits e LEFT JOIN faults f ON f.key = e.key AND f.i = e.i + 1 WHERE j < length(audit)
+  )
+),
+digests AS (SELECT key, sha256(array_to_string(pieces, chr(10))) AS digest FROM edits WHERE j = length(audit))
+SELECT c.conv_id, {", ".join(f"CAST(coalesce({n}, 0) AS BIGINT) AS {n}" for n in ("gaps", "blank", "duplicate", "truncated", "illegal"))},
+       CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS key FROM conversations) c
+LEFT JOIN sums USING (key) LEFT JOIN audits USING (key) LEFT JOIN digests USING (key)
+"""

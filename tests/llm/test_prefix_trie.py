@@ -122,3 +122,11 @@ def test_shared_hashes_are_noticed(spark, monkeypatch):
 def test_powers(spark):
     got = spark.range(3).select("id", T.power(123_457, F.element_at(F.lit([0, 77, 2**33 + 5]).cast("array<long>"), (F.col("id") + 1).cast("int"))).alias("p")).collect()
     assert [r["p"] for r in sorted(got)] == [1, pow(123_457, 77, T.P), pow(123_457, 2**33 + 5, T.P)]
+
+
+def test_sql_equals_brute_force():
+    data = made_up(3, [*range(0, 320, 3), 100, 200, 1000, -5, -130, 2**60], 30)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", data)
+    assert sorted(con.sql(T.OP13_SQL).fetchall(), key=repr) == brute_force(data)

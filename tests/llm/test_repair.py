@@ -146,3 +146,14 @@ def test_repaired_rows(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert R.repair(R.damaged(df), df).collect() == []
+
+
+def test_sql_equals_brute_force():
+    rng = random.Random(21)
+    texts = ["Yes.", "No!", "", " \t\n", "cut off", "ß?", "A.B", None]
+    data = [(c, rng.choice([None, *range(12)]), rng.choice(["user", "assistant", "system", "tool", None, "User"]), rng.choice(texts)) for c in [None, -7, *range(60)] for _ in range(rng.randrange(1, 12))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", data)
+    nothing = (0,) * 6 + ("", hashlib.sha256().hexdigest())
+    assert {r[0]: tuple(r[1:]) for r in con.sql(R.OP11_SQL).fetchall()} == {c: nothing for c, *_ in data} | brute_force(damage(data))
