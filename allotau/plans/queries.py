@@ -116,7 +116,7 @@ def row_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quasi_dynamic_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quasi.with_total(evt(spark, sf_dir), EVENTS).withColumn("tau", r6("tau"))
-    return quasi.ordered(rows).select("dataset", "row_id", "tau", "tau_pos")
+    return quasi.ordered(rows.select("dataset", "row_id", "tau")).select("dataset", "row_id", "tau", "tau_pos")
 
 
 def quasi_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
