@@ -9,7 +9,8 @@ Misspellings: a term's length allows it up to two edits (a letter more, less or
 two neighbours swapped), a stem's within its own letters. A word that clean texts of the
 sample hold is no misspelling, however near it is to a term. How many edits a term gets is
 decided by halves of the sample: as many as clean texts of one half hold no words at that
-distance which those of the other don't, to a rate of FUZZY_CLEAN.
+distance which those of the other don't, to a rate of FUZZY_CLEAN. A term that gets none
+this way is anchored, if words with its first letter pass: its edits leave that letter.
 
 Matching: the trie and the Levenshtein automaton of each term are run together as one
 deterministic automaton, made once on the driver by the subset construction, and broadcast
@@ -33,7 +34,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -81,6 +82,7 @@ class Term:
     text: str
     stem: bool  # any ending may follow
     edits: int
+    anchored: bool = False  # edits leave the first letter as it is
 
 
 @dataclass
@@ -97,12 +99,12 @@ class Automaton:
 def automaton(terms: list[Term]) -> Automaton:
     """The union over terms of (trie path) x (Levenshtein automaton), made deterministic."""
     symbols = "".join(sorted({c for t in terms for c in t.text}))
-    children: list[dict[str, int]] = [{}]
-    ends: list[list[int]] = [[]]
-    most = [0]  # edits that any term below a node allows
+    children: list[dict[str, int]] = [{}, {}]  # node 0 is the root; 1 that of the anchored terms, which no edit leaves
+    ends: list[list[int]] = [[], []]
+    most = [0, 0]  # edits that any term below a node allows
     for k, t in enumerate(terms):
-        node = 0
-        most[0] = max(most[0], t.edits)
+        node = int(t.anchored)
+        most[node] = max(most[node], t.edits)
         for c in t.text:
             if c not in children[node]:
                 children[node][c] = len(children)
@@ -115,7 +117,7 @@ def automaton(terms: list[Term]) -> Automaton:
 
     def closed(state: dict[int, int]) -> frozenset:
         """With letters of the term left out of the word; stems that are reached stay reached (as -1 - term)."""
-        todo = [x for x in state.items() if not isinstance(x[0], tuple)]
+        todo = [x for x in state.items() if not isinstance(x[0], tuple) and x[0] != 1]
         while todo:
             node, e = todo.pop()
             if node < 0:
@@ -144,6 +146,10 @@ def automaton(terms: list[Term]) -> Automaton:
             if node < 0:
                 reach(node, e)
                 continue
+            if node == 1:
+                if c in children[1]:
+                    reach(children[1][c], e)
+                continue
             reach(node, e + 1)  # a letter too many
             for x, child in children[node].items():
                 reach(child, e + (x != c))
@@ -152,7 +158,7 @@ def automaton(terms: list[Term]) -> Automaton:
                     new[behind, x] = e + 1
         return closed(new)
 
-    start = closed({0: 0})
+    start = closed({0: 0, 1: 0})
     number = {frozenset(): 0, start: 1}
     rows: list[list[int]] = [[0] * (len(symbols) + 1)]
     order = [start]
@@ -174,7 +180,7 @@ def automaton(terms: list[Term]) -> Automaton:
             row[column[c]] = to(state, c)
         rows.append(row)
         if len(rows) > STATES and max(most) > 1:
-            return automaton([Term(t.text, t.stem, min(t.edits, max(most) - 1)) for t in terms])
+            return automaton([replace(t, edits=min(t.edits, max(most) - 1)) for t in terms])
     kind, final = np.zeros(len(rows), np.int32), np.zeros(len(rows), np.int32)
     matches: list[tuple[tuple[int, int], ...]] = [()] * len(rows)
     for state, i in number.items():
@@ -383,13 +389,14 @@ def fit(sample: DataFrame) -> Model:
     counts = counted(seen)
     own = counts["planted"] == 0
     toxic, clean = (int(counts.loc[own & (counts["toxic"] == y), "texts"].sum()) for y in (1, 0))
-    held, fresh = np.zeros((2, len(ordered), 4)), np.zeros((len(ordered), 4))  # texts by toxic, term, edits; clean texts with a word that the other half doesn't hold
+    held, fresh = np.zeros((2, len(ordered), 4)), np.zeros((2, len(ordered), 4))  # texts by toxic, term, edits; clean texts with a word that the other half doesn't hold: all such, and those with the term's first letter
     by_term = seen.select("toxic", F.explode("hits").alias("hit")).groupBy("toxic", "hit").agg(F.count(F.lit(1)).alias("texts")).toPandas()
     held[by_term["toxic"], by_term["hit"] // 4, by_term["hit"] % 4] = by_term["texts"]
     words = seen.select("half", F.explode("words").alias("w")).select("half", "w.hit", "w.word").groupBy("hit", "word").agg(F.count(F.lit(1)).alias("texts"), F.count_distinct("half").alias("halves"))
     words = B.written(words, "near")
-    unseen = words.where("halves = 1").groupBy("hit").agg(F.sum("texts").alias("texts")).toPandas()
-    fresh[unseen["hit"] // 4, unseen["hit"] % 4] = unseen["texts"]
+    unseen = words.where("halves = 1").groupBy("hit", F.substring("word", 1, 1).alias("first")).agg(F.sum("texts").alias("texts")).toPandas()
+    for hit, first, n in unseen.itertuples(index=False):
+        fresh[: 1 + (first == ordered[hit // 4].text[0]), hit // 4, hit % 4] += n
     # a term that clean texts hold about as often as toxic ones says nothing; nor does a learnt term of very few toxic texts
     rates = held / np.maximum(1, np.array([clean, toxic]))[:, None, None]
     least = max(3.0, SUPPORT * toxic)
@@ -397,10 +404,9 @@ def fit(sample: DataFrame) -> Model:
     for i, t in enumerate(ordered):
         if held[0, i, 0] >= 3 and rates[1, i, 0] < 4 * rates[0, i, 0] or t.text not in INSULTS and held[1, i, 0] < least:
             continue
-        edits = 0
-        while edits < t.edits and fresh[i, 1 : 2 + edits].sum() <= FUZZY_CLEAN * clean:
-            edits += 1
-        keep.append(Term(t.text, t.stem, edits))
+        free, anchored = (sum(1 for e in range(1, t.edits + 1) if one[i, 1 : 1 + e].sum() <= FUZZY_CLEAN * clean) for one in fresh)
+        edits = free or anchored
+        keep.append(Term(t.text, t.stem, edits, free == 0 < anchored))
         used += [4 * i + e for e in range(1, edits + 1)]
     known = words.where(F.col("hit").isin(used)).groupBy("word").agg(F.sum("texts").alias("texts")).orderBy(F.desc("texts"), "word").limit(CLEAN_WORDS).collect() if used else []
     clean_words = frozenset(r["word"] for r in known)

@@ -17,14 +17,14 @@ def distance(a, b):
     return row[-1]
 
 
-TERMS = [X.Term("stupid", False, 1), X.Term("scum", False, 0), X.Term("clown", False, 1), X.Term("réeux", True, 0), X.Term("worthless", False, 2), X.Term("clownish", False, 1), X.Term("gredam", True, 1), X.Term("disgusting", False, 2)]
+TERMS = [X.Term("stupid", False, 1), X.Term("scum", False, 0), X.Term("clown", False, 1), X.Term("réeux", True, 0), X.Term("worthless", False, 2), X.Term("clownish", False, 1), X.Term("gredam", True, 1), X.Term("disgusting", False, 2), X.Term("moron", False, 1, True), X.Term("vermin", True, 2, True), X.Term("sstep", False, 1, True)]
 
 
 def test_automaton_equals_edit_distance():
     rng = np.random.default_rng(3)
     m = X.Matcher(X.automaton(TERMS))
     letters = "abcdeghilmnoprstuwx1é"
-    words = ["stupid", "stupd", "sstupid", "st1pid", "scum", "scumm", "clown", "clwn", "clowns", "clowni", "réeux", "réeuxment", "reeux", "worthlss", "wrthlss", "wothles", "clownis", "s"]
+    words = ["stupid", "stupd", "sstupid", "st1pid", "scum", "scumm", "clown", "clwn", "clowns", "clowni", "réeux", "réeuxment", "reeux", "worthlss", "wrthlss", "wothles", "clownis", "s", "noron", "omron", "oron", "xmoron", "mmoron", "mron", "vremin", "evrmin", "vvermins", "step", "ssstep"]
     for t in TERMS:
         for _ in range(150):
             w = list(t.text)
@@ -39,7 +39,7 @@ def test_automaton_equals_edit_distance():
         fits = []
         for t in TERMS:
             e = min(distance(w[:k], t.text) for k in range(len(w) + 1)) if t.stem else distance(w, t.text)
-            if e <= t.edits:
+            if e <= t.edits and (e == 0 or not t.anchored or w[0] == t.text[0]):
                 fits.append(e)
         got = m.hits(w)
         assert bool(got) == bool(fits), w
@@ -106,6 +106,10 @@ def test_words_of_clean_texts_are_no_misspellings(spark):
     data = [(f"w{i} grundle v{i} lo ri", 1) for i in range(60)] + [(f"grun{chr(97 + i)}le {i} ri lo", 0) for i in range(26) if i != 3]
     model = X.fit(spark.createDataFrame(data, "text string, toxic int"))
     assert {t.text: t.edits for t in model.terms}["grundle"] == 0 and score(model, "a grunxle") < 0.5
+    data = [(f"w{i} grundle v{i} lo ri", 1) for i in range(60)] + [(f"{chr(97 + i)}rundle {i} ri lo", 0) for i in range(26) if i != 6]
+    model = X.fit(spark.createDataFrame(data, "text string, toxic int"))
+    assert {t.text: (t.edits, t.anchored) for t in model.terms}["grundle"] == (1, True)
+    assert score(model, "a 7rundle") < 0.5 < score(model, "a grunxle")
 
 
 def test_a_misspelt_hit_weighs_no_more_than_an_exact_one(spark):
