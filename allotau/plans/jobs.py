@@ -65,17 +65,17 @@ def fit_long(long: DataFrame, kind: str = "none", min_points: int = 3) -> tuple[
 def curves_wide(wide: DataFrame, values: list[str], report: DataFrame, key: str = "dataset", facts: DataFrame | None = None) -> DataFrame:
     """Fitted curves on the grid of every dataset."""
     facts = facts_of_wide(wide, values, key) if facts is None else facts
-    return curve.sample(curve.nodes(facts.select("dataset", "n", "low", "high")), fit.params(report))
+    return curve.curves(facts.select("dataset", "n", "low", "high"), fit.params(report))
 
 
 def curves_long(long: DataFrame, report: DataFrame) -> DataFrame:
-    return curve.sample(curve.nodes(curve.bounds(quasi.long_totals(long))), fit.params(report))
+    return curve.curves(curve.bounds(quasi.long_totals(long)), fit.params(report))
 
 
 def curves_unfiltered(samples: DataFrame, points: DataFrame) -> DataFrame:
     """Curves of the unfiltered fit, on the grid over all tau."""
     fitted = fit.fit_unfiltered(points).where("status = 'ok'").select("dataset", "series_pos", "series", "a", "b")
-    return curve.sample(curve.nodes(curve.bounds(samples, positive_only=False)), fitted)
+    return curve.curves(curve.bounds(samples, positive_only=False), fitted)
 
 
 def main(argv: list[str] | None = None) -> None:

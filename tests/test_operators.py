@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from allotau.functions import scalar as S
 from allotau.operators import curve, fit, matrix, points, quasi, transform
 from allotau.plans import jobs
+from allotau.sources.tables import written
 
 INF = float("inf")
 
@@ -281,3 +282,17 @@ def test_large_fits_take_three_passes(spark, monkeypatch):
     monkeypatch.setattr(fit, "by_moments", lambda pdf, steps: pdf[fit.SERIES].assign(trial=1.0))
     c = {r["series"]: r for r in fit.fit_report(p.where("series in ('s0', 's3')"), large=0).collect()}
     assert len(passes) > 3 and all(c[n]["b"] == pytest.approx(a[n]["b"], rel=1e-7, abs=1e-7) for n in c)
+
+
+def test_curves_of_a_large_grid_are_spread_over_tasks(spark):
+    """No grid is broadcast, and no task spreads it alone, though the table it comes from has one row."""
+    facts = written(spark.createDataFrame([("d", 400_000, 1.0, 9.0)], "dataset string, n long, low double, high double"), "facts")
+    report = written(spark.createDataFrame([("d", i, c, "ok", 2.0, 0.5 + i) for i, c in enumerate("xy")], "dataset string, series_pos int, series string, status string, a double, b double"), "report")
+    got = jobs.curves_wide(facts, [], report, facts=facts)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and plan.index("least(") < plan.index("Join")
+    tasks = got.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 800_000 and max(r["count"] for r in tasks) <= 200_000
+    assert got.groupBy("series").agg(F.countDistinct("node_pos").alias("n"), F.max(F.abs(F.col("y") - 2 * F.pow("tau", 0.5 + F.col("series_pos")))).alias("off")).where("n <> 400000 or off > 1e-9").count() == 0
+    ends = got.where("series = 'x' and node_pos in (0, 65535, 65536, 399999)").orderBy("node_pos").collect()
+    assert [r["tau"] for r in ends] == pytest.approx([5 - 4 * math.cos((2 * i + 1) * math.pi / 800_000) for i in (0, 65535, 65536, 399999)])
