@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,21 +183,14 @@ def stepped(seen: DataFrame, last: bool) -> DataFrame:
     return got.withColumn("status", end).withColumn("trial", F.col("b") + F.col("step"))
 
 
-def fit_large(points: DataFrame, series: DataFrame) -> DataFrame:
-    """Valid points of the series (KEYS) -> RESULT, in passes over a table of the points, of which only sums move.
+def searched(names: DataFrame, facts: DataFrame, moments: DataFrame, sums_at: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """names (KEYS, SERIES), facts (SERIES, centre, half, yy, status) and moments of large series -> RESULT.
 
-    The first finds the range of L, the second its moments, on which the descent runs, and
-    the third shows that the next step at the b found is below the tolerance. A series
-    for which it isn't goes on with exact sums, a pass a step.
+    The descent runs on the moments, and a pass shows that the next step at the b found is
+    below the tolerance. A series for which it isn't goes on with exact sums, a pass a step;
+    sums_at gives these at the trials of a state.
     """
-    names = keyed(series, *KEYS)
-    kept = written(keyed(points, F.log("tau").alias("log_x"), "value"), "points")
-    low, high = F.min("log_x"), F.max("log_x")
-    flat = high - low <= 1e-14 * F.greatest(F.lit(1.0), F.abs(low))
-    facts = kept.groupBy(*SERIES).agg(((low + high) / 2).alias("centre"), ((high - low) / 2).alias("half"), F.sum(F.col("value") * F.col("value")).alias("yy"), F.when(flat, "degenerate").alias("status"))
-    facts = written(facts, "facts")
-    centred = near(kept, facts.where("status is null").select(*SERIES, "centre", "half")).select(*SERIES, (F.col("log_x") - F.col("centre")).alias("l"), "half", "value")
-    found = moments(centred.select(*SERIES, (F.col("l") / F.col("half")).alias("u"), "value")).join(facts.select(*SERIES, "half", "yy"), SERIES)
+    found = moments.join(facts.select(*SERIES, "half", "yy"), SERIES)
     steps = STEPS
     trials = found.mapInPandas(lambda batches: (by_moments(pdf, steps) for pdf in batches), "key_1 long, key_2 long, trial double")
     nothing = [F.lit(None).cast("double").alias(c) for c in ("b", "step", "error", "a")]
@@ -205,28 +199,136 @@ def fit_large(points: DataFrame, series: DataFrame) -> DataFrame:
         open_ = state.where("status is null")
         if not open_.limit(1).count():
             break
-        seen = state.join(exact_sums(centred.drop("half"), open_), SERIES, "left")
+        seen = state.join(sums_at(open_), SERIES, "left")
         state = written(stepped(seen, i + 1 == STEPS), "fit")
     ok = F.col("status") == "ok"
     return names.join(state, SERIES).select(*KEYS, "status", F.when(ok, F.col("a")).alias("a"), F.when(ok, F.col("b")).alias("b"))
 
 
-def fit_by_size(points: DataFrame, sizes: DataFrame, large: int = LARGE) -> DataFrame:
-    """Points and sizes (KEYS, n) of the series to fit -> RESULT, by the way that a series' size asks for."""
-    if (sizes.agg(F.max("n")).first()[0] or 0) <= large:
+def is_flat(low: Column, high: Column) -> Column:
+    return high - low <= 1e-14 * F.greatest(F.lit(1.0), F.abs(low))
+
+
+def fit_large(points: DataFrame, series: DataFrame) -> DataFrame:
+    """Valid points of the series (KEYS) -> RESULT, in passes over a table of the points, of which only sums move: the range of L, its moments, and exact sums."""
+    kept = written(keyed(points, F.log("tau").alias("log_x"), "value"), "points")
+    low, high = F.min("log_x"), F.max("log_x")
+    facts = kept.groupBy(*SERIES).agg(((low + high) / 2).alias("centre"), ((high - low) / 2).alias("half"), F.sum(F.col("value") * F.col("value")).alias("yy"), F.when(is_flat(low, high), "degenerate").alias("status"))
+    facts = written(facts, "facts")
+    centred = near(kept, facts.where("status is null").select(*SERIES, "centre", "half")).select(*SERIES, (F.col("log_x") - F.col("centre")).alias("l"), "half", "value")
+    found = moments(centred.select(*SERIES, (F.col("l") / F.col("half")).alias("u"), "value"))
+    return searched(keyed(series, *KEYS), facts, found, lambda open_: exact_sums(centred.drop("half"), open_))
+
+
+def task_sums(rows: DataFrame, columns: list[str], given: list[str], sums: Callable[[np.ndarray, np.ndarray, list[float]], np.ndarray]) -> DataFrame:
+    """rows (dataset, l, columns, given) -> dataset, series_pos, sums: what `sums` gives for a dataset's l, values (NaN: none) and its given numbers, a row a column, summed in each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[object, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.schema.field("dataset").type
+            dataset = batch.column("dataset").dictionary_encode()
+            code = dataset.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            l = batch.column("l").to_numpy(zero_copy_only=False)[order]
+            values = [batch.column(c).to_numpy(zero_copy_only=False)[order] for c in columns]
+            starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+            for start, end in zip(starts, [*starts[1:], len(order)], strict=True):
+                key = dataset.dictionary[int(code[order[start]])].as_py()
+                own = [batch.column(c)[int(order[start])].as_py() for c in given]
+                got = sums(l[start:end], [v[start:end] for v in values], own)
+                held[key] = held[key] + got if key in held else got
+        for key, got in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(got), kind), pa.array(range(len(got)), pa.int32()), pa.array(got.tolist(), pa.list_(pa.float64()))], names=["dataset", "series_pos", "sums"])
+
+    parts = rows.select("dataset", "l", *columns, *given).mapInArrow(run, f"dataset {rows.schema['dataset'].dataType.simpleString()}, series_pos int, sums array<double>")
+    each = parts.select("dataset", "series_pos", F.posexplode("sums").alias("n", "m")).groupBy("dataset", "series_pos", "n").agg(F.sum("m").alias("m"))
+    return each.groupBy("dataset", "series_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "m"))), lambda x: x["m"]).alias("sums"))
+
+
+def moment_sums(u: np.ndarray, values: list[np.ndarray], _: list[float]) -> np.ndarray:
+    """As moments, for all columns at once: they share u, so the polynomials are made once and summed by a matrix product."""
+    basis = np.empty((NODES, len(u)))
+    basis[0], basis[1], double = 1, u, 2 * u
+    for n in range(2, NODES):
+        np.multiply(double, basis[n - 1], out=basis[n])
+        basis[n] -= basis[n - 2]
+    y = np.array(values)
+    seen = ~np.isnan(y)
+    return np.hstack([seen.astype(float) @ basis.T, np.where(seen, y, 0.0) @ basis.T])
+
+
+def trial_sums(l: np.ndarray, values: list[np.ndarray], trials: list[float | None]) -> np.ndarray:
+    """The five sums of each column at its trial; zeros where it has none."""
+    got = np.zeros((len(trials), 5))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for i, (y, trial) in enumerate(zip(values, trials, strict=True)):
+            if trial is not None:
+                seen = ~np.isnan(y)
+                x, y = (l, y) if seen.all() else (l[seen], y[seen])
+                got[i] = weighted_sums(x, np.ones(len(x)), y)(trial)
+    return got
+
+
+def fit_large_wide(rows: DataFrame, names: list[str], series: DataFrame) -> DataFrame:
+    """rows (dataset, tau, v0, v1, ...: a column for each of `names`) -> RESULT of the series (KEYS).
+
+    As fit_large, over the rows as they come, which are read once a pass and not written:
+    the columns of a dataset share tau, so a row serves all of them, on one range of L.
+    Rows that are dear to make are better written by the caller first.
+    """
+    columns = [f"v{i}" for i in range(len(names))]
+    valid = [F.when(is_valid(F.col("tau"), F.col(c)), F.col(c)).alias(c) for c in columns]
+    own = series.select("dataset").distinct()
+    kept = rows.where(S.positive_finite(F.col("tau"))).join(own, "dataset", "left_semi").select("dataset", F.log("tau").alias("log_x"), *valid)
+    at = [F.when(F.col(c).isNotNull(), F.col("log_x")) for c in columns]
+    spans = F.array(*[F.struct(F.lit(i).alias("series_pos"), F.min(x).alias("low"), F.max(x).alias("high"), F.sum(F.col(c) * F.col(c)).alias("yy")) for i, (c, x) in enumerate(zip(columns, at, strict=True))])
+    low, high = F.array_min(F.col("spans.low")), F.array_max(F.col("spans.high"))
+    spans = kept.groupBy("dataset").agg(spans.alias("spans")).select("dataset", ((low + high) / 2).alias("centre"), ((high - low) / 2).alias("half"), F.explode("spans").alias("own"))
+    keys = keyed(series, *KEYS)
+    named = spans.select("dataset", "own.series_pos", "centre", "half", "own.yy", F.when(is_flat(F.col("own.low"), F.col("own.high")), "degenerate").alias("status")).join(keys.select("dataset", "series_pos", *SERIES), ["dataset", "series_pos"])
+    named = written(named, "facts")
+
+    def sums_of(state: DataFrame, l: Column, given: list[str], how: Callable[[np.ndarray, list[np.ndarray], list[float]], np.ndarray]) -> DataFrame:
+        """state (dataset, series_pos, centre, half, trial): sums of its series."""
+        trials = [F.max(F.when(F.col("series_pos") == i, F.col("trial"))).alias(c) for i, c in enumerate(given)]
+        facts = written(state.groupBy("dataset").agg(F.first("centre").alias("centre"), F.first("half").alias("half"), *trials), "trials")
+        beside = F.broadcast(facts) if facts.count() * len(columns) <= FEW_SERIES else facts
+        got = task_sums(kept.join(beside, "dataset").select("dataset", l.alias("l"), *columns, *given), columns, given, how)
+        return got.join(state.select("dataset", "series_pos", *SERIES), ["dataset", "series_pos"])
+
+    l = F.col("log_x") - F.col("centre")
+    start = named.where("status is null").withColumn("trial", F.lit(None).cast("double"))
+    found = sums_of(start, l / F.col("half"), [], moment_sums).select(*SERIES, F.col("sums").alias("moments"))
+
+    def sums_at(open_: DataFrame) -> DataFrame:
+        state = open_.select(*SERIES, "trial").join(named.select("dataset", "series_pos", "centre", "half", *SERIES), SERIES)
+        got = sums_of(state, l, [f"t{i}" for i in range(len(columns))], trial_sums)
+        return got.select(*SERIES, *[F.get("sums", F.lit(i)).alias(n) for i, n in enumerate(("zz", "zl", "zll", "yz", "yzl"))])
+
+    return searched(keys, named.select(*SERIES, "centre", "half", "yy", "status"), found, sums_at)
+
+
+def fit_by_size(points: DataFrame, sizes: DataFrame, large: int = LARGE, wide: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
+    """Points and sizes (KEYS, n) of the series to fit -> RESULT, by the way that a series' size asks for; wide: the same points as the rows and names of fit_large_wide, where they come so."""
+    least, most = sizes.agg(F.min("n"), F.max("n")).first()
+    if (most or 0) <= large:
         return fit_small(points, sizes)
     small, big = (sizes.where(which).select(*KEYS) for which in (F.col("n") <= large, F.col("n") > large))
-    return fit_small(points.join(small, KEYS, "left_semi"), small).unionByName(fit_large(points.join(big, KEYS, "left_semi"), big))
+    fits = fit_large_wide(*wide, big) if wide else fit_large(points.join(big, KEYS, "left_semi"), big)
+    return fits if least > large else fit_small(points.join(small, KEYS, "left_semi"), small).unionByName(fits)
 
 
-def fit_report(points: DataFrame, min_points: int = 3, large: int = LARGE, stats: DataFrame | None = None) -> DataFrame:
-    """points (KEYS, tau, value) -> KEYS, total_points, removed_points, used_points, status, reason, a, b; stats: their point_stats, where these came with less work."""
+def fit_report(points: DataFrame, min_points: int = 3, large: int = LARGE, stats: DataFrame | None = None, wide: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
+    """points (KEYS, tau, value) -> KEYS, total_points, removed_points, used_points, status, reason, a, b; stats: their point_stats, where these came with less work; wide: as in fit_by_size."""
     stats = written(point_stats(points) if stats is None else stats, "stats")
     valid = points.where(is_valid(F.col("tau"), F.col("value"))).select(*KEYS, "tau", "value")
     enough = F.col("used_points") >= min_points
     if stats.where(~enough & (F.col("used_points") > 0)).limit(1).count():
         valid = valid.join(stats.where(~enough).select(*KEYS), KEYS, "left_anti")
-    fits = fit_by_size(valid, stats.where(enough).select(*KEYS, F.col("used_points").alias("n")), large)
+    fits = fit_by_size(valid, stats.where(enough).select(*KEYS, F.col("used_points").alias("n")), large, wide)
     report = stats.join(fits, KEYS, "left").withColumn("status", F.coalesce("status", F.lit("too_few_points")))
     reason = (
         F.when(F.col("status") == "too_few_points", F.concat(F.lit(f"fewer than {min_points} valid points: "), F.col("used_points")))

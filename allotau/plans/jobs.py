@@ -18,6 +18,8 @@ from allotau.sources.tables import write_result, written
 
 #: Columns up to which one aggregate counts the valid points of all.
 FUSED = 500
+#: Columns up to which the passes of large fits read wide rows.
+SHARED = 64
 
 
 def points_of_wide(wide: DataFrame, values: list[str], key: str = "dataset") -> DataFrame:
@@ -53,7 +55,11 @@ def fit_wide(wide: DataFrame, values: list[str], kind: str = "none", min_points:
     """(fit report, dataset status) of a wide table; facts: its facts_of_wide, where the caller has them. The source is read twice, for the facts and for the points of the solver."""
     good, status = transform.transform_wide(wide, values, kind, key)
     stats = stats_of_facts(facts_of_wide(good, values, key) if facts is None else facts, values)
-    return fit.fit_report(points_of_wide(good, values, key), min_points, large, stats), status
+    tau = matrix.free("tau", good)
+    cells = [S.number(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(values)]
+    rows = quasi.with_total(good, values, tau).select(F.col(f"`{key}`").alias("dataset"), F.col(tau).alias("tau"), *cells)
+    wide_rows = (rows, values) if 0 < len(values) <= SHARED else None
+    return fit.fit_report(points_of_wide(good, values, key), min_points, large, stats, wide_rows), status
 
 
 def fit_long(long: DataFrame, kind: str = "none", min_points: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -296,3 +296,26 @@ def test_curves_of_a_large_grid_are_spread_over_tasks(spark):
     assert got.groupBy("series").agg(F.countDistinct("node_pos").alias("n"), F.max(F.abs(F.col("y") - 2 * F.pow("tau", 0.5 + F.col("series_pos")))).alias("off")).where("n <> 400000 or off > 1e-9").count() == 0
     ends = got.where("series = 'x' and node_pos in (0, 65535, 65536, 399999)").orderBy("node_pos").collect()
     assert [r["tau"] for r in ends] == pytest.approx([5 - 4 * math.cos((2 * i + 1) * math.pi / 800_000) for i in (0, 65535, 65536, 399999)])
+
+
+def test_large_fits_of_wide_rows_write_no_points(spark, monkeypatch):
+    """Missing, negative and infinite cells, a dataset of one total, datasets that aren't texts, a small series among large ones."""
+    rng, made = np.random.default_rng(11), []
+    plain = fit.written
+    monkeypatch.setattr(fit, "written", lambda df, what: made.append(what) or plain(df, what))
+    odd = [None, -1.0, float("nan"), 0.0]
+    data = [(d, i, float(np.exp(rng.normal(d, 1))), odd[i % 4] if i % 7 == 0 else float(np.exp(rng.normal(0, 0.5))), float(i + 1) if i < 5 else None) for d in (1, 2) for i in range(300)]
+    data += [(2, 301, INF, 1.0, None)] + [(3, i, 2.0, 3.0, None) for i in range(20)]
+    df = spark.createDataFrame(data, "dataset long, row_id long, tau double, y double, v0 double")
+    names = ["tau", "y", "v0"]
+    want = {(r["dataset"], r["series"]): r for r in jobs.fit_wide(df, names)[0].collect()}
+    assert want[3, "y"]["status"] == "degenerate" and want[1, "v0"]["used_points"] == 5
+    for large in (0, 10):
+        made.clear()
+        got = {(r["dataset"], r["series"]): r for r in jobs.fit_wide(df, names, large=large)[0].collect()}
+        assert "points" not in made and made.count("fit") == 2 and set(got) == set(want)
+        for k, r in want.items():
+            assert got[k]["status"] == r["status"] and (got[k]["b"], got[k]["a"]) == ((None, None) if r["b"] is None else pytest.approx((r["b"], r["a"]), rel=1e-7, abs=1e-8)), k
+    monkeypatch.setattr(fit, "by_moments", lambda pdf, steps: pdf[fit.SERIES].assign(trial=1.0))
+    got = {(r["dataset"], r["series"]): r["b"] for r in jobs.fit_wide(df, names, large=10)[0].collect()}
+    assert got[1, "y"] == pytest.approx(want[1, "y"]["b"], rel=1e-6) and got[2, "tau"] == pytest.approx(want[2, "tau"]["b"], rel=1e-6)
